@@ -43,7 +43,7 @@ def fold(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Folded runs of letters and digits, in order, repeats kept."""
-    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), _NOT_ALNUM), lambda t: t != "")
+    return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), _NOT_ALNUM), "")
 
 
 def _pieces(text: Column, separator: str) -> Column:

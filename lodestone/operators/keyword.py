@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.text import tokenize
+from lodestone.schema import POSTINGS
 from lodestone.session import BROADCAST_ROWS, cut_lineage, equi_join, fits
 
 # Fixed values of the ranking formula.
@@ -22,13 +27,27 @@ _PHRASE = ["phrase", "is_prefix"]
 def build_postings(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(collection_id, id, keep..., term, tf, dl): one row per document and distinct term.
 
-    `dl` is the number of tokens of the document. The terms of a document are
-    counted before the shuffle.
+    `dl` is the number of tokens of the document. A document is one row, so
+    its terms are counted where it is read and nothing is shuffled.
     """
-    tokens = docs.select(*_DOC, *keep, tokenize(F.col("text")).alias("tokens"))
-    terms = tokens.select(*_DOC, *keep, F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    counted = terms.groupBy(*_DOC, *keep, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    return counted.select(*_DOC, *keep, "term", "tf", "dl")
+    keys = [*_DOC, *keep]
+    tokens = docs.select(*keys, tokenize(F.col("text")).alias("tokens"))
+    schema = T.StructType([*tokens.select(*keys).schema.fields, *POSTINGS.fields[2:]])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("tokens")
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            words = lists.flatten().dictionary_encode()
+            width = max(1, len(words.dictionary))
+            cells = np.repeat(np.arange(len(lengths)) * width, lengths) + words.indices.to_numpy()
+            found, times = np.unique(cells, return_counts=True)
+            rows = pa.array(found // width)
+            columns = [batch.column(k).take(rows) for k in keys]
+            columns += [words.dictionary.take(pa.array(found % width)), pa.array(times), lists.value_lengths().take(rows)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return tokens.mapInArrow(count, schema)
 
 
 def refresh_postings(postings: DataFrame, changed: DataFrame, removed: DataFrame | None = None) -> DataFrame:
@@ -89,9 +108,8 @@ def query_terms(queries: DataFrame, prefix: bool = False) -> DataFrame:
     return times.withColumn("n_phrases", F.count(F.lit(1)).over(per_query))
 
 
-def _phrase_hits(postings: DataFrame, wanted: DataFrame, prefix: bool, bounded: bool) -> DataFrame:
-    """(collection_id, id, phrase, is_prefix, tf, dl) for every phrase asked for."""
-    phrases = wanted.select("phrase", "is_prefix").distinct()
+def _phrase_hits(postings: DataFrame, phrases: DataFrame, prefix: bool, bounded: bool) -> DataFrame:
+    """(collection_id, id, phrase, is_prefix, tf, dl) for every phrase."""
     whole = phrases.where(~F.col("is_prefix")).select(F.col("phrase").alias("term"))
     columns = [*_DOC, "phrase", "is_prefix", "tf", "dl"]
     exact = (
@@ -146,8 +164,11 @@ def keyword_scores(
         raise ValueError(f"unknown mode {mode!r}")
     wanted = query_terms(queries, prefix)
     bounded = fits(wanted, max_rows)
+    phrases = wanted.select(*_PHRASE)
+    if exclude:
+        phrases = phrases.unionByName(_excluded(wanted, exclude))
     # The matching postings feed counts, weights and matches: written once.
-    hits = cut_lineage(_phrase_hits(index.postings, wanted, prefix, bounded))
+    hits = cut_lineage(_phrase_hits(index.postings, phrases.distinct(), prefix, bounded))
     scoped = hits.withColumn("scope", _scope(stats_scope))
     held = scoped.groupBy("scope", *_PHRASE).agg(F.count(F.lit(1)).alias("df"))
     weights = cut_lineage(held.join(corpus_stats(index.lengths, stats_scope), "scope"))
@@ -162,7 +183,7 @@ def keyword_scores(
         pairs = equi_join(scored, asked, ["collection_id", *_PHRASE], spread=["id"], small_fits=bounded)
         found = pairs.groupBy("q_id", *_DOC).agg(F.sum(F.col("times") * F.col("score")).alias("bm25"))
     if exclude:
-        banned = _holding(index.postings, exclude, max_rows)
+        banned = hits.join(F.broadcast(_excluded(wanted, exclude)), _PHRASE, "left_semi").select(*_DOC).distinct()
         found = equi_join(found, banned, _DOC, "left_anti", spread=["q_id"], max_rows=max_rows)
     return found.select("q_id", *_DOC, "bm25")
 
@@ -206,10 +227,10 @@ def _match_all(
     )
 
 
-def _holding(postings: DataFrame, text: str, max_rows: int) -> DataFrame:
-    spark = postings.sparkSession
-    words = spark.range(1).select(F.explode(F.array_distinct(tokenize(F.lit(text)))).alias("term"))
-    return equi_join(postings, words, ["term"], "left_semi", spread=["id"], max_rows=max_rows).select(*_DOC).distinct()
+def _excluded(wanted: DataFrame, text: str) -> DataFrame:
+    """The words of the `exclude` argument as phrases."""
+    words = wanted.sparkSession.range(1).select(F.explode(F.array_distinct(tokenize(F.lit(text)))).alias("phrase"))
+    return words.withColumn("is_prefix", F.lit(False))
 
 
 def keyword_topk(index: KeywordIndex, queries: DataFrame, limit: int = 20, **options) -> DataFrame:

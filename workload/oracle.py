@@ -286,7 +286,7 @@ ORACLE = {
     "where_eq": _part("p_brand = 'Brand#13'"),
     "where_eq_null": _lab("quality is null"),
     "where_ne": _lab("quality is distinct from 1"),
-    "where_gt": _part("p_retailprice > 1000"),
+    "where_gt": _part("p_retailprice > 950"),
     "where_gte": _part("p_size >= 25"),
     "where_lt": _part("p_size < 10.5"),
     "where_lte": _lab("n_chars <= 500"),
@@ -295,7 +295,7 @@ ORACLE = {
     "where_and": _part("p_type = 'ECONOMY' and p_size < 20"),
     "where_or": _lab("lang = 'fr' or toxic = 1"),
     "where_nested": _part("(p_type = 'SMALL' and p_size > 20 and p_size <= 40) or p_brand in ('Brand#1', 'Brand#2')"),
-    "where_range": _part("p_retailprice >= 950 and p_retailprice < 1050.5 and p_size is distinct from 7"),
+    "where_range": _part("p_retailprice >= 901.5 and p_retailprice < 910.25 and p_size is distinct from 7"),
     "where_unknown_op": _part("false"),
     "where_json_eq": _ids("lang = 'de' and quality = 1"),
     "where_json_ne": _ids("quality is distinct from 1"),
@@ -311,8 +311,9 @@ ORACLE = {
         f"select doc_id::VARCHAR as id, '{{\"doc\":\"' || doc_id || '\"}}' as encoded, source, quality from {LABELLED}"
     ),
     "tokenize_terms": (
-        f"select collection_id, id, term, count(*) as tf, any_value(dl)::INTEGER as dl from (select lang as collection_id, "
-        f"doc_id::VARCHAR as id, len({_tokens('text')}) as dl, unnest({_tokens('text')}) as term from documents) group by 1, 2, 3"
+        f"with toks as materialized (select lang as collection_id, doc_id::VARCHAR as id, {_tokens('text')} as tokens from documents) "
+        "select collection_id, id, term, count(*) as tf, any_value(dl) as dl from (select collection_id, id, "
+        "len(tokens)::INTEGER as dl, unnest(tokens) as term from toks) group by 1, 2, 3"
     ),
     "postings_refreshed": (
         "with texts as (select lang, doc_id, case when lang = 'fr' then text || ' Été refreshed' else text end as text "

@@ -139,7 +139,7 @@ QUERIES.update(
     where_eq=_typed_part({"p_brand": "Brand#13"}),
     where_eq_null=_typed_labelled({"quality": None}),
     where_ne=_typed_labelled({"quality": {"$ne": 1}}),
-    where_gt=_typed_part({"p_retailprice": {"$gt": 1000}}),
+    where_gt=_typed_part({"p_retailprice": {"$gt": 950}}),
     where_gte=_typed_part({"p_size": {"$gte": 25}}),
     where_lt=_typed_part({"p_size": {"$lt": 10.5}}),
     where_lte=_typed_labelled({"n_chars": {"$lte": 500}}),
@@ -150,7 +150,7 @@ QUERIES.update(
     where_nested=_typed_part(
         {"$or": [{"$and": [{"p_type": "SMALL"}, {"p_size": {"$gt": 20, "$lte": 40}}]}, {"p_brand": {"$in": ["Brand#1", "Brand#2"]}}]}
     ),
-    where_range=_typed_part({"p_retailprice": {"$gte": 950, "$lt": 1050.5}, "p_size": {"$ne": 7}}),
+    where_range=_typed_part({"p_retailprice": {"$gte": 901.5, "$lt": 910.25}, "p_size": {"$ne": 7}}),
     where_unknown_op=_typed_part({"p_size": {"$near": 5}}),
     where_json_eq=_json_labelled({"lang": "de", "quality": 1}),
     where_json_ne=_json_labelled({"quality": {"$ne": 1}}),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.embedding import embed
 from lodestone.operators.graph import identify_triples
+from lodestone.session import spread
 
 #: Length of the hashed text vectors of the workload.
 DIM = 64
@@ -39,7 +40,8 @@ def documents(spark, sf_dir, collection=None) -> DataFrame:
     """documents as (collection_id, id, text, metadata), metadata as JSON without missing keys."""
     home = F.lit("docs") if collection is None else F.col(collection)
     keys = F.struct("lang", "source", "n_chars", "quality", "toxic")
-    return labelled(spark, sf_dir).select(
+    rows = spread(table(spark, sf_dir, "documents")).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.select(
         home.alias("collection_id"), F.col("doc_id").cast("string").alias("id"), "text", F.to_json(keys).alias("metadata")
     )
 
@@ -80,7 +82,7 @@ def star_triples(spark, sf_dir) -> DataFrame:
         return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 
     def edges(name, subject, predicate, obj):
-        rows = table(spark, sf_dir, name)
+        rows = spread(table(spark, sf_dir, name))
         return rows.select(
             F.lit("star").alias("collection_id"), node(*subject).alias("subject"), F.lit(predicate).alias("predicate"), node(*obj).alias("object")
         )
