@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
-TRUE, FALSE = True, False
 
 
 def _all(parts: list[Column]) -> Column:
@@ -37,6 +36,11 @@ def _known(predicate: Column) -> Column:
     return F.coalesce(predicate, F.lit(False))
 
 
+def _present(column: Column, test: Column) -> Column:
+    """NULL counts as no match, in a form that reaches the Parquet scan."""
+    return column.isNotNull() & test
+
+
 def _is_number(value: Any) -> bool:
     return isinstance(value, (bool, int, float))
 
@@ -48,11 +52,11 @@ def _whole_bound(op: str, value: int | float) -> tuple[str, int] | bool:
     """
     if isinstance(value, float):
         if math.isnan(value):
-            return FALSE
+            return False
         if math.isinf(value):
             return op in ("lt", "lte") if value > 0 else op in ("gt", "gte")
         if op == "eq":
-            return ("eq", int(value)) if value.is_integer() else FALSE
+            return ("eq", int(value)) if value.is_integer() else False
         return (op, math.floor(value) if op in ("gt", "lte") else math.ceil(value))
     return (op, int(value))
 
@@ -60,7 +64,7 @@ def _whole_bound(op: str, value: int | float) -> tuple[str, int] | bool:
 def _float_bound(op: str, value: int | float) -> tuple[str, float] | bool:
     """Rewrite `real <op> value` so that the operand is an exact double."""
     if isinstance(value, float):
-        return FALSE if math.isnan(value) else (op, value)
+        return False if math.isnan(value) else (op, value)
     try:
         near = float(value)
     except OverflowError:
@@ -68,7 +72,7 @@ def _float_bound(op: str, value: int | float) -> tuple[str, float] | bool:
     if int(near) == value:
         return (op, near)
     if op == "eq":
-        return FALSE
+        return False
     below = near if int(near) < value else math.nextafter(near, -math.inf)
     above = math.nextafter(below, math.inf)
     return ("lte", below) if op in ("lt", "lte") else ("gte", above)
@@ -130,7 +134,7 @@ class TypedFields:
         if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
             return _variant_equal(F.to_variant_object(column), value)
         if isinstance(value, str):
-            return _known(column == F.lit(value)) if isinstance(kind, T.StringType) else F.lit(False)
+            return _present(column, column == F.lit(value)) if isinstance(kind, T.StringType) else F.lit(False)
         return self.compare(key, "eq", value) if _is_number(value) else F.lit(False)
 
     def compare(self, key: str, op: str, value: Any) -> Column:
@@ -140,13 +144,13 @@ class TypedFields:
         if isinstance(kind, T.VariantType):
             return _variant_compare(column, op, value)
         if isinstance(kind, T.IntegralType):
-            return _known(_compare_whole(op, column, value))
+            return _present(column, _compare_whole(op, column, value))
         if isinstance(kind, T.BooleanType):
-            return _known(_compare_whole(op, column.cast("long"), value))
+            return _present(column, _compare_whole(op, column.cast("long"), value))
         if isinstance(kind, T.DoubleType):
-            return _known(_compare_real(op, column, value))
+            return _present(column, _compare_real(op, column, value))
         if isinstance(kind, T.NumericType):
-            return _known(_compare_real(op, column.cast("double"), value))
+            return _present(column, _compare_real(op, column.cast("double"), value))
         return F.lit(False)
 
     def member(self, key: str, values: list[Any]) -> Column:
@@ -161,7 +165,7 @@ class TypedFields:
             plain = [b[1] for b in bounds if not isinstance(b, bool) and LONG_MIN <= b[1] <= LONG_MAX]
         else:
             return _any([self.equal(key, v) for v in values])
-        tests = [_known(column.isin(plain))] if plain else []
+        tests = [_present(column, column.isin(plain))] if plain else []
         if any(v is None for v in values):
             tests.append(column.isNull())
         return _any(tests)

@@ -169,19 +169,29 @@ def keyword_scores(
         phrases = phrases.unionByName(_excluded(wanted, exclude))
     # The matching postings feed counts, weights and matches: written once.
     hits = cut_lineage(_phrase_hits(index.postings, phrases.distinct(), prefix, bounded))
-    scoped = hits.withColumn("scope", _scope(stats_scope))
-    held = scoped.groupBy("scope", *_PHRASE).agg(F.count(F.lit(1)).alias("df"))
+    held = hits.groupBy(_scope(stats_scope).alias("scope"), *_PHRASE).agg(F.count(F.lit(1)).alias("df"))
     weights = cut_lineage(held.join(corpus_stats(index.lengths, stats_scope), "scope"))
-    weighted = equi_join(scoped, weights, ["scope", *_PHRASE], spread=["id"], max_rows=max_rows)
+    open_hits = hits
     if only is not None:
-        weighted = equi_join(weighted, only.select(*_DOC), _DOC, "left_semi", spread=["phrase"], max_rows=max_rows)
-    scored = weighted.select(*_DOC, *_PHRASE, _bm25().alias("score"))
+        open_hits = equi_join(hits, only.select(*_DOC), _DOC, "left_semi", spread=["phrase"], max_rows=max_rows)
+
+    def scored(rows: DataFrame) -> DataFrame:
+        weighted = equi_join(
+            rows.withColumn("scope", _scope(stats_scope)), weights, ["scope", *_PHRASE], spread=["id"], max_rows=max_rows
+        )
+        return weighted.withColumn("score", _bm25()).drop("scope", "tf", "dl", "df", "n_docs", "avg_dl")
+
+    total = F.sum(F.col("times") * F.col("score")).alias("bm25")
+
     if mode == "and":
-        found = _match_all(scored, wanted, weights, stats_scope, bounded)
+        pairs = _match_all(open_hits, wanted, weights, stats_scope, bounded, max_rows)
+        found = scored(pairs).groupBy("q_id", *_DOC).agg(
+            F.count(F.lit(1)).alias("n"), F.max("n_phrases").alias("n_phrases"), total
+        ).where(F.col("n") == F.col("n_phrases"))
     else:
         asked = wanted.select("q_id", "collection_id", *_PHRASE, "times")
-        pairs = equi_join(scored, asked, ["collection_id", *_PHRASE], spread=["id"], small_fits=bounded)
-        found = pairs.groupBy("q_id", *_DOC).agg(F.sum(F.col("times") * F.col("score")).alias("bm25"))
+        pairs = equi_join(scored(open_hits), asked, ["collection_id", *_PHRASE], spread=["id"], small_fits=bounded)
+        found = pairs.groupBy("q_id", *_DOC).agg(total)
     if exclude:
         banned = hits.join(F.broadcast(_excluded(wanted, exclude)), _PHRASE, "left_semi").select(*_DOC).distinct()
         found = equi_join(found, banned, _DOC, "left_anti", spread=["q_id"], max_rows=max_rows)
@@ -189,9 +199,9 @@ def keyword_scores(
 
 
 def _match_all(
-    scored: DataFrame, wanted: DataFrame, weights: DataFrame, stats_scope: str, bounded: bool
+    hits: DataFrame, wanted: DataFrame, weights: DataFrame, stats_scope: str, bounded: bool, max_rows: int
 ) -> DataFrame:
-    """Documents that hold every phrase of a query.
+    """Hits of the documents that may hold every phrase of a query.
 
     Only the documents of each query's rarest phrase are candidates; they are
     checked against the other phrases by document and phrase.
@@ -206,7 +216,7 @@ def _match_all(
     )
     leads = rarest.select("q_id", "collection_id", "r.phrase", "r.is_prefix")
     candidates = equi_join(
-        scored.select(*_DOC, *_PHRASE), leads, ["collection_id", *_PHRASE], spread=["id"], small_fits=bounded
+        hits.select(*_DOC, *_PHRASE), leads, ["collection_id", *_PHRASE], spread=["id"], small_fits=bounded
     ).select("q_id", *_DOC)
     checks = equi_join(
         candidates,
@@ -215,16 +225,8 @@ def _match_all(
         spread=["id"],
         small_fits=bounded,
     )
-    met = checks.join(scored, [*_DOC, *_PHRASE])
-    return (
-        met.groupBy("q_id", *_DOC)
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max("n_phrases").alias("n_phrases"),
-            F.sum(F.col("times") * F.col("score")).alias("bm25"),
-        )
-        .where(F.col("n") == F.col("n_phrases"))
-    )
+    # Few next to the hits: written once, counted, then met by document and phrase.
+    return equi_join(hits, cut_lineage(checks), [*_DOC, *_PHRASE], max_rows=max_rows)
 
 
 def _excluded(wanted: DataFrame, text: str) -> DataFrame:

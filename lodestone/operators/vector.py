@@ -37,7 +37,7 @@ def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = np.asarray(column.flatten(), dtype=np.float64)
-    return flat.reshape(rows, -1)
+    return flat.reshape(rows, len(flat) // rows if rows else 0)
 
 
 def _stack(vectors: pd.Series) -> np.ndarray:
