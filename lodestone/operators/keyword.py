@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,18 +21,26 @@ K1 = 1.2
 B = 0.75
 IDF_FLOOR = 1e-6
 
+#: Up to this many distinct words are looked up by a filter on the postings.
+PUSHED_TERMS = 1_000
+
 _DOC = ["collection_id", "id"]
 _PHRASE = ["phrase", "is_prefix"]
 
 
-def build_postings(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def build_postings(docs: DataFrame, keep: tuple[str, ...] = (), with_lengths: bool = False) -> DataFrame:
     """(collection_id, id, keep..., term, tf, dl): one row per document and distinct term.
 
     `dl` is the number of tokens of the document. A document is one row, so
-    its terms are counted where it is read and nothing is shuffled.
+    its terms are counted where it is read and nothing is shuffled. With
+    `with_lengths` every document also gets a row with the empty term and
+    tf 0, so that its length is stored even if it has no words.
     """
     keys = [*_DOC, *keep]
-    tokens = docs.select(*keys, tokenize(F.col("text")).alias("tokens"))
+    words = tokenize(F.col("text"))
+    if with_lengths:
+        words = F.array_prepend(words, "")
+    tokens = docs.select(*keys, words.alias("tokens"))
     schema = T.StructType([*tokens.select(*keys).schema.fields, *POSTINGS.fields[2:]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,9 +51,13 @@ def build_postings(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             width = max(1, len(words.dictionary))
             cells = np.repeat(np.arange(len(lengths)) * width, lengths) + words.indices.to_numpy()
             found, times = np.unique(cells, return_counts=True)
-            rows = pa.array(found // width)
-            columns = [batch.column(k).take(rows) for k in keys]
-            columns += [words.dictionary.take(pa.array(found % width)), pa.array(times), lists.value_lengths().take(rows)]
+            columns = [batch.column(k).take(pa.array(found // width)) for k in keys]
+            terms = words.dictionary.take(pa.array(found % width))
+            sizes = lengths[found // width]
+            if with_lengths:
+                times = times - pc.equal(terms, "").to_numpy(zero_copy_only=False)
+                sizes = sizes - 1
+            columns += [terms, pa.array(times, pa.int64()), pa.array(sizes, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return tokens.mapInArrow(count, schema)
@@ -112,12 +125,13 @@ def _phrase_hits(postings: DataFrame, phrases: DataFrame, prefix: bool, bounded:
     """(collection_id, id, phrase, is_prefix, tf, dl) for every phrase."""
     whole = phrases.where(~F.col("is_prefix")).select(F.col("phrase").alias("term"))
     columns = [*_DOC, "phrase", "is_prefix", "tf", "dl"]
-    exact = (
-        equi_join(postings, whole, ["term"], "left_semi", spread=["id"], small_fits=bounded)
-        .withColumn("phrase", F.col("term"))
-        .withColumn("is_prefix", F.lit(False))
-        .select(*columns)
-    )
+    few = [r["term"] for r in whole.limit(PUSHED_TERMS + 1).collect()]
+    if len(few) <= PUSHED_TERMS:
+        # A plain filter reaches the scan: sorted postings of other terms are skipped.
+        matching = postings.where(F.col("term").isin(few))
+    else:
+        matching = equi_join(postings, whole, ["term"], "left_semi", spread=["id"], small_fits=bounded)
+    exact = matching.select(*_DOC, F.col("term").alias("phrase"), F.lit(False).alias("is_prefix"), "tf", "dl")
     if not prefix:
         return exact
     # Prefixes meet terms on a shared leading part as long as the shortest prefix.
@@ -170,14 +184,25 @@ def keyword_scores(
     # The matching postings feed counts, weights and matches: written once.
     hits = cut_lineage(_phrase_hits(index.postings, phrases.distinct(), prefix, bounded))
     held = hits.groupBy(_scope(stats_scope).alias("scope"), *_PHRASE).agg(F.count(F.lit(1)).alias("df"))
-    weights = cut_lineage(held.join(corpus_stats(index.lengths, stats_scope), "scope"))
+    corpus = corpus_stats(index.lengths, stats_scope)
+    if stats_scope == "global":
+        weights = held.join(F.broadcast(corpus), "scope")  # one row
+    else:
+        weights = equi_join(held, cut_lineage(corpus), ["scope"], spread=["phrase"], max_rows=max_rows)
+    weights = cut_lineage(weights)
     open_hits = hits
     if only is not None:
         open_hits = equi_join(hits, only.select(*_DOC), _DOC, "left_semi", spread=["phrase"], max_rows=max_rows)
 
     def scored(rows: DataFrame) -> DataFrame:
         weighted = equi_join(
-            rows.withColumn("scope", _scope(stats_scope)), weights, ["scope", *_PHRASE], spread=["id"], max_rows=max_rows
+            rows.withColumn("scope", _scope(stats_scope)),
+            weights,
+            ["scope", *_PHRASE],
+            spread=["id"],
+            max_rows=max_rows,
+            # Over all collections there is one weight per phrase asked for.
+            small_fits=bounded if stats_scope == "global" else None,
         )
         return weighted.withColumn("score", _bm25()).drop("scope", "tf", "dl", "df", "n_docs", "avg_dl")
 

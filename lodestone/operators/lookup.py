@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.where import Fields, VariantFields, compile_equality
 from lodestone.functions.metadata import decode_metadata
-from lodestone.session import BROADCAST_ROWS, equi_join
+from lodestone.session import BROADCAST_ROWS, cut_lineage, equi_join
 
 
 def lookup_documents(docs: DataFrame, keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -22,14 +22,21 @@ def lookup_int_ids(docs: DataFrame, labels: DataFrame, max_rows: int = BROADCAST
     return equi_join(docs, wanted, ["collection_id", "int_id"], "left_semi", max_rows=max_rows)
 
 
-def hydrate(hits: DataFrame, docs: DataFrame, columns: list[str], bounded: bool | None = None) -> DataFrame:
+def hydrate(hits: DataFrame, docs: DataFrame, columns: list[str], bounded: bool = False) -> DataFrame:
     """Add document columns to ranked hits; hits without a document drop out.
 
     The hits are the small side: wide columns are read only here, after the
     top-k cut. `bounded` tells that the hits are known to fit a broadcast.
+    Otherwise each wanted document is fetched once, and the hits are spread by
+    query, so that a document wanted by many queries is no hot key.
     """
-    wide = docs.select("collection_id", "id", *columns)
-    return equi_join(wide, hits, ["collection_id", "id"], small_fits=bounded)
+    key = ["collection_id", "id"]
+    wide = docs.select(*key, *columns)
+    if bounded:
+        return wide.join(F.broadcast(hits), key)
+    hits = cut_lineage(hits)
+    fetched = equi_join(wide, hits.select(*key).distinct(), key, "left_semi")
+    return equi_join(hits, fetched, key, spread=["q_id"], small_fits=False)
 
 
 def matching_ids(docs: DataFrame, where: dict | None, fields: Fields | None = None) -> DataFrame | None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.keys import int_id
 from lodestone.functions.metadata import default_metadata
+from lodestone.session import equi_join
 
 _KEY = ["collection_id", "id"]
 #: Rows of one batch are numbered below this; batches count in steps of it.
@@ -54,23 +55,28 @@ def latest_rows(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return last.select(*keys, "last.*").select(*log.columns)
 
 
+def collapse_batch(batch: DataFrame) -> DataFrame:
+    """One row per id of a batch: the one with the highest `pos`."""
+    return latest_rows(batch, _KEY, ["pos"] if "pos" in batch.columns else [])
+
+
 def latest_documents(log: DataFrame) -> DataFrame:
     """Documents as of now: last write per id, deleted ids left out."""
     return latest_rows(log, _KEY, ["seq"]).where(F.col("op") == "upsert")
 
 
 def stale_versions(log: DataFrame) -> DataFrame:
-    """(collection_id, id, seq) of rows a later row replaced or removed; reads keys only."""
+    """(collection_id, id, seq) of rows a later row replaced or removed.
+
+    Reads keys only. Versions of one id need distinct `seq`, which batches
+    written through `collapse_batch` have.
+    """
     versions = log.select(*_KEY, "seq", "op")
-    newest = versions.groupBy(*_KEY).agg(
-        F.max(F.struct("seq", "op")).alias("last"), F.count(F.lit(1)).alias("n")
-    )
-    changed = newest.where((F.col("n") > 1) | (F.col("last.op") == "delete")).select(
-        *_KEY, F.col("last.seq").alias("last_seq"), F.col("last.op").alias("last_op")
-    )
+    newest = versions.groupBy(*_KEY).agg(F.max("seq").alias("last_seq"), F.max_by("op", "seq").alias("last_op"), F.count(F.lit(1)).alias("n"))
+    changed = newest.where((F.col("n") > 1) | (F.col("last_op") == "delete")).drop("n")
+    # The small side is unique per id; a much rewritten id is spread by its versions.
     return (
-        versions.join(changed, _KEY)
+        equi_join(versions, changed, _KEY, spread=["seq"])
         .where((F.col("seq") < F.col("last_seq")) | (F.col("last_op") == "delete"))
         .select(*_KEY, "seq")
-        .distinct()
     )

@@ -55,6 +55,11 @@ def delete_collections(registry: DataFrame, names: DataFrame, seq: int) -> DataF
     return gone.withColumns({"seq": F.lit(seq).cast("long"), "op": F.lit("delete")}).select(*_COLUMNS)
 
 
+def deleted_collections(registry: DataFrame) -> DataFrame:
+    """(collection_id) of every collection that was deleted."""
+    return registry.where(F.col("op") == "delete").select("collection_id").distinct()
+
+
 def in_live_collections(rows: DataFrame, registry: DataFrame, spread: str) -> DataFrame:
     """Rows whose collection exists: documents, postings and edges of deleted ones disappear."""
     live = current_collections(registry).select("collection_id")

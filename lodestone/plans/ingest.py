@@ -37,13 +37,13 @@ def ingest_batch(
     incoming = cut_lineage(embed(batch, fn=embed_fn, dim=dim))
     kept = incoming
     if deduplicate:
-        kept = drop_near_duplicates(incoming, store.documents(), similarity_threshold)
-    store.write("documents", number, mutate.upsert_rows(kept, number))
+        kept = cut_lineage(drop_near_duplicates(incoming, store.documents(), similarity_threshold))
+    store.write("documents", number, mutate.upsert_rows(mutate.collapse_batch(kept), number))
     # Everything else starts from the documents that were written.
     written = store.read_batch("documents", number)
     tables = ["documents", "postings"]
     store.write("postings", number, versioned_postings(written))
-    summary = ingest_summary(incoming, written)
+    summary = ingest_summary(incoming, kept)
     if extract_graph:
         edges = cooccurrence_triples(extract_entities(written, entity_fn))
         store.write("triples", number, numbered_triples(identify_triples(edges), number))

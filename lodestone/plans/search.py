@@ -48,6 +48,7 @@ def vector_search(
     columns: tuple[str, ...] = ("text", "metadata"),
     operators: bool = False,
     vector_leg: VectorLeg = vector_topk,
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """(q_id, collection_id, rank, id, score, ...): nearest documents, then the filter.
 
@@ -56,7 +57,7 @@ def vector_search(
     compares each key for equality; `operators` allows the whole language.
     """
     hits = vector_leg(docs, queries, 2 * k if where else k)
-    bounded = fits(queries, BROADCAST_ROWS // (2 * k))
+    bounded = fits(queries, max_rows // (2 * k))
     rows = hydrate(hits.select(*_KEY, "rank", F.col("distance").alias("score")), docs, list(columns), bounded)
     if where:
         compiler = compile_where if operators else compile_equality
@@ -74,6 +75,7 @@ def hybrid_search(
     index: KeywordIndex | None = None,
     filter_mode: str = "post",
     vector_leg: VectorLeg = vector_topk,
+    max_rows: int = BROADCAST_ROWS,
     **keyword_options,
 ) -> DataFrame:
     """(q_id, collection_id, rank, id, score, source, ...): both legs fused by rank.
@@ -92,9 +94,9 @@ def hybrid_search(
         keyword_options["only"] = allowed.select("collection_id", "id")
     else:
         vector_hits = vector_leg(docs, queries, 2 * k if where else k)
-    keyword_hits = keyword_topk(index, queries, limit=2 * k, **keyword_options)
+    keyword_hits = keyword_topk(index, queries, limit=2 * k, max_rows=max_rows, **keyword_options)
     best = fused_topk(fuse(vector_hits, keyword_hits), k)
-    bounded = fits(queries, BROADCAST_ROWS // (2 * k))
+    bounded = fits(queries, max_rows // (2 * k))
     rows = hydrate(best.select(*_KEY, "rank", "score", "source"), docs, list(columns), bounded)
     if passing is not None and filter_mode == "post":
         rows = rows.where(passing)

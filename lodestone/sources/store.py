@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from lodestone import schema
 from lodestone.operators import mutate, registry
 from lodestone.operators.graph import latest_triples
-from lodestone.operators.keyword import KeywordIndex, build_postings, document_lengths
-from lodestone.session import equi_join
+from lodestone.operators.keyword import KeywordIndex, build_postings
+from lodestone.session import cut_lineage, equi_join, spread
 
 _COMMITS = T.StructType(
     [
@@ -43,6 +43,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._replaced: tuple[int, DataFrame | None] = (0, None)
 
     # Batches ---------------------------------------------------------------
 
@@ -65,14 +66,17 @@ class Store:
         return f"{self.root}/{table}/batch={batch}"
 
     def write(self, table: str, batch: int, rows: DataFrame) -> None:
-        """Write the rows of one table; invisible until the batch is committed."""
+        """Write the rows of one table; invisible until the batch is committed.
+
+        Rebalancing splits a hot collection or term over several files, and
+        sorted postings let a search skip the row groups of other terms.
+        """
         rows = rows.select(*TABLES[table].fieldNames())
-        writer = (
-            rows.repartitionByRange("collection_id", "term", "id").sortWithinPartitions("collection_id", "term", "id")
-            if table == "postings"
-            else rows.hint("rebalance", "collection_id")
-        )
-        writer = writer.write.mode("overwrite")
+        if table == "postings":
+            rows = rows.hint("rebalance", "collection_id", "term").sortWithinPartitions("collection_id", "term", "id")
+        else:
+            rows = rows.hint("rebalance", "collection_id")
+        writer = rows.write.mode("overwrite")
         if table != "collections":
             writer = writer.partitionBy("collection_id")
         writer.parquet(self.path(table, batch))
@@ -97,28 +101,48 @@ class Store:
     def collections(self) -> DataFrame:
         return registry.current_collections(self.log("collections"))
 
+    def _stale(self) -> DataFrame | None:
+        """Replaced and deleted versions, None if there are none.
+
+        Found from the keys alone and kept until the next commit, so that
+        texts and vectors are never shuffled to find the latest ones.
+        """
+        last = self.next_batch() - 1
+        if self._replaced[0] != last:
+            stale = cut_lineage(mutate.stale_versions(self.log("documents")))
+            self._replaced = (last, None if stale.isEmpty() else stale)
+        return self._replaced[1]
+
+    def _current(self, rows: DataFrame, spread_by: str) -> DataFrame:
+        stale = self._stale()
+        if stale is None:
+            return rows
+        return equi_join(rows, stale, ["collection_id", "id", "seq"], "left_anti", spread=["id", spread_by])
+
+    def _live(self, rows: DataFrame, spread_by: str) -> DataFrame:
+        dead = registry.deleted_collections(self.log("collections"))
+        return equi_join(rows, dead, ["collection_id"], "left_anti", spread=[spread_by])
+
     def documents(self, collection_id: str | None = None) -> DataFrame:
         """Latest documents; one collection reads only its own folders."""
-        log = self.log("documents")
+        rows = self._current(self.log("documents").where(F.col("op") == "upsert"), "seq")
         if collection_id is not None:
-            return mutate.latest_documents(log.where(F.col("collection_id") == collection_id))
-        return registry.in_live_collections(mutate.latest_documents(log), self.log("collections"), "id")
+            return rows.where(F.col("collection_id") == collection_id)
+        return self._live(rows, "id")
 
     def keyword_index(self) -> KeywordIndex:
         """Postings and lengths of the latest documents of all live collections."""
-        stale = mutate.stale_versions(self.log("documents"))
-        rows = equi_join(self.log("postings"), stale, ["collection_id", "id", "seq"], "left_anti", spread=["term"])
-        live = registry.in_live_collections(rows, self.log("collections"), "id").drop("seq")
-        # An empty text has no postings but counts as a document.
-        counted = live.where(F.col("term") != "")
-        lengths = live.where(F.col("term") == "").select("collection_id", "id", "dl")
-        return KeywordIndex(counted, lengths)
+        rows = self._live(self._current(self.log("postings"), "term"), "id").drop("seq")
+        # The empty term carries the length, so a document without words counts as well.
+        words = rows.where(F.col("term") != "")
+        lengths = rows.where(F.col("term") == "").select("collection_id", "id", "dl")
+        return KeywordIndex(words, lengths)
 
     def triples(self, collection_id: str | None = None) -> DataFrame:
         log = self.log("triples")
         if collection_id is not None:
             return latest_triples(log.where(F.col("collection_id") == collection_id))
-        return latest_triples(registry.in_live_collections(log, self.log("collections"), "triple_id"))
+        return latest_triples(self._live(log, "triple_id"))
 
     # Changes ---------------------------------------------------------------
 
@@ -167,11 +191,5 @@ def numbered_triples(triples: DataFrame, batch: int) -> DataFrame:
 
 
 def versioned_postings(documents: DataFrame) -> DataFrame:
-    """Postings that carry the version of their document.
-
-    Each document also gets one row with the empty term, so its length is
-    known without reading its text.
-    """
-    lengths = document_lengths(documents, ("seq",))
-    blanks = lengths.withColumns({"term": F.lit(""), "tf": F.lit(0).cast("long")})
-    return build_postings(documents, ("seq",)).unionByName(blanks)
+    """Postings and lengths that carry the version of their document."""
+    return build_postings(spread(documents), ("seq",), with_lengths=True)

@@ -169,3 +169,15 @@ def test_post_filter_may_return_fewer_and_pre_filter_does_not(spark):
     assert [r["rank"] for r in sorted(post, key=lambda r: r["rank"])] == list(range(1, len(post) + 1))
     nearest = vector_search(docs, asked, 3).orderBy("rank").collect()
     assert nearest[0].id == "d1" and nearest[0].score == 0.0
+
+
+def test_searches_too_large_to_broadcast_give_the_same_rows(spark):
+    rows = [("c", f"d{i}", f"word{i % 5} common", '{"n": %d}' % i) for i in range(40)]
+    docs = embed(spark.createDataFrame(rows, "collection_id string, id string, text string, metadata string"), dim=16)
+    asked = spark.createDataFrame([(f"q{i}", "c", f"word{i % 5}") for i in range(12)], "q_id string, collection_id string, query_text string")
+    asked = embed(asked, "query_text", dim=16)
+
+    def result(**limits):
+        return sorted(map(tuple, hybrid_search(docs, asked, 3, {"n": {"$lt": 30}}, **limits).collect()))
+
+    assert result() == result(max_rows=0, vector_leg=lambda d, q, k: V.vector_topk(d, q, k, 0))

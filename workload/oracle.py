@@ -432,6 +432,7 @@ ORACLE |= {
         "select doc_id // 50 as batch, (row_number() over (partition by doc_id // 50 order by doc_id) - 1)::INTEGER as pos, "
         "doc_id::VARCHAR as id, length(text)::INTEGER as chars, '{}' as metadata from documents"
     ),
+    "text_files": "select md5(text || chr(10)) as content, (length(text) + 1)::INTEGER as chars, true as named from benchmark",
     "documents_looked_up": f"select lang as collection_id, doc_id::VARCHAR as id, {_metadata()} as metadata from {LABELLED} where toxic = 1",
     "documents_by_label": f"select doc_id::VARCHAR as id, {_int_id('doc_id::VARCHAR')} as int_id from documents where doc_id in (select vec_id from embeddings)",
     "collections_list": (

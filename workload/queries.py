@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.embedding import embed
 from lodestone.functions.keys import int_id
 from lodestone.functions.metadata import decode_metadata, encode_metadata
-from lodestone.functions.text import chunk_text
+from lodestone.functions.text import chunk_text, tokenize
 from lodestone.functions.vectors import squared_l2
 from lodestone.functions.where import TypedFields, VariantFields, compile_where
 from lodestone.operators import graph, mutate, registry
@@ -27,8 +28,9 @@ from lodestone.operators.vector import cell_index, choose_pivots, vector_topk, v
 from lodestone.plans.ingest import chunk_rows, ingest_batch, ingest_files
 from lodestone.plans.respond import assemble_context, render_results, render_triples, response_lists
 from lodestone.plans.search import hybrid_search, vector_search
-from lodestone.session import shared_dir
+from lodestone.session import cut_lineage, shared_dir, spread
 from lodestone.sources.batches import unnest_batches
+from lodestone.sources.files import read_text_files
 from lodestone.sources.store import Store
 from workload import tables as t
 
@@ -355,6 +357,15 @@ def batch_rows(spark, sf_dir):
     return unnest_batches(arrays, "batch").select("batch", "pos", "id", F.length("text").alias("chars"), "metadata")
 
 
+@query
+def text_files(spark, sf_dir):
+    """The benchmark texts as a folder with one file each, read back whole."""
+    folder = shared_dir(spark, "files")
+    t.table(spark, sf_dir, "benchmark").select("text").write.option("maxRecordsPerFile", 1).text(folder)
+    files = read_text_files(spark, folder)
+    return files.select(F.md5("text").alias("content"), F.length("text").alias("chars"), F.endswith(F.col("source"), F.lit(".txt")).alias("named"))
+
+
 @query
 def documents_looked_up(spark, sf_dir):
     docs = t.documents(spark, sf_dir, "lang")
@@ -510,7 +521,7 @@ def embed_text(spark, sf_dir):
 
 @query
 def chunk_documents(spark, sf_dir):
-    docs = t.table(spark, sf_dir, "documents")
+    docs = spread(t.table(spark, sf_dir, "documents"))
     return docs.select("doc_id", F.posexplode(chunk_text(F.col("text"))).alias("chunk", "text"))
 
 
@@ -557,17 +568,11 @@ def entity_gazetteer(spark, sf_dir):
     """Names found as capitalised spans anywhere, looked up as words in every document."""
     docs = t.documents(spark, sf_dir)
     spans = graph.extract_entities(docs)
-    words = F.array_join(t_words(F.col("text")), " ")
-    names = spans.where(F.size(t_words(F.col("text"))).between(2, 3)).groupBy(words.alias("text")).agg(F.lit("Organization").alias("label"))
+    words = F.array_join(tokenize(F.col("text")), " ")
+    names = spans.where(F.size(tokenize(F.col("text"))).between(2, 3)).groupBy(words.alias("text")).agg(F.lit("Organization").alias("label"))
     return graph.gazetteer_entities(docs, names).select("id", "pos", "text", "label")
 
 
-def t_words(text):
-    from lodestone.functions.text import tokenize
-
-    return tokenize(text)
-
-
 @query
 def entity_pairs(spark, sf_dir):
     mentions = graph.extract_entities(t.documents(spark, sf_dir))
@@ -618,7 +623,9 @@ def graph_expanded(spark, sf_dir):
         F.col("r_name").alias("q_id"), F.lit("star").alias("collection_id"),
         F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("entity"),
     )
-    return graph.expand(t.star_triples(spark, sf_dir), regions, 3).select("q_id", "hop", "subject", "predicate", "object")
+    # Every hop reads the edges: they are written once.
+    edges = cut_lineage(t.star_triples(spark, sf_dir))
+    return graph.expand(edges, regions, 3).select("q_id", "hop", "subject", "predicate", "object")
 
 
 @query
@@ -652,6 +659,4 @@ def tenant_search(spark, sf_dir):
     sources = F.array(*[F.lit(f"src{i}") for i in range(20)])
     asked = t.table(spark, sf_dir, "benchmark").select(F.explode(sources).alias("collection_id"), "item_id", F.col("text").alias("query_text"))
     asked = asked.withColumn("q_id", F.concat_ws(":", "collection_id", "item_id"))
-    from lodestone.functions.embedding import embed
-
     return _ranked(hybrid_search(docs, embed(asked, "query_text", dim=t.DIM), 3), "score", 10)
