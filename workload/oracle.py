@@ -286,7 +286,7 @@ ORACLE = {
     "where_eq": _part("p_brand = 'Brand#13'"),
     "where_eq_null": _lab("quality is null"),
     "where_ne": _lab("quality is distinct from 1"),
-    "where_gt": _part("p_retailprice > 950"),
+    "where_gt": _part("p_retailprice > 915"),
     "where_gte": _part("p_size >= 25"),
     "where_lt": _part("p_size < 10.5"),
     "where_lte": _lab("n_chars <= 500"),

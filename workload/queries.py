@@ -141,7 +141,7 @@ QUERIES.update(
     where_eq=_typed_part({"p_brand": "Brand#13"}),
     where_eq_null=_typed_labelled({"quality": None}),
     where_ne=_typed_labelled({"quality": {"$ne": 1}}),
-    where_gt=_typed_part({"p_retailprice": {"$gt": 950}}),
+    where_gt=_typed_part({"p_retailprice": {"$gt": 915}}),
     where_gte=_typed_part({"p_size": {"$gte": 25}}),
     where_lt=_typed_part({"p_size": {"$lt": 10.5}}),
     where_lte=_typed_labelled({"n_chars": {"$lte": 500}}),
