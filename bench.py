@@ -35,7 +35,14 @@ def run(df) -> None:
 
 def main() -> None:
     spark = get_spark(
-        "bench", f"local[{CPUS}]", **{"spark.sql.shuffle.partitions": CPUS, "spark.driver.memory": "16g"}
+        "bench",
+        f"local[{CPUS}]",
+        **{
+            "spark.sql.shuffle.partitions": CPUS,
+            "spark.driver.memory": "16g",
+            # Small tables: files of a few megabytes keep all cores busy.
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2m",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     n_docs = t.table(spark, SF_DIR, "documents").count()

@@ -43,7 +43,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self._replaced: tuple[int, DataFrame | None] = (0, None)
+        self._gone: tuple[int, DataFrame | None, DataFrame | None] = (0, None, None)
 
     # Batches ---------------------------------------------------------------
 
@@ -101,27 +101,30 @@ class Store:
     def collections(self) -> DataFrame:
         return registry.current_collections(self.log("collections"))
 
-    def _stale(self) -> DataFrame | None:
-        """Replaced and deleted versions, None if there are none.
+    def _missing(self) -> tuple[DataFrame | None, DataFrame | None]:
+        """Replaced or deleted versions, and deleted collections; None where there are none.
 
         Found from the keys alone and kept until the next commit, so that
         texts and vectors are never shuffled to find the latest ones.
         """
         last = self.next_batch() - 1
-        if self._replaced[0] != last:
-            stale = cut_lineage(mutate.stale_versions(self.log("documents")))
-            self._replaced = (last, None if stale.isEmpty() else stale)
-        return self._replaced[1]
+        if self._gone[0] != last:
+            found = [
+                cut_lineage(mutate.stale_versions(self.log("documents"))),
+                cut_lineage(registry.deleted_collections(self.log("collections"))),
+            ]
+            self._gone = (last, *[None if rows.isEmpty() else rows for rows in found])
+        return self._gone[1:]
 
     def _current(self, rows: DataFrame, spread_by: str) -> DataFrame:
-        stale = self._stale()
+        stale, _ = self._missing()
         if stale is None:
             return rows
         return equi_join(rows, stale, ["collection_id", "id", "seq"], "left_anti", spread=["id", spread_by])
 
     def _live(self, rows: DataFrame, spread_by: str) -> DataFrame:
-        dead = registry.deleted_collections(self.log("collections"))
-        return equi_join(rows, dead, ["collection_id"], "left_anti", spread=[spread_by])
+        _, dead = self._missing()
+        return rows if dead is None else equi_join(rows, dead, ["collection_id"], "left_anti", spread=[spread_by])
 
     def documents(self, collection_id: str | None = None) -> DataFrame:
         """Latest documents; one collection reads only its own folders."""
