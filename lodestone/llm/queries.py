@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontaminate import contamination_report
+from lodestone.llm.simhash import simhash_report
 
 QUERIES = {}
 
@@ -21,3 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_decontaminate(spark, sf_dir):
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_simhash(spark, sf_dir):
+    return simhash_report(table(spark, sf_dir, "documents"))
