@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontaminate import contamination_report
 from lodestone.llm.simhash import simhash_report
+from lodestone.llm.token_files import token_report
+from lodestone.session import shared_dir
 
 QUERIES = {}
 
@@ -15,6 +18,10 @@ def query(fn):
     return fn
 
 
+def tokenizer() -> str:
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -27,3 +34,8 @@ def op1_decontaminate(spark, sf_dir):
 @query
 def op2_simhash(spark, sf_dir):
     return simhash_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_token_files(spark, sf_dir):
+    return token_report(table(spark, sf_dir, "documents"), shared_dir(spark, "tokens"), tokenizer())
