@@ -23,6 +23,7 @@ Defined results
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -43,9 +44,11 @@ _HEAD_BYTES = 10
 MANIFEST = "part int, records string, index string, n_records bigint, n_tokens bigint"
 
 #: Pieces of text whose ids one task remembers.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
+#: Text behind one record file, about; small tables get smaller files, one per core.
+FILE_TEXT_BYTES = 48 << 20
 #: Documents that are encoded at a time.
-_SLICE = 256
+_SLICE = 128
 
 
 def masked_crc(data: bytes) -> int:
@@ -58,21 +61,21 @@ def masked_crc(data: bytes) -> int:
 #: Byte-level pre-tokenisation never crosses a single space between two characters
 #: that are not white space, so the pieces between such spaces are encoded once each.
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s | \s|\A | \Z")
 
 
 def pieces(text: str) -> list[str]:
-    """The text in pieces that are encoded independently; all but the first begin with a space."""
-    if not text:
-        return []
-    first, *rest = _SPLIT.split(text) if _ODD.search(text) else text.split(" ")
-    return [first, *(" " + x for x in rest)]
+    """The text cut at the spaces that no token crosses, without them."""
+    plain = text.replace("\n", "").isprintable()  # then it has no white space but space and line feed
+    if plain and text[:1] != " " and text[-1:] != " " and not any(x in text for x in ("  ", " \n", "\n ")):
+        return text.split(" ")
+    return _SPLIT.split(text)
 
 
 class Encoder:
     """Encodes whole texts with a byte-level tokenizer file and remembers pieces."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -82,35 +85,45 @@ class Encoder:
         self.opens = np.zeros(size, dtype=bool)  # ids that begin with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
-        self.known: dict[str, bytes] = {}
+        self.marks = dict(zip(".,;:!?", self._ids([*".,;:!?"])))
+        self.known: dict[str, bytes] = {}  # ids of a piece that follows a space
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+    def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype) for x in found]
+        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
     def _learn(self, unknown: set[str]) -> None:
-        plain = [x for x in unknown if x[0] == " " and x[1:].split() == [x[1:]]]
+        """Encode what is new; a word of letters and the mark after it are tokens apart."""
+        marked = [x for x in unknown if x[-1:] in self.marks and x[:-1].isalpha()]
+        self._encode_new(unknown.difference(marked).union(x[:-1] for x in marked).difference(self.known))
+        self.known.update((x, self.known[x[:-1]] + self.marks[x[-1]]) for x in marked)
+
+    def _encode_new(self, unknown: set[str]) -> None:
+        plain = [x for x in unknown if x.isprintable()]  # and so without white space inside
         other = list(unknown.difference(plain))
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            (ids,) = self._ids(["".join(part)])
-            starts = np.flatnonzero(self.opens[ids])
+        for i in range(0, len(plain), 2000):
+            part = plain[i : i + 2000]
+            (data,) = self._ids([" " + " ".join(part)])
+            ids = np.frombuffer(data, dtype=self.dtype)
+            starts = (np.flatnonzero(self.opens[ids]) * self.dtype.itemsize).tolist()
             if len(starts) == len(part):
-                self.known.update(zip(part, (x.tobytes() for x in np.split(ids, starts[1:]))))
+                self.known.update(zip(part, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)]))))
             else:
                 other += part
-        self.known.update(zip(other, (x.tobytes() for x in self._ids(other))))
+        self.known.update(zip(other, self._ids([" " + x for x in other])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text, as bytes of `dtype`."""
         cut = [pieces(x or "") for x in texts]
-        unknown = set().union(*cut).difference(self.known)
+        first = self._ids([x[0] for x in cut])
+        rest = [x[1:] for x in cut]
+        unknown = set().union(*rest).difference(self.known)
+        if len(self.known) + len(unknown) > CACHE_PIECES:
+            self.known = {}
+            unknown = set().union(*rest)
         if unknown:
-            if len(self.known) > CACHE_PIECES:
-                self.known.clear()
-                unknown = set().union(*cut)
             self._learn(unknown)
-        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
+        return [b"".join((a, *map(self.known.__getitem__, x))) for a, x in zip(first, rest)]
 
 
 # Writing ---------------------------------------------------------------------
@@ -162,7 +175,10 @@ def write_token_files(
     """Write all documents in ascending doc_id order; returns the manifest, one row per record file."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     order = ["id", F.xxhash64("text")]
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    size = rows.agg(F.sum(F.length(F.encode("text", "UTF-8")))).first()[0] or 0
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    n_files = max(1, -(-size // FILE_TEXT_BYTES), min(cores, size // (FILE_TEXT_BYTES // 16)))
+    dealt = rows.repartitionByRange(n_files, *order).sortWithinPartitions(*order)
     done = dealt.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id), MANIFEST)
     done.write.parquet(f"{folder}/manifest")
     return read_manifest(docs.sparkSession, folder)
