@@ -45,17 +45,21 @@ def words(text: bytes | None) -> list[bytes]:
 class Windows:
     """Distinct windows of some items, by length, with the items that hold each."""
 
-    def __init__(self, items: list[tuple[str | None, bytes | None]], n: int):
-        self.vocabulary: dict[bytes, int] = {}
+    def __init__(self, vocabulary: dict[bytes, int], by_length: list[tuple]):
+        self.vocabulary, self.by_length = vocabulary, by_length
+
+    @classmethod
+    def of(cls, items: list[tuple[str | None, bytes | None]], n: int) -> Windows:
+        vocabulary: dict[bytes, int] = {}
         found: dict[int, dict[tuple[int, ...], set[str]]] = {}
         for item_id, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+            ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(text)]
             length = min(n, len(ids))
             for i in range(len(ids) - length + 1 if ids else 0):
                 holders = found.setdefault(length, {}).setdefault(tuple(ids[i : i + length]), set())
                 if item_id is not None:
                     holders.add(item_id)
-        self.by_length = [self._table(length, windows) for length, windows in sorted(found.items())]
+        return cls(vocabulary, [cls._table(length, windows) for length, windows in sorted(found.items())])
 
     @staticmethod
     def _table(length: int, windows: dict[tuple[int, ...], set[str]]):
@@ -132,19 +136,22 @@ def find_contamination(
     )
     schema = out.schema
     for items in _blocks(benchmark, item_id, item_text, block_bytes):
-        out = out.mapInArrow(_scanner(spark.sparkContext.broadcast(Windows(items, n)), text), schema)
+        windows = Windows.of(items, n)
+        shared = spark.sparkContext.broadcast((windows.vocabulary, windows.by_length))
+        out = out.mapInArrow(_scanner(shared, text), schema)
     return out
 
 
-def _scanner(windows, text: str):
+def _scanner(shared, text: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(*shared.value)
         for batch in batches:
             counts, spans, found = [], [], []
             texts = batch.column(text).cast(pa.binary() if pa.types.is_string(batch.column(text).type) else pa.large_binary())
             before = zip(batch.column("hit_words").to_pylist(), batch.column("items").to_pylist())
             for value, (old_spans, old_items) in zip(texts, before):
                 tokens = words(value.as_py())
-                mask, items = windows.value.find(tokens)
+                mask, items = windows.find(tokens)
                 for span in old_spans or ():
                     mask[span["start"] : span["end"]] = True
                 counts.append(len(tokens))

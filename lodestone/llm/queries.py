@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.decontaminate import contamination_report
 from lodestone.llm.simhash import simhash_report
 from lodestone.llm.token_files import token_report
+from lodestone.llm.toxicity import toxicity_report
 from lodestone.session import shared_dir
 
 QUERIES = {}
@@ -39,3 +40,8 @@ def op2_simhash(spark, sf_dir):
 @query
 def op4_token_files(spark, sf_dir):
     return token_report(table(spark, sf_dir, "documents"), shared_dir(spark, "tokens"), tokenizer())
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
