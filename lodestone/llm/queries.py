@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontaminate import contamination_report
+from lodestone.llm.html import extract_main_text
 from lodestone.llm.simhash import simhash_report
 from lodestone.llm.token_files import token_report
 from lodestone.llm.toxicity import toxicity_report
@@ -45,3 +46,8 @@ def op4_token_files(spark, sf_dir):
 @query
 def op6_toxicity(spark, sf_dir):
     return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_main_text(spark, sf_dir):
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
