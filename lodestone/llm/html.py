@@ -264,7 +264,9 @@ def _is_part(node: Node, best: Node) -> bool:
     density = node.linked / node.chars
     if node.tag in _HEADINGS or node.tag in ("article", "main"):
         return density < 0.5
-    if _net(node) >= max(3.0, 0.2 * _net(best)):
+    if _net(node) >= 0.2 * _net(best):
+        return True
+    if any(isinstance(x, Node) and x.tag in ("h1", "h2") for x in node.children) and density == 0:
         return True
     return node.tag in ("p", "blockquote", "pre", "ul", "ol", "table", "figure", "dl") and density < 0.25 and (node.chars > 80 or density == 0)
 

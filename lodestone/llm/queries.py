@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.decontaminate import contamination_report
 from lodestone.llm.html import extract_main_text
+from lodestone.llm.imatch import imatch_report
 from lodestone.llm.simhash import simhash_report
 from lodestone.llm.token_files import token_report
 from lodestone.llm.toxicity import toxicity_report
@@ -51,3 +52,8 @@ def op6_toxicity(spark, sf_dir):
 @query
 def op5_main_text(spark, sf_dir):
     return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query
+def op10_imatch(spark, sf_dir):
+    return imatch_report(table(spark, sf_dir, "documents"))
