@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestone.llm.decontaminate import contamination_report
 from lodestone.llm.html import extract_main_text
 from lodestone.llm.imatch import imatch_report
+from lodestone.llm.sharding import shard_report
 from lodestone.llm.simhash import simhash_report
 from lodestone.llm.token_files import token_report
 from lodestone.llm.toxicity import toxicity_report
@@ -57,3 +58,8 @@ def op5_main_text(spark, sf_dir):
 @query
 def op10_imatch(spark, sf_dir):
     return imatch_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_sharding(spark, sf_dir):
+    return shard_report(table(spark, sf_dir, "documents"))
