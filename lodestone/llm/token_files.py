@@ -26,10 +26,12 @@ from __future__ import annotations
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,8 @@ _HEAD = "<qBB"
 _HEAD_BYTES = 10
 MANIFEST = "part int, records string, index string, n_records bigint, n_tokens bigint"
 
-#: Pieces of text whose ids one task remembers.
-CACHE_PIECES = 250_000
+#: Pieces of text whose ids one Python worker remembers, about 200 bytes each.
+CACHE_PIECES = 700_000
 #: Text behind one record file, about; small tables get smaller files, one per core.
 FILE_TEXT_BYTES = 48 << 20
 #: Documents that are encoded at a time.
@@ -126,6 +128,17 @@ class Encoder:
         return [b"".join((a, *map(self.known.__getitem__, x))) for a, x in zip(first, rest)]
 
 
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of this Python worker, kept from task to task.
+
+    This package travels inside the task closure, so its own globals are new for every task.
+    """
+    kept = sys.modules.setdefault("_lodestone_encoders", ModuleType("_lodestone_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 # Writing ---------------------------------------------------------------------
 
 
@@ -144,7 +157,7 @@ def frame(payload: bytes) -> bytes:
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    codec, part = Encoder(tokenizer), TaskContext.get().partitionId()
+    codec, part = worker_encoder(tokenizer), TaskContext.get().partitionId()
     end, width = np.array([end_id], codec.dtype).tobytes(), codec.dtype.itemsize
     store, base = open_store(folder)
     name = f"part-{part:06d}-{uuid.uuid4().hex}"
