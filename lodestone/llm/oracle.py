@@ -29,3 +29,58 @@ select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, c
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hit using (doc_id) left join items using (doc_id)
 """
+
+
+def _level(i: int, level: str, parent: list[str], weight: str) -> str:
+    """The budgets of one level: children in order of capacity / weight, the full ones first."""
+    on = ", ".join([*parent, level])
+    family = f"partition by {', '.join(parent)}" if parent else "partition by 1"
+    order = f"{family} order by capacity::double / weight, {level}"
+    source = f"join n{i - 1} using ({', '.join(parent)})" if parent else "cross join root"
+    return f"""
+c{i} as (select {on}, sum(capacity)::hugeint as capacity from leaves group by {on}),
+w{i} as (select c{i}.*, budget, ({weight})::hugeint as weight from c{i} {source}),
+t{i} as (
+  select *, (budget - coalesce(sum(capacity) over ({order} rows between unbounded preceding and 1 preceding), 0)) * weight
+    >= capacity * sum(weight) over ({order} rows between current row and unbounded following) as full_child
+  from w{i}
+),
+r{i} as (
+  select *, (budget - coalesce(sum(capacity) filter (full_child) over ({family}), 0))::hugeint as left_over,
+    (sum(weight) filter (not full_child) over ({family}))::hugeint as rest_weight
+  from t{i}
+),
+p{i} as (select *, case when full_child then capacity else (left_over * weight) // rest_weight end as part from r{i}),
+n{i} as (
+  select {on}, (part + case when not full_child and
+      row_number() over ({family} order by full_child, capacity::double / weight, {level}) <= budget - sum(part) over ({family})
+    then 1 else 0 end)::hugeint as budget
+  from p{i}
+)"""
+
+
+ORACLE["op3_mixing"] = f"""
+with d as (
+  select doc_id, '=' || 'domain' || (try_cast(regexp_extract(source, '([0-9]+)$', 1) as integer) % 4) as a, '=' || lang as b, '=' || source as c,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as tokens
+  from documents
+),
+leaves as (select a, b, c, sum(tokens) as supply, sum(tokens) * 2 as capacity from d group by a, b, c),
+root as (select least(floor(sum(supply) * 0.8::double), sum(capacity))::hugeint as budget from leaves),
+{_level(0, "a", [], "case a when '=domain0' then 3 when '=domain1' then 2 else 1 end")},
+{_level(1, "b", ["a"], "case b when '=en' then 4 when '=de' then 2 when '=fr' then 2 else 1 end")},
+{_level(2, "c", ["a", "b"], "1")},
+plan as (
+  select a, b, c, (budget // supply)::bigint as epochs, (budget % supply)::bigint as prefix
+  from leaves join n2 using (a, b, c) where supply > 0 and budget > 0
+),
+drawn as (
+  select *, coalesce(sum(tokens) over (partition by a, b, c order by md5('mix:' || epochs || ':' || doc_id), doc_id
+    rows between unbounded preceding and 1 preceding), 0) as start
+  from d join plan using (a, b, c)
+),
+used as (select *, case when start < prefix then least(tokens, prefix - start) end as part from drawn)
+select doc_id, substr(a, 2) as domain, substr(b, 2) as lang, substr(c, 2) as source, tokens as n_tokens,
+  (epochs + (part is not null)::int)::bigint as copies, (epochs * tokens + coalesce(part, 0))::bigint as used_tokens
+from used where epochs + (part is not null)::int > 0
+"""

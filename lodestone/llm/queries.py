@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm.decontaminate import contamination_report
 from lodestone.llm.html import extract_main_text
 from lodestone.llm.imatch import imatch_report
+from lodestone.llm.mixing import mix
 from lodestone.llm.sharding import shard_report
 from lodestone.llm.simhash import simhash_report
 from lodestone.llm.token_files import token_report
@@ -30,6 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+MIX_WEIGHTS = {"domain": {"domain0": 3, "domain1": 2}, "lang": {"en": 4, "de": 2, "fr": 2}}
+
+
+def mix_levels() -> dict[str, Column]:
+    """The tree of the mix. The documents name no domain, so their sources are grouped into four by number."""
+    number = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")
+    return {"domain": F.concat(F.lit("domain"), (number % 4).cast("string")), "lang": F.col("lang"), "source": F.col("source")}
+
+
 @query
 def op1_decontaminate(spark, sf_dir):
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -63,3 +74,9 @@ def op10_imatch(spark, sf_dir):
 @query
 def op8_sharding(spark, sf_dir):
     return shard_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_mixing(spark, sf_dir):
+    chosen = mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, share=0.8, max_epochs=2)
+    return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "copies", "used_tokens")
