@@ -84,3 +84,60 @@ select doc_id, substr(a, 2) as domain, substr(b, 2) as lang, substr(c, 2) as sou
   (epochs + (part is not null)::int)::bigint as copies, (epochs * tokens + coalesce(part, 0))::bigint as used_tokens
 from used where epochs + (part is not null)::int > 0
 """
+
+ORACLE["op7_line_dedup"] = r"""
+with split as (
+  select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as raw
+  from documents where text is not null
+),
+clean as (
+  select doc_id, raw, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) as line
+  from split
+),
+numbered as (
+  select doc_id, raw, line, len(string_split(line, ' ')) as words, row_number() over (partition by doc_id order by raw) - 1 as i
+  from clean where line <> ''
+),
+counted as (
+  select *, coalesce(sum(words) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start,
+    sum(words) over (partition by doc_id) as total
+  from numbered
+),
+windows as (
+  select doc_id, i, max(i) over w as j, list(line) over w as content, start + 50 <= total as is_full
+  from counted window w as (partition by doc_id order by start range between current row and 49 following)
+),
+placed as (
+  select doc_id, i, j, first_value(doc_id) over f as other, first_value(i) over f as other_i
+  from windows where is_full window f as (partition by content order by doc_id, i)
+),
+later as (select *, i - other_i as gap from placed where (doc_id, i) <> (other, other_i)),
+fresh as (
+  select *, (coalesce(max(j) over (partition by doc_id, other, gap order by i rows between unbounded preceding and 1 preceding), -2) + 1 < i)::int as fresh
+  from later
+),
+runs as (
+  select doc_id, other, gap, min(i) as i, max(j) as j
+  from (select *, sum(fresh) over (partition by doc_id, other, gap order by i) as run from fresh) group by doc_id, other, gap, run
+),
+arrays as (select doc_id, list(line order by i) as lines, list(raw order by i) as raws from numbered group by doc_id),
+met as (
+  select r.*, a.lines, a.raws, b.lines as others,
+    least(r.i, r.i - gap) as room_left, least(len(a.lines) - r.j, len(b.lines) - (r.j - gap)) - 1 as room_right
+  from runs r join arrays a on r.doc_id = a.doc_id join arrays b on r.other = b.doc_id
+),
+grown as (
+  select doc_id, raws,
+    i - coalesce(nullif(list_position(list_transform(range(1, room_left + 1), lambda x: lines[i - x + 1] = others[i - gap - x + 1]), false), 0) - 1, room_left) as i,
+    j + coalesce(nullif(list_position(list_transform(range(1, room_right + 1), lambda x: lines[j + x + 1] = others[j - gap + x + 1]), false), 0) - 1, room_right) as j
+  from met
+),
+gone as (select distinct doc_id, unnest(range(raws[i + 1], raws[j + 1] + 1)) as raw from grown),
+kept as (
+  select s.doc_id, count(*) as n_lines, count(g.raw) as n_deleted, coalesce(string_agg(line, chr(10) order by raw) filter (g.raw is null), '') as text
+  from split s left join gone g using (doc_id, raw) group by s.doc_id
+)
+select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted,
+  length(coalesce(k.text, '')) as kept_chars, sha256(coalesce(k.text, '')) as kept_sha256
+from documents d left join kept k using (doc_id)
+"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.decontaminate import contamination_report
 from lodestone.llm.html import extract_main_text
 from lodestone.llm.imatch import imatch_report
+from lodestone.llm.line_dedup import line_report
 from lodestone.llm.mixing import mix
 from lodestone.llm.sharding import shard_report
 from lodestone.llm.simhash import simhash_report
@@ -80,3 +81,8 @@ def op8_sharding(spark, sf_dir):
 def op3_mixing(spark, sf_dir):
     chosen = mix(table(spark, sf_dir, "documents"), mix_levels(), MIX_WEIGHTS, share=0.8, max_epochs=2)
     return chosen.select("doc_id", "domain", "lang", "source", "n_tokens", "copies", "used_tokens")
+
+
+@query
+def op7_line_dedup(spark, sf_dir):
+    return line_report(table(spark, sf_dir, "documents"))
