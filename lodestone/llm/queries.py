@@ -15,6 +15,7 @@ from lodestone.llm.sharding import shard_report
 from lodestone.llm.simhash import simhash_report
 from lodestone.llm.token_files import token_report
 from lodestone.llm.toxicity import toxicity_report
+from lodestone.llm.warc import build_derivatives, read_derivatives, response_records
 from lodestone.session import shared_dir
 
 QUERIES = {}
@@ -86,3 +87,9 @@ def op3_mixing(spark, sf_dir):
 @query
 def op7_line_dedup(spark, sf_dir):
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_warc(spark, sf_dir):
+    responses = response_records(table(spark, sf_dir, "pages"))
+    return read_derivatives(build_derivatives(responses, shared_dir(spark, "warc")))
