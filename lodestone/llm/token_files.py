@@ -66,10 +66,14 @@ _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut at the spaces that no token crosses, without them."""
+    """The text in pieces that are encoded independently.
+
+    All but the first follow a space, or begin with a line feed where a line ends at a word.
+    """
     plain = text.replace("\n", "").isprintable()  # then it has no white space but space and line feed
-    if plain and text[:1] != " " and text[-1:] != " " and not any(x in text for x in ("  ", " \n", "\n ")):
-        return text.split(" ")
+    odd = ("  ", " \n", "\n ", "\n\n")
+    if plain and not text.startswith((" ", "\n")) and not text.endswith((" ", "\n")) and not any(x in text for x in odd):
+        return text.replace("\n", " \n").split(" ")
     return _SPLIT.split(text)
 
 
@@ -87,8 +91,11 @@ class Encoder:
         self.opens = np.zeros(size, dtype=bool)  # ids that begin with a space
         for token, i in self.tokenizer.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
+        self.breaks = np.zeros(size, dtype=bool)  # the line feed alone
+        self.breaks[self.tokenizer.token_to_id("Ċ")] = True
         self.marks = dict(zip(".,;:!?", self._ids([*".,;:!?"])))
-        self.known: dict[str, bytes] = {}  # ids of a piece that follows a space
+        self.known: dict[str, bytes] = {}  # ids of a piece and of the space before it
+        self.first: dict[str, bytes] = {}  # ids of a piece that begins a text
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -100,32 +107,41 @@ class Encoder:
         self._encode_new(unknown.difference(marked).union(x[:-1] for x in marked).difference(self.known))
         self.known.update((x, self.known[x[:-1]] + self.marks[x[-1]]) for x in marked)
 
+    def _encode_joined(self, part: list[str], text: str, opens: np.ndarray) -> list[str]:
+        """Learn the pieces of one text, each of which begins with an id of `opens`; gives back what it cannot tell apart."""
+        (data,) = self._ids([text])
+        starts = (np.flatnonzero(opens[np.frombuffer(data, dtype=self.dtype)]) * self.dtype.itemsize).tolist()
+        if len(starts) != len(part):
+            return part
+        self.known.update(zip(part, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)]))))
+        return []
+
     def _encode_new(self, unknown: set[str]) -> None:
-        plain = [x for x in unknown if x.isprintable()]  # and so without white space inside
-        other = list(unknown.difference(plain))
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            (data,) = self._ids([" " + " ".join(part)])
-            ids = np.frombuffer(data, dtype=self.dtype)
-            starts = (np.flatnonzero(self.opens[ids]) * self.dtype.itemsize).tolist()
-            if len(starts) == len(part):
-                self.known.update(zip(part, map(data.__getitem__, map(slice, starts, [*starts[1:], len(data)]))))
-            else:
-                other += part
-        self.known.update(zip(other, self._ids([" " + x for x in other])))
+        words = [x for x in unknown if x.isprintable()]  # and so without white space inside
+        lines = [x for x in unknown if x[0] == "\n" and x[1:].isprintable()]
+        other = list(unknown.difference(words, lines))
+        for i in range(0, len(words), 2000):
+            part = words[i : i + 2000]
+            other += self._encode_joined(part, " " + " ".join(part), self.opens)
+        for i in range(0, len(lines), 2000):
+            part = lines[i : i + 2000]
+            other += self._encode_joined(part, "".join(part), self.breaks)
+        self.known.update(zip(other, self._ids([x if x[0] == "\n" else " " + x for x in other])))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of every text, as bytes of `dtype`."""
         cut = [pieces(x or "") for x in texts]
-        first = self._ids([x[0] for x in cut])
         rest = [x[1:] for x in cut]
         unknown = set().union(*rest).difference(self.known)
         if len(self.known) + len(unknown) > CACHE_PIECES:
-            self.known = {}
+            self.known, self.first = {}, {}
             unknown = set().union(*rest)
         if unknown:
             self._learn(unknown)
-        return [b"".join((a, *map(self.known.__getitem__, x))) for a, x in zip(first, rest)]
+        opening = list({x[0] for x in cut}.difference(self.first))
+        self.first.update(zip(opening, self._ids(opening)))
+        known = self.known.__getitem__
+        return [self.first[x[0]] + b"".join(map(known, y)) for x, y in zip(cut, rest)]
 
 
 def worker_encoder(path: str) -> Encoder:
@@ -188,7 +204,7 @@ def write_token_files(
     """Write all documents in ascending doc_id order; returns the manifest, one row per record file."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     order = ["id", F.xxhash64("text")]
-    size = rows.agg(F.sum(F.length(F.encode("text", "UTF-8")))).first()[0] or 0
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
     n_files = max(1, -(-size // FILE_TEXT_BYTES), min(cores, size // (FILE_TEXT_BYTES // 16)))
     dealt = rows.repartitionByRange(n_files, *order).sortWithinPartitions(*order)
