@@ -7,11 +7,13 @@ that no insult of HALF characters escapes. Gaps, inserted letters and unknown
 endings are what the kernel tolerates.
 
 Two strings are compared by their common subsequences of ORDER characters, each
-weighted by DECAY to the power of its length with gaps. A unit's features are
-its kernel values with the landmarks, mapped by the inverse root of the landmarks'
-own kernel matrix. A document is as toxic as its worst unit: the SVM is trained
-on words of labelled documents, where each toxic document hands in the one
-word that the last model found worst, and clean documents hand in all words.
+weighted by DECAY to the power of its length with gaps; the ends of a word are
+characters too. A unit's features are its kernel values with the landmarks, mapped by
+the inverse root of the landmarks' own kernel matrix. The SVM is trained on the words of
+labelled sentences and documents: each toxic one hands in the word that the last model
+found worst, and that word with inserted characters; clean ones hand in all words.
+A document's score comes from its worst units, and from how many of its units
+the SVM calls toxic, by a logistic regression on the same documents.
 
 The fit takes `max_fit` documents of each class with at most `max_fit_bytes`
 bytes. Scoring reads whole texts, wherever they are, without a shuffle.
@@ -38,6 +40,8 @@ from pyspark.sql import types as T
 
 ORDER = 4
 DECAY = 0.7
+#: Characters that stand for the beginning and the end of a word.
+OPEN, CLOSE = "\x02", "\x03"
 #: Units of more characters are cut into windows of WINDOW characters, each HALF after the last.
 WINDOW, HALF = 20, 10
 #: Landmarks from toxic and from clean documents.
@@ -55,24 +59,41 @@ _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 
 
-def units(text: str | None) -> set[str]:
-    """The distinct units of a text."""
+def units(text: str | None) -> Counter:
+    """The units of a text with how often each occurs."""
     if not text:
-        return set()
+        return Counter()
     lower = text.lower()
-    found = set(lower.split())
-    found.update(x.replace(" ", "") for x in _SPELLED.findall(lower))
-    found = {x if x.isalnum() else _OUTER.sub("", x) for x in found}
-    found.update([_INNER.sub("", x) for x in found if not x.isalnum()])
-    for x in [x for x in found if len(x) > WINDOW]:
-        found.discard(x)
-        found.update(x[i : i + WINDOW] for i in range(0, len(x) - HALF, HALF))
-    return {x for x in found if len(x) >= ORDER}
+    words = Counter(lower.split())
+    words.update(x.replace(" ", "") for x in _SPELLED.findall(lower))
+    found: Counter = Counter()
+    for word, n in words.items():
+        if not word.isalnum():
+            word = _OUTER.sub("", word)
+            if not word.isalnum():
+                found[_INNER.sub("", word)] += n
+        found[word] += n
+    out: Counter = Counter()
+    for word, n in found.items():
+        if len(word) >= ORDER:
+            word = OPEN + word + CLOSE
+            for part in [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - HALF, HALF)]:
+                out[part] += n
+    return out
+
+
+def evidence(values: np.ndarray, counts: np.ndarray, bias: float) -> np.ndarray:
+    """What the score of a document is computed from, given the decisions of its units and how often each occurs."""
+    if not len(values):
+        values, counts = np.array([bias]), np.array([1])
+    best = np.sort(values)[::-1][:3]
+    hits, total = counts[values > 0].sum(), counts.sum()
+    return np.array([best[0], best.mean(), np.log1p(hits), np.log1p(total), 100 * hits / total, 1.0])
 
 
 def gapped(word: str) -> list[str]:
     """The word with one character inserted or doubled at each inner place."""
-    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in (".", word[i])]
+    return [word[:i] + c + word[i:] for i in range(2, len(word) - 1) for c in (".", word[i])]
 
 
 # Kernel ----------------------------------------------------------------------
@@ -140,32 +161,31 @@ def self_kernel(strings: list[str]) -> np.ndarray:
 
 
 class Model:
-    """Landmarks with one weight each, a bias, and the slope and offset of the score."""
+    """Landmarks with one weight each, a bias, and the weights of a document's evidence."""
 
-    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, slope: float, offset: float):
-        self.landmarks, self.weights, self.bias, self.slope, self.offset = landmarks, weights.astype(np.float32), bias, slope, offset
+    def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, mix: np.ndarray):
+        self.landmarks, self.weights, self.bias, self.mix = landmarks, weights.astype(np.float32), bias, mix
 
     def values(self, strings: list[str]) -> np.ndarray:
         """The SVM's decision for every string."""
         parts = [kernel(strings[i : i + _BLOCK], self.landmarks) @ self.weights for i in range(0, len(strings), _BLOCK)]
         return np.concatenate([*parts, np.zeros(0, np.float32)]) + self.bias
 
-    def score(self, value: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * value + self.offset, -30, 30))))
+    def score(self, values: list[float], counts: list[int]) -> float:
+        at = evidence(np.array(values), np.array(counts), self.bias) @ self.mix
+        return float(1 / (1 + np.exp(-np.clip(at, -30, 30))))
 
 
 class Constant:
     """What is known without examples of both classes."""
 
-    bias = 0.0
-
     def __init__(self, share: float):
         self.share = share
 
     def values(self, strings: list[str]) -> np.ndarray:
         return np.zeros(len(strings))
 
-    def score(self, value: float) -> float:
+    def score(self, values: list[float], counts: list[int]) -> float:
         return self.share
 
 
@@ -206,19 +226,18 @@ def _mined(x: np.ndarray, negative: np.ndarray, positive: np.ndarray, mass: np.n
     return w
 
 
-def _sigmoid_fit(values: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the score by regularised logistic regression."""
-    x, w = np.stack([values, np.ones(len(values))], axis=1), np.zeros(2)
-    weight = np.where(labels == 1, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())) * len(labels)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (weight * (p - labels)) + 1e-2 * w
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-9:
+def _logistic(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Weights of a logistic regression; the last column of x is 1."""
+    scale = np.append(x[:, :-1].std(axis=0) + 1e-9, 1.0)
+    z, w = x / scale, np.zeros(x.shape[1])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        hessian = (z * (p * (1 - p))[:, None]).T @ z + 1e-1 * np.eye(len(w))
+        step = np.linalg.solve(hessian, z.T @ (p - labels) + 1e-1 * w)
+        w -= step * min(1.0, 5 / np.abs(step).max())
+        if np.abs(step).max() < 1e-8:
             break
-    return float(max(w[0], 1e-3)), float(w[1])
+    return w / scale
 
 
 def _diverse(ranked: list[str], most: int, chosen: list[str]) -> list[str]:
@@ -246,9 +265,9 @@ def _landmarks(toxic: Counter, clean: Counter) -> list[str]:
 
 def fit(texts: list[str | None], labels: list[int], rounds: int = 6) -> Model | Constant:
     """A model of whole labelled texts; the order of the rows does not matter."""
-    known: dict[tuple[str, ...], int] = {}
+    known: dict[tuple[tuple[str, int], ...], int] = {}
     for text, label in zip(texts, labels):
-        key = tuple(sorted(units(text)))
+        key = tuple(sorted(units(text).items()))
         if key:
             known[key] = max(known.get(key, 0), int(label))
     docs = sorted(known.items())
@@ -257,7 +276,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 6) -> Model |
         return Constant(float(np.mean(labels)) if len(labels) else 0.0)
     toxic, clean = Counter(), Counter()
     for words, label in docs:
-        (toxic if label else clean).update(words)
+        (toxic if label else clean).update(w for w, _ in words)
     landmarks = _landmarks(toxic, clean)
     scale = 1 / np.sqrt(self_kernel(landmarks))
     own = kernel(landmarks, landmarks, 0) * scale[:, None] * scale[None, :]
@@ -268,12 +287,18 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 6) -> Model |
     words = sorted(set(toxic) | set(clean))
     place = {w: i for i, w in enumerate(words)}
     x = np.hstack([(kernel(words, landmarks) * scale) @ root, np.ones((len(words), 1))])
-    rows = [np.array([place[w] for w in ws]) for ws, _ in docs]
+    rows = [np.array([place[w] for w, _ in ws]) for ws, _ in docs]
+    counts = [np.array([n for _, n in ws]) for ws, _ in docs]
     negative = np.array(sorted(place[w] for w in clean))
     # The first witness of a toxic document is the word that most of the toxic and fewest of the clean ones share.
     guess = np.array([(toxic[w] + 0.1) / (toxic[w] + 30 * clean[w] + 5) for w in words])
-    for _ in range(rounds):
-        witness = np.array([rows[i][np.argmax(guess[rows[i]])] for i in np.flatnonzero(y == 1)])
+    for turn in range(rounds):
+        worst = np.array([guess[r].max() for r in rows])
+        # Toxic documents that look cleaner than most clean ones teach nothing: their insults are unknown or their labels wrong.
+        speaks = (y == 1) & ((worst > np.quantile(worst[y == 0], 0.75)) if turn else (worst > 0))
+        if not speaks.any():
+            break
+        witness = np.array([rows[i][np.argmax(guess[rows[i]])] for i in np.flatnonzero(speaks)])
         kinds, count = np.unique(witness, return_counts=True)
         variants = [(v, n) for k, n in zip(kinds, count) if not clean[words[k]] for v in gapped(words[k])]
         extra = kernel([v for v, _ in variants], landmarks) * scale @ root
@@ -281,9 +306,8 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 6) -> Model |
         mass = np.concatenate([count / count.sum(), 0.3 * np.array([n for _, n in variants]) / max(1, sum(n for _, n in variants))])
         w = _mined(x, negative, positive, mass)
         guess = x @ w
-    worst = np.array([guess[r].max() for r in rows])
-    slope, offset = _sigmoid_fit(worst, y)
-    return Model(landmarks, scale * (root @ w[:-1]), float(w[-1]), slope, offset)
+    seen = np.stack([evidence(guess[r], n, float(w[-1])) for r, n in zip(rows, counts)])
+    return Model(landmarks, scale * (root @ w[:-1]), float(w[-1]), _logistic(seen, y))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -328,7 +352,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, text: str, names: list[str]
                 new = set().union(*found)
             new = list(new)
             known.update(zip(new, model.values(new).tolist()))
-            scores = [model.score(max((known[u] for u in us), default=model.bias)) for us in found]
+            scores = [model.score(list(map(known.__getitem__, us)), list(us.values())) for us in found]
             columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*names, "score"])
 
