@@ -7,7 +7,7 @@ corpus), all other groups are dealt by hash into shards * FINE bundles. Only the
 sums reach the driver. There the items, largest first, go where the dot product of
 their vector with the shards' residual capacity is highest.
 
-A group larger than a whole shard is cut into equal pieces, as no shard can hold it.
+A group with more bytes than a shard's share is cut into equal pieces, as no shard can hold it.
 Slots count the rows of a shard without gaps, in buckets of a bounded number of rows.
 
 Defined results
@@ -51,11 +51,16 @@ def numbered(rows: DataFrame, part: str, order: list[Column], name: str, bucket_
 
 
 def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
-    """A shard for each vector (in shares of a shard's capacity), by the dot product with what is left."""
+    """A shard for each vector (in shares of a shard's capacity), by the dot product with what is left.
+
+    The first measure is the law: a shard whose share of it is used up takes no more,
+    and what fits nowhere goes where most of it is left.
+    """
     left = np.ones((shards, vectors.shape[1]))
     chosen = np.zeros(len(vectors), dtype=np.int32)
-    for i in np.lexsort((np.arange(len(vectors)), -vectors.sum(axis=1), -vectors.max(axis=1))):
-        chosen[i] = np.argmax(left @ vectors[i])
+    for i in np.lexsort((np.arange(len(vectors)), -vectors.sum(axis=1), -vectors[:, 0])):
+        fits = left[:, 0] >= vectors[i, 0]
+        chosen[i] = np.argmax(np.where(fits, left @ vectors[i], -np.inf)) if fits.any() else np.argmax(left[:, 0])
         left[chosen[i]] -= vectors[i]
     return chosen
 
@@ -92,7 +97,8 @@ def assign_shards(sizes: DataFrame, shards: int = SHARDS, fine: int = FINE) -> D
         vectors.append([row[m] for m in MEASURES])
     next_item = shards * fine
     for row in alone:
-        n = 1 if row["large"] <= 1 else min(row["rows"], int(np.ceil(row["large"] * PIECES)))
+        shares = row["bytes"] / share[0]
+        n = 1 if shares <= 1 else min(row["rows"], int(np.ceil(shares * PIECES)))
         pieces.append((row["hash"], row["text_crc32"], next_item, n))
         for i in range(n):
             items.append(next_item + i)
