@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.embedding import DEFAULT_DIM, embed
 from lodestone.operators.dedup import DEFAULT_THRESHOLD
-from lodestone.operators.graph import expand, identify_triples, neighbours
+from lodestone.operators.graph import expand, identify_triples, latest_triples, neighbours
 from lodestone.plans.ingest import ingest_batch
 from lodestone.plans.respond import assemble_context, render_results, response_lists
 from lodestone.plans.search import hybrid_search
 from lodestone.schema import QUERIES
+from lodestone.session import equi_join
 from lodestone.sources.batches import batch_of
 from lodestone.sources.store import Store
 
@@ -169,7 +170,13 @@ class Collection:
 
     def query_graph(self, entities: list[str], hops: int = 1) -> DataFrame:
         """(subject, predicate, object, weight) of edges at the entities, or within several hops."""
-        edges = self.store.triples(self.collection_id)
+        log = self.store.edge_log(self.collection_id)
         wanted = self._entities(entities)
-        found = neighbours(edges, wanted) if hops == 1 else expand(edges, wanted, hops)
+        # Every write of an edge has its ends, so edges are found first and only their last writes looked for.
+        if hops == 1:
+            near = log.where(F.col("subject").isin(entities) | F.col("object").isin(entities))
+            found = neighbours(latest_triples(near), wanted)
+        else:
+            reached = expand(log, wanted, hops).select("triple_id").distinct()
+            found = latest_triples(equi_join(log, reached, ["triple_id"], "left_semi", spread=["seq"]))
         return found.select("subject", "predicate", "object", "weight")

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Distances are compared at this many decimals, below the resolution of the
-#: stored 32-bit floats, so that summation order never decides a rank.
-DISTANCE_DECIMALS = 9
-
 
 def squared_l2(a: Column, b: Column) -> Column:
     """Squared Euclidean distance of two arrays, summed in double precision."""

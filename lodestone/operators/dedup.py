@@ -15,15 +15,15 @@ from lodestone.operators.vector import (
     BLOCK_ROWS,
     BROADCAST_QUERIES,
     CELLS_AT_ONCE,
-    SLACK,
-    _matrix,
     _positions,
+    _rows,
     _stack,
     cell_index,
     choose_pivots,
     exact_distances,
     into_blocks,
     rough_distances,
+    slack,
 )
 from lodestone.session import cut_lineage, equi_join, fits
 
@@ -38,9 +38,9 @@ def _close_to_any(new: np.ndarray, stored: np.ndarray, threshold: float) -> np.n
     step = max(1, CELLS_AT_ONCE // max(1, len(stored)))
     for at in range(0, len(new), step):
         block = new[at : at + step]
-        rough = rough_distances(block, stored)
-        sure = (rough < threshold - SLACK).any(axis=1)
-        qi, di = np.nonzero((rough <= threshold + SLACK) & ~sure[:, None])
+        rough, off = rough_distances(block, stored), slack(block, stored)
+        sure = (rough < threshold - off).any(axis=1)
+        qi, di = np.nonzero((rough <= threshold + off) & ~sure[:, None])
         edge = np.zeros(len(block), dtype=bool)
         if len(qi):
             edge[qi[exact_distances(block[qi], stored[di]) <= threshold]] = True
@@ -67,19 +67,19 @@ def _split(
     n_cells: int = CELLS,
 ) -> DataFrame:
     store = store.select("collection_id", "id", "embedding").where(F.col("embedding").isNotNull())
+    # Copies of a vector share their fate, whatever their ids: each distinct vector is compared once, under a key
+    # made from two hashes of its values.
+    key = F.concat_ws(":", F.xxhash64("embedding").cast("string"), F.hash("embedding").cast("string"))
+    keyed = new.withColumn("_vector", F.when(F.col("embedding").isNotNull(), key))
+    vectors = keyed.where(F.col("_vector").isNotNull()).select("collection_id", F.col("_vector").alias("id"), "embedding")
+    vectors = vectors.dropDuplicates(["collection_id", "id"])
     if fits(new, max_new):
+        hits = _scan_hits(vectors, store, threshold).withColumnRenamed("id", "_vector")
         # At most one hit per new row, so the hits are within the bound as well.
-        return new.join(F.broadcast(_scan_hits(new, store, threshold)), ["collection_id", "id"], how)
-    # Copies of a vector share their fate: compare each distinct vector once.
-    vectors = (
-        new.where(F.col("embedding").isNotNull())
-        .groupBy("collection_id", "embedding")
-        .agg(F.min("id").alias("id"))
-    )
-    held = store.groupBy("collection_id", "embedding").agg(F.min("id").alias("id"))
-    hits = _cell_hits(vectors, held, threshold, n_cells)
-    close = vectors.join(hits, ["collection_id", "id"], "left_semi").select("collection_id", "embedding")
-    return equi_join(new, cut_lineage(close), ["collection_id", "embedding"], how, spread=["id"])
+        return keyed.join(F.broadcast(hits), ["collection_id", "_vector"], how).select(*new.columns)
+    vectors = cut_lineage(vectors)
+    hits = cut_lineage(_cell_hits(vectors, store, threshold, n_cells)).withColumnRenamed("id", "_vector")
+    return equi_join(keyed, hits, ["collection_id", "_vector"], how, spread=["id"]).select(*new.columns)
 
 
 def _hit_schema(new: DataFrame) -> T.StructType:
@@ -93,24 +93,23 @@ def _scan_hits(new: DataFrame, store: DataFrame, threshold: float) -> DataFrame:
     if table.num_rows == 0:
         return new.sparkSession.createDataFrame([], schema)
     keys = table.select(["collection_id", "id"]).to_pandas()
-    shipped = new.sparkSession.sparkContext.broadcast(
-        (keys, _matrix(table["embedding"], table.num_rows), _positions(keys[["collection_id"]]))
-    )
+    asked = {group: (rows, _rows(table["embedding"], rows)) for group, rows in _positions(keys[["collection_id"]]).items()}
+    shipped = new.sparkSession.sparkContext.broadcast((keys, asked))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, matrix, collections = shipped.value
+        keys, asked = shipped.value
         hit = np.zeros(len(keys), dtype=bool)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            vectors = _matrix(batch.column("embedding"), batch.num_rows)
             for group, rows in _positions(batch.select(["collection_id"]).to_pandas()).items():
-                open_rows = collections.get(group)
-                if open_rows is None:
+                if group not in asked:
                     continue
-                open_rows = open_rows[~hit[open_rows]]
-                if len(open_rows):
-                    hit[open_rows] = _close_to_any(matrix[open_rows], vectors[rows], threshold)
+                places, matrix = asked[group]
+                is_open = ~hit[places]
+                if is_open.any():
+                    stored = _rows(batch.column("embedding"), rows)
+                    hit[places[is_open]] = _close_to_any(matrix[is_open], stored, threshold)
         if hit.any():
             yield pa.RecordBatch.from_pandas(keys[hit], preserve_index=False)
 
@@ -137,10 +136,13 @@ def _cell_hits(new: DataFrame, store: DataFrame, threshold: float, n_cells: int)
         between = np.sqrt(np.maximum(rough_distances(centres, centres), 0.0))
         out = []
         for at in range(0, len(vectors), 1024):
-            distance = rough_distances(_stack(vectors.iloc[at : at + 1024]), centres)
+            block = _stack(vectors.iloc[at : at + 1024])
+            distance = rough_distances(block, centres)
             own = distance.argmin(axis=1)
             excess = distance - distance[np.arange(len(own)), own][:, None]
-            inside = excess <= 2.0 * radius * between[own] + SLACK
+            # The distances of centres err as well, by a root of their slack at worst.
+            far = 2.0 * radius * (between[own] + np.sqrt(slack(centres, centres).max()))
+            inside = excess <= far + 2.0 * slack(block, centres)
             out.extend(np.flatnonzero(row).astype(np.int32) for row in inside)
         return pd.Series(out)
 

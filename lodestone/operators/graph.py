@@ -11,8 +11,6 @@ from lodestone.functions.keys import triple_id
 from lodestone.functions.text import entity_spans, tokenize
 from lodestone.session import BROADCAST_ROWS, cut_lineage, equi_join
 
-#: Longer texts yield no entities.
-MAX_ENTITY_CHARS = 50_000
 RELATED = "related_to"
 RELATED_WEIGHT = 0.8
 DEFAULT_WEIGHT = 1.0
@@ -23,12 +21,10 @@ _DOC = ["collection_id", "id"]
 _EDGE = ["collection_id", "triple_id", "subject", "predicate", "object", "weight"]
 
 
-def _eligible(docs: DataFrame) -> DataFrame:
-    return docs.where(F.length("text") <= MAX_ENTITY_CHARS)
-
-
-def extract_entities(docs: DataFrame, fn: Callable[[Column], Column] | None = None) -> DataFrame:
-    """(collection_id, id, pos, text, label): entity mentions in text order.
+def extract_entities(
+    docs: DataFrame, fn: Callable[[Column], Column] | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(collection_id, id, keep..., pos, text, label): entity mentions in text order.
 
     `fn` is a Pandas UDF from text to array<struct<text string, label string>>,
     for a model. Without it, mentions are runs of capitalised words.
@@ -39,18 +35,22 @@ def extract_entities(docs: DataFrame, fn: Callable[[Column], Column] | None = No
         found = F.transform(
             entity_spans(F.col("text")), lambda span: F.struct(span.alias("text"), F.lit(DEFAULT_LABEL).alias("label"))
         )
-    mentions = _eligible(docs).select(*_DOC, F.posexplode(found).alias("pos", "entity"))
-    return mentions.select(*_DOC, "pos", "entity.text", "entity.label")
+    mentions = docs.select(*_DOC, *keep, F.posexplode(found).alias("pos", "entity"))
+    return mentions.select(*_DOC, *keep, "pos", "entity.text", "entity.label")
 
 
 def gazetteer_entities(
-    docs: DataFrame, gazetteer: DataFrame, max_words: int = 3, max_rows: int = BROADCAST_ROWS
+    docs: DataFrame, gazetteer: DataFrame, max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Mentions of the names in `gazetteer` (text, label), compared word by word.
 
-    Every run of one to `max_words` words meets the names in one equi-join.
+    Every run of as many words as some name has meets the names in one equi-join.
     """
-    tokens = _eligible(docs).select(*_DOC, tokenize(F.col("text")).alias("tokens"))
+    spelled = gazetteer.select(tokenize(F.col("text")).alias("words"), "text", "label").where(F.size("words") > 0)
+    # One row per number of words that names have, however many names there are.
+    lengths = sorted(r["n"] for r in spelled.select(F.size("words").alias("n")).distinct().collect())
+    names = spelled.withColumn("words", F.array_join("words", " "))
+    tokens = docs.select(*_DOC, tokenize(F.col("text")).alias("tokens"))
 
     def runs(n: int) -> Column:
         starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(0), F.size("tokens") - n)).otherwise(
@@ -61,9 +61,9 @@ def gazetteer_entities(
             lambda at: F.struct(at.alias("pos"), F.array_join(F.slice("tokens", at + 1, F.lit(n)), " ").alias("words")),
         )
 
-    found = F.explode(F.flatten(F.array(*[runs(n) for n in range(1, max_words + 1)]))).alias("run")
+    every = F.flatten(F.array(*[runs(n) for n in lengths])) if lengths else F.array().cast("array<struct<pos:int,words:string>>")
+    found = F.explode(every).alias("run")
     grams = tokens.select(*_DOC, found).select(*_DOC, "run.pos", "run.words")
-    names = gazetteer.select(F.array_join(tokenize(F.col("text")), " ").alias("words"), "text", "label")
     return equi_join(grams, names, ["words"], spread=["id", "pos"], max_rows=max_rows).select(
         *_DOC, "pos", "text", "label"
     )
@@ -76,17 +76,17 @@ def unique_entities(mentions: DataFrame) -> DataFrame:
     )
 
 
-def cooccurrence_triples(mentions: DataFrame) -> DataFrame:
-    """An edge between every two entities of a document, earlier one first.
+def cooccurrence_triples(mentions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """An edge between every two entities of a document, earlier one first, with the `keep` columns of the document.
 
     The pairs are the result itself. They are unfolded row by row from the
-    entity list of one document, whose length the text limit bounds.
+    entity list of one document.
     """
-    names = mentions.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("found"))
-    names = names.select(*_DOC, F.array_distinct(F.transform("found", lambda m: m["text"])).alias("names"))
-    firsts = names.select(*_DOC, "names", F.posexplode("names").alias("at", "subject"))
+    names = mentions.groupBy(*_DOC, *keep).agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("found"))
+    names = names.select(*_DOC, *keep, F.array_distinct(F.transform("found", lambda m: m["text"])).alias("names"))
+    firsts = names.select(*_DOC, *keep, "names", F.posexplode("names").alias("at", "subject"))
     pairs = firsts.select(
-        *_DOC, "subject", F.explode(F.slice("names", F.col("at") + 2, F.size("names"))).alias("object")
+        *_DOC, *keep, "subject", F.explode(F.slice("names", F.col("at") + 2, F.size("names"))).alias("object")
     )
     return pairs.select(
         "collection_id",
@@ -95,6 +95,7 @@ def cooccurrence_triples(mentions: DataFrame) -> DataFrame:
         "object",
         F.col("id").alias("document_id"),
         F.lit(RELATED_WEIGHT).alias("weight"),
+        *keep,
     )
 
 

@@ -206,7 +206,9 @@ def keyword_scores(
         )
         return weighted.withColumn("score", _bm25()).drop("scope", "tf", "dl", "df", "n_docs", "avg_dl")
 
-    total = F.sum(F.col("times") * F.col("score")).alias("bm25")
+    # Summed in the order of the words, so that the same document always gets the same bits.
+    parts = F.sort_array(F.collect_list(F.struct(*_PHRASE, (F.col("times") * F.col("score")).alias("part"))))
+    total = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["part"]).alias("bm25")
 
     if mode == "and":
         pairs = _match_all(open_hits, wanted, weights, stats_scope, bounded, max_rows)
@@ -262,7 +264,6 @@ def _excluded(wanted: DataFrame, text: str) -> DataFrame:
 
 def keyword_topk(index: KeywordIndex, queries: DataFrame, limit: int = 20, **options) -> DataFrame:
     """(q_id, collection_id, id, bm25, rank): the best `limit` documents per query."""
-    # Rounded before ranking, so that summation order cannot decide a rank.
-    scores = keyword_scores(index, queries, **options).withColumn("bm25", F.round("bm25", 9))
+    scores = keyword_scores(index, queries, **options)
     best = Window.partitionBy("q_id").orderBy(F.desc("bm25"), "id")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)

@@ -20,6 +20,7 @@ def upsert_rows(batch: DataFrame, batch_no: int) -> DataFrame:
     A later batch wins over an earlier one, and within a batch the higher `pos`.
     """
     pos = F.col("pos").cast("long") if "pos" in batch.columns else F.lit(0).cast("long")
+    pos = F.when(pos.between(0, BATCH_STEP - 1), pos).otherwise(F.raise_error(F.lit("pos is not in 0 .. 2^40 - 1")))
     return batch.select(
         *_KEY,
         int_id(F.col("id")).alias("int_id"),

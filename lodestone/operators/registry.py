@@ -23,10 +23,11 @@ def create_collections(registry: DataFrame, wanted: DataFrame, seq: int, if_exis
     """Registry rows for the wanted (tenant_id, name, metadata) that do not exist.
 
     A name that exists keeps its row and its metadata; `if_exists="error"`
-    raises instead. Ids are derived from name and sequence number, so a
+    raises instead; of several metadata for one new name the least is kept.
+    Ids are derived from a list of tenant, name and sequence number, so a
     retried task writes the same id and a collection made anew gets another.
     """
-    names = wanted.groupBy(*_NAME).agg(F.first("metadata", ignorenulls=True).alias("metadata"))
+    names = wanted.groupBy(*_NAME).agg(F.min("metadata").alias("metadata"))
     existing = current_collections(registry).select(*_NAME)
     if if_exists == "error":
         clash = names.join(existing, _NAME, "left_semi").select("name").head(1)
@@ -36,7 +37,7 @@ def create_collections(registry: DataFrame, wanted: DataFrame, seq: int, if_exis
         raise ValueError(f"unknown if_exists {if_exists!r}")
     made = names.join(existing, _NAME, "left_anti")
     return made.select(
-        uuid5(F.concat_ws(":", "tenant_id", "name", F.lit(str(seq)))).alias("collection_id"),
+        uuid5(F.to_json(F.array("tenant_id", "name", F.lit(str(seq))))).alias("collection_id"),
         *_NAME,
         default_metadata(F.col("metadata")).alias("metadata"),
         F.lit(seq).cast("long").alias("seq"),

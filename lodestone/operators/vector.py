@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.functions.vectors import DISTANCE_DECIMALS
 from lodestone.session import cut_lineage, equi_join, fits
 
 #: Queries that may be broadcast together.
@@ -29,15 +28,22 @@ BROADCAST_QUERIES = 20_000
 BLOCK_ROWS = 16_384
 #: Distances held in memory at once by a kernel.
 CELLS_AT_ONCE = 4_000_000
-#: Bound on the error of the matrix form of the distance, for pre-selection.
-SLACK = 1e-7
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    """Vectors of one length as a matrix; mixed lengths are an error."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = np.asarray(column.flatten(), dtype=np.float64)
-    return flat.reshape(rows, len(flat) // rows if rows else 0)
+    width = len(flat) // rows if rows else 0
+    if rows and not (column.value_lengths().to_numpy(zero_copy_only=False) == width).all():
+        raise ValueError("vectors of one collection and search must have one length")
+    return flat.reshape(rows, width)
+
+
+def _rows(column: pa.Array | pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    """The vectors of some rows; rows of one collection have one length, those of others may differ."""
+    return _matrix(column.take(pa.array(rows)), len(rows))
 
 
 def _stack(vectors: pd.Series) -> np.ndarray:
@@ -50,13 +56,18 @@ def rough_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return squares - 2.0 * (left @ right.T)
 
 
+def slack(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How far `rough_distances` may be off for each left row; it grows with the squared norms."""
+    largest = (right * right).sum(axis=1).max() if len(right) else 0.0
+    return 4.0 * np.finfo(float).eps * (left.shape[1] + 4) * ((left * left).sum(axis=1)[:, None] + largest)
+
+
 def exact_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Row-by-row distances, rounded so that summation order cannot matter."""
-    out = np.empty(len(left))
-    step = max(1, CELLS_AT_ONCE // max(1, left.shape[1]))
-    for at in range(0, len(left), step):
-        gap = left[at : at + step] - right[at : at + step]
-        out[at : at + step] = np.round((gap * gap).sum(axis=1), DISTANCE_DECIMALS)
+    """Row-by-row distances, summed dimension by dimension so that the same vectors always give the same bits."""
+    out = np.zeros(np.broadcast_shapes(left.shape[:-1], right.shape[:-1]))
+    for i in range(left.shape[-1]):
+        gap = left[..., i] - right[..., i]
+        out += gap * gap
     return out
 
 
@@ -68,7 +79,7 @@ def _nearest(q_rows: np.ndarray, q_vecs: np.ndarray, ids: np.ndarray, vecs: np.n
         block = q_vecs[at : at + step]
         rough = rough_distances(block, vecs)
         if len(ids) > k:
-            reach = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + SLACK
+            reach = np.partition(rough, k - 1, axis=1)[:, k - 1 : k] + 2.0 * slack(block, vecs)
             qi, di = np.nonzero(rough <= reach)
         else:
             qi, di = (x.ravel() for x in np.indices(rough.shape))
@@ -125,28 +136,26 @@ def _scan_topk(docs: DataFrame, queries: DataFrame, k: int, groups: list[str]) -
     table = queries.toArrow()
     if table.num_rows == 0:
         return docs.sparkSession.createDataFrame([], schema)
+    q_groups = _positions(table.select(groups).to_pandas())
     shipped = docs.sparkSession.sparkContext.broadcast(
         (
             table.select(["q_id", "collection_id"]).to_pandas(),
-            _matrix(table["embedding"], table.num_rows),
-            _positions(table.select(groups).to_pandas()),
+            {group: (rows, _rows(table["embedding"], rows)) for group, rows in q_groups.items()},
         )
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_keys, q_matrix, q_groups = shipped.value
+        q_keys, asked = shipped.value
         best = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             frame = batch.select(groups + ["id"]).to_pandas()
-            vectors = _matrix(batch.column("embedding"), batch.num_rows)
             ids = frame["id"].to_numpy()
             found = [best] if best is not None else []
             for group, rows in _positions(frame[groups]).items():
-                asking = q_groups.get(group)
-                if asking is not None:
-                    found.append(_nearest(asking, q_matrix[asking], ids[rows], vectors[rows], k))
+                if group in asked:
+                    found.append(_nearest(*asked[group], ids[rows], _rows(batch.column("embedding"), rows), k))
             if found:
                 # A query with several groups has several rows; they compete under one id.
                 best = _keep_best(pd.concat(found, ignore_index=True), k)
@@ -241,7 +250,7 @@ def choose_pivots(docs: DataFrame, n_cells: int) -> np.ndarray:
 
 
 def _near_cells(pivots: np.ndarray, vectors: np.ndarray, count: int) -> np.ndarray:
-    distance = np.round(rough_distances(vectors, pivots), DISTANCE_DECIMALS)
+    distance = exact_distances(vectors[:, None, :], pivots[None, :, :])
     return np.argsort(distance, axis=1, kind="stable")[:, :count]
 
 

@@ -14,7 +14,7 @@ from lodestone.operators import mutate
 from lodestone.operators.dedup import DEFAULT_THRESHOLD, drop_near_duplicates, ingest_summary
 from lodestone.operators.graph import cooccurrence_triples, extract_entities, identify_triples
 from lodestone.session import cut_lineage
-from lodestone.sources.store import Store, numbered_triples, versioned_postings
+from lodestone.sources.store import Store, versioned_postings
 
 
 def ingest_batch(
@@ -45,8 +45,9 @@ def ingest_batch(
     store.write("postings", number, versioned_postings(written))
     summary = ingest_summary(incoming, kept)
     if extract_graph:
-        edges = cooccurrence_triples(extract_entities(written, entity_fn))
-        store.write("triples", number, numbered_triples(identify_triples(edges), number))
+        # Edges carry the number of their document: of equal edges the last document's stays.
+        edges = cooccurrence_triples(extract_entities(written, entity_fn, ("seq",)), ("seq",))
+        store.write("triples", number, identify_triples(edges))
         tables.append("triples")
         extracted = store.read_batch("triples", number).groupBy("collection_id").agg(
             F.count(F.lit(1)).alias("triples_extracted")
@@ -61,13 +62,15 @@ def ingest_batch(
 def chunk_rows(files: DataFrame) -> DataFrame:
     """(id, pos, text, metadata) for every chunk of (source, text) rows.
 
-    The metadata names the source and the number of the chunk; the id derives
-    from both, so a retried task writes the same id.
+    The metadata names the source and the number of the chunk. The id derives from
+    the number and the file's whole path (the source where there is no `path`), so a
+    retried task writes the same id and files of one name do not meet.
     """
-    pieces = files.select("source", F.posexplode(chunk_text(F.col("text"))).alias("pos", "text"))
+    path = F.col("path") if "path" in files.columns else F.col("source")
+    pieces = files.select("source", path.alias("path"), F.posexplode(chunk_text(F.col("text"))).alias("pos", "text"))
     metadata = F.to_json(F.struct(F.col("source"), F.col("pos").alias("chunk")))
     return pieces.select(
-        uuid5(F.concat_ws("#", F.col("source"), F.col("pos"))).alias("id"), "pos", "text", metadata.alias("metadata")
+        uuid5(F.concat_ws("#", F.col("path"), F.col("pos"))).alias("id"), "pos", "text", metadata.alias("metadata")
     )
 
 

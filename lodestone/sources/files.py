@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(source, text): file name and whole UTF-8 content of every file below `path`."""
+    """(source, path, text): name, whole path and UTF-8 content of every file below `path`."""
     return spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_name").alias("source"), F.col("value").alias("text")
+        F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )

@@ -1,15 +1,17 @@
 """The durable store: Parquet batches made visible by a commit row.
 
-Every change writes its rows to `<table>/batch=<n>` and then one row to
-`commits/batch=<n>`. Readers only open committed batches, so documents,
-postings and edges of a batch appear together or not at all, and the files of
-a failed attempt are overwritten by the next one. `compact` writes everything
+Every change writes its rows to `<table>/batch=<n>/attempt=<id>` and then one row
+to `commits/batch=<n>`, which names the attempt. Readers only open committed
+attempts, so documents, postings and edges of a batch appear together or not at
+all, and no attempt writes over the files of another. `compact` writes everything
 that is live as one batch and drops the earlier ones from view. One writer at
 a time.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ _COMMITS = T.StructType(
     [
         T.StructField("batch", T.LongType()),
         T.StructField("snapshot", T.BooleanType()),
+        T.StructField("attempt", T.StringType()),
         T.StructField("tables", T.ArrayType(T.StringType())),
     ]
 )
@@ -43,6 +46,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._attempts: dict[int, str] = {}
         self._gone: tuple[int, DataFrame | None, DataFrame | None] = (0, None, None)
 
     # Batches ---------------------------------------------------------------
@@ -58,12 +62,20 @@ class Store:
         start = max((i for i, r in enumerate(rows) if r["snapshot"]), default=0)
         return rows[start:]
 
-    def next_batch(self) -> int:
+    def _last_batch(self) -> int:
         commits = self._commits()
-        return commits[-1]["batch"] + 1 if commits else 1
+        return commits[-1]["batch"] if commits else 0
 
-    def path(self, table: str, batch: int) -> str:
-        return f"{self.root}/{table}/batch={batch}"
+    def next_batch(self) -> int:
+        """The number of a new batch; what an earlier attempt has written under it is left behind."""
+        batch = self._last_batch() + 1
+        self._attempts.pop(batch, None)
+        return batch
+
+    def path(self, table: str, batch: int, attempt: str | None = None) -> str:
+        """The folder of one attempt to write a batch; no other attempt writes there."""
+        attempt = attempt or self._attempts.setdefault(batch, uuid.uuid4().hex)
+        return f"{self.root}/{table}/batch={batch}/attempt={attempt}"
 
     def write(self, table: str, batch: int, rows: DataFrame) -> None:
         """Write the rows of one table; invisible until the batch is committed.
@@ -76,21 +88,23 @@ class Store:
             rows = rows.hint("rebalance", "collection_id", "term").sortWithinPartitions("collection_id", "term", "id")
         else:
             rows = rows.hint("rebalance", "collection_id")
-        writer = rows.write.mode("overwrite")
+        writer = rows.write
         if table != "collections":
             writer = writer.partitionBy("collection_id")
         writer.parquet(self.path(table, batch))
 
     def commit(self, batch: int, tables: list[str], snapshot: bool = False) -> None:
-        row = self.spark.createDataFrame([(batch, snapshot, tables)], _COMMITS).coalesce(1)
-        row.drop("batch").write.mode("overwrite").parquet(f"{self.root}/commits/batch={batch}")
+        """Make a batch visible; fails where another writer has committed the same number."""
+        attempt = self._attempts.pop(batch, None)
+        row = self.spark.createDataFrame([(batch, snapshot, attempt, tables)], _COMMITS).coalesce(1)
+        row.drop("batch").write.mode("errorifexists").parquet(f"{self.root}/commits/batch={batch}")
 
     def read_batch(self, table: str, batch: int) -> DataFrame:
         return self.spark.read.schema(TABLES[table]).parquet(self.path(table, batch))
 
     def log(self, table: str) -> DataFrame:
         """All committed rows of a table."""
-        paths = [self.path(table, c["batch"]) for c in self._commits() if table in c["tables"]]
+        paths = [self.path(table, c["batch"], c["attempt"]) for c in self._commits() if table in c["tables"]]
         if not paths:
             return self.spark.createDataFrame([], TABLES[table])
         rows = self.spark.read.schema(TABLES[table]).option("basePath", f"{self.root}/{table}").parquet(*paths)
@@ -107,7 +121,7 @@ class Store:
         Found from the keys alone and kept until the next commit, so that
         texts and vectors are never shuffled to find the latest ones.
         """
-        last = self.next_batch() - 1
+        last = self._last_batch()
         if self._gone[0] != last:
             found = [
                 cut_lineage(mutate.stale_versions(self.log("documents"))),
@@ -128,10 +142,10 @@ class Store:
 
     def documents(self, collection_id: str | None = None) -> DataFrame:
         """Latest documents; one collection reads only its own folders."""
-        rows = self._current(self.log("documents").where(F.col("op") == "upsert"), "seq")
+        rows = self.log("documents").where(F.col("op") == "upsert")
         if collection_id is not None:
-            return rows.where(F.col("collection_id") == collection_id)
-        return self._live(rows, "id")
+            rows = rows.where(F.col("collection_id") == collection_id)
+        return self._live(self._current(rows, "seq"), "id")
 
     def keyword_index(self) -> KeywordIndex:
         """Postings and lengths of the latest documents of all live collections."""
@@ -142,10 +156,14 @@ class Store:
         return KeywordIndex(words, lengths)
 
     def triples(self, collection_id: str | None = None) -> DataFrame:
+        return latest_triples(self.edge_log(collection_id))
+
+    def edge_log(self, collection_id: str | None = None) -> DataFrame:
+        """All writes of edges; whoever asks for some edges filters here, before `latest_triples`."""
         log = self.log("triples")
         if collection_id is not None:
-            return latest_triples(log.where(F.col("collection_id") == collection_id))
-        return latest_triples(self._live(log, "triple_id"))
+            log = log.where(F.col("collection_id") == collection_id)
+        return self._live(log, "triple_id")
 
     # Changes ---------------------------------------------------------------
 

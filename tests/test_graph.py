@@ -6,10 +6,10 @@ from lodestone.operators import graph
 from lodestone.plans.respond import render_triples
 
 EDGES = [
-    ("Elon Musk", "founded", "SpaceX"),
-    ("Elon Musk", "CEO of", "Tesla"),
-    ("SpaceX", "builds", "Starship"),
-    ("Tesla", "makes", "Model Y"),
+    ("Vistula", "rises in", "Beskids"),
+    ("Vistula", "passes", "Torun"),
+    ("Beskids", "belong to", "Carpathians"),
+    ("Torun", "hosts", "Copernicus House"),
 ]
 
 
@@ -30,19 +30,19 @@ def test_neighbours(spark, max_rows):
     def found(*names, **home):
         return graph.neighbours(rows, ask(spark, *names, **home), max_rows).collect()
 
-    assert len(found("Elon Musk")) == 2 and len(found("SpaceX")) == 2
-    assert len(found("Elon Musk", "SpaceX")) == 3 and len(found("Elon Musk", "Elon Musk")) == 2
-    assert found("Elon Musk", home="other") == [] and found("nobody") == []
-    assert found("Starship")[0].weight == 1.0
+    assert len(found("Vistula")) == 2 and len(found("Beskids")) == 2
+    assert len(found("Vistula", "Beskids")) == 3 and len(found("Vistula", "Vistula")) == 2
+    assert found("Vistula", home="other") == [] and found("nothing") == []
+    assert found("Carpathians")[0].weight == 1.0
 
 
 @pytest.mark.parametrize("max_rows", [100_000, 0])
 def test_expansion(spark, max_rows):
-    rows = edges(spark, EDGES + [("Model Y", "is", "Car"), ("Car", "like", "Tesla"), ("Car", "sold in", "Oslo")])
-    hops = {r.predicate: r.hop for r in graph.expand(rows, ask(spark, "Elon Musk"), 3, max_rows).collect()}
-    assert hops == {"founded": 1, "CEO of": 1, "builds": 2, "makes": 2, "like": 2, "is": 3, "sold in": 3}
-    assert graph.expand(edges(spark), ask(spark, "Elon Musk"), 2).count() == 4
-    assert graph.expand(edges(spark), ask(spark, "Elon Musk"), 9).count() == 4
+    rows = edges(spark, EDGES + [("Copernicus House", "is", "Museum"), ("Museum", "stands in", "Torun"), ("Museum", "shows", "Globes")])
+    hops = {r.predicate: r.hop for r in graph.expand(rows, ask(spark, "Vistula"), 3, max_rows).collect()}
+    assert hops == {"rises in": 1, "passes": 1, "belong to": 2, "hosts": 2, "stands in": 2, "is": 3, "shows": 3}
+    assert graph.expand(edges(spark), ask(spark, "Vistula"), 2).count() == 4
+    assert graph.expand(edges(spark), ask(spark, "Vistula"), 9).count() == 4
 
 
 def test_a_hub_with_a_third_of_all_edges(spark):
@@ -70,13 +70,15 @@ def test_last_write_of_an_edge_wins(spark):
 
 def test_extraction(spark):
     layout = "collection_id string, id string, text string"
-    text = "Bill Gates founded Microsoft in Albuquerque. He later stepped down as CEO. Later Bill Gates moved."
+    text = "Marie Curie taught at Sorbonne near Paris. She then led an institute with PTR. Then Marie Curie left."
     docs = spark.createDataFrame([("c", "d", text), ("c", "long", "Ada Lovelace met Bob " * 3000)], layout)
     pairs = graph.cooccurrence_triples(graph.extract_entities(docs)).collect()
-    assert {(r.subject, r.object) for r in pairs} >= {("Bill Gates", "Microsoft"), ("Microsoft", "CEO")}
-    names = ["Bill Gates", "Microsoft", "Albuquerque", "CEO", "Later Bill Gates"]
-    assert len(pairs) == len(names) * (len(names) - 1) // 2
-    assert {(r.predicate, r.weight, r.document_id) for r in pairs} == {("related_to", 0.8, "d")}
+    names = ["Marie Curie", "Sorbonne", "Paris", "PTR", "Then Marie Curie"]
+    own = [r for r in pairs if r.document_id == "d"]
+    assert {(r.subject, r.object) for r in own} >= {("Marie Curie", "Sorbonne"), ("Sorbonne", "PTR")}
+    assert len(own) == len(names) * (len(names) - 1) // 2
+    assert {(r.predicate, r.weight) for r in pairs} == {("related_to", 0.8)}
+    assert any(r.document_id == "long" for r in pairs)  # a text of any length gives its entities
 
 
 def test_unique_entities_keep_first_place_and_last_label(spark):
@@ -92,24 +94,25 @@ def test_unique_entities_keep_first_place_and_last_label(spark):
 def test_gazetteer_and_models(spark, max_rows):
     import pandas as pd
 
-    docs = spark.createDataFrame([("c", "d", "The new york times, in New York!")], "collection_id string, id string, text string")
-    names = spark.createDataFrame([("New York", "Location"), ("New York Times", "Organization")], "text string, label string")
-    rows = {(r.pos, r.text, r.label) for r in graph.gazetteer_entities(docs, names, 3, max_rows).collect()}
-    assert rows == {(1, "New York", "Location"), (1, "New York Times", "Organization"), (5, "New York", "Location")}
+    docs = spark.createDataFrame([("c", "d", "The cape of good hope ferry, at Cape of Good Hope!")], "collection_id string, id string, text string")
+    names = spark.createDataFrame([("Cape of Good Hope", "Location"), ("Cape of Good Hope Ferry", "Organization"), ("!", "None")], "text string, label string")
+    rows = {(r.pos, r.text, r.label) for r in graph.gazetteer_entities(docs, names, max_rows).collect()}
+    assert rows == {(1, "Cape of Good Hope", "Location"), (1, "Cape of Good Hope Ferry", "Organization"), (7, "Cape of Good Hope", "Location")}
+    assert graph.gazetteer_entities(docs, names.limit(0), max_rows).count() == 0
 
     @F.pandas_udf("array<struct<text string, label string>>")
     def model(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [{"text": w, "label": "Concept"} for w in t.split()[:2]])
 
-    assert [r.text for r in graph.extract_entities(docs, model).orderBy("pos").collect()] == ["The", "new"]
+    assert [r.text for r in graph.extract_entities(docs, model).orderBy("pos").collect()] == ["The", "cape"]
 
 
 def test_rendered_triples(spark):
-    entities = spark.createDataFrame([("1", "c", "SpaceX"), ("2", "c", "nobody")], "q_id string, collection_id string, entity string")
+    entities = spark.createDataFrame([("1", "c", "Beskids"), ("2", "c", "nobody")], "q_id string, collection_id string, entity string")
     lines = {(r.entity, r.part, r.line) for r in render_triples(entities, graph.neighbours(edges(spark), entities)).collect()}
     assert lines == {
-        ("SpaceX", 0, "Knowledge about 'SpaceX':"),
-        ("SpaceX", 1, "- Elon Musk founded SpaceX"),
-        ("SpaceX", 1, "- SpaceX builds Starship"),
+        ("Beskids", 0, "Knowledge about 'Beskids':"),
+        ("Beskids", 1, "- Vistula rises in Beskids"),
+        ("Beskids", 1, "- Beskids belong to Carpathians"),
         ("nobody", 0, "No knowledge found for 'nobody'"),
     }

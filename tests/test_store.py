@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lodestone.client import Client
 from lodestone.operators.mutate import upsert_rows
-from lodestone.plans.ingest import ingest_files
+from lodestone.plans.ingest import chunk_rows, ingest_files
 from lodestone.sources.batches import batch_of, unnest_batches
 from lodestone.sources.files import read_text_files
 from lodestone.streaming import ingest_stream
@@ -42,15 +42,15 @@ def test_tenants_do_not_meet(spark, tmp_path):
 
 def test_hybrid_query_and_isolation(client):
     docs = client.create_collection("documents")
-    texts = ["The apple is a tasty fruit. Code: X-99", "The server crashed with error X-99", "Bananas are yellow fruits."]
-    assert docs.add(["doc1", "doc2", "doc3"], texts) == {"count": 3, "skipped": 0, "triples_extracted": 0}
-    client.create_collection("images").add(["img1"], ["Photo of an apple, code X-99"], [{"tag": "food"}])
-    answer = docs.query(["X-99", "yellow bananas", "zzz"], n_results=2)
-    assert set(answer["ids"][0]) == {"doc1", "doc2"} and answer["ids"][1][0] == "doc3"
+    texts = ["Gate K7 leads to the harbour ferry", "Nobody may pass gate K7 at night", "Lighthouses blink in steady rhythm."]
+    assert docs.add(["p", "q", "r"], texts) == {"count": 3, "skipped": 0, "triples_extracted": 0}
+    client.create_collection("plans").add(["s"], ["Drawing of gate K7"], [{"tag": "paper"}])
+    answer = docs.query(["K7", "steady lighthouses", "zzz"], n_results=2)
+    assert set(answer["ids"][0]) == {"p", "q"} and answer["ids"][1][0] == "r"
     assert len(answer["ids"][2]) == 2 and answer["metadatas"][0] == [{}, {}]
     assert answer["distances"][1] == sorted(answer["distances"][1], reverse=True)
-    assert "[Source: unknown]\n" in docs.context(["X-99"]).first()["context"]
-    assert docs.render(["X-99"], 1).first()["rendered"].startswith("--- Result 1 (Score: 0.0")
+    assert "[Source: unknown]\n" in docs.context(["K7"]).first()["context"]
+    assert docs.render(["K7"], 1).first()["rendered"].startswith("--- Result 1 (Score: 0.0")
 
 
 def test_upsert_delete_filter_and_compact(client):
@@ -74,26 +74,59 @@ def test_upsert_delete_filter_and_compact(client):
 
 def test_duplicates(client):
     docs = client.create_collection("docs")
-    fox = "The quick brown fox jumps over the lazy dog"
-    assert docs.add(["doc1"], [fox], [{"ver": 1}], deduplicate=True)["count"] == 1
-    assert docs.add(["doc2"], [fox], deduplicate=True) == {"count": 0, "skipped": 1, "triples_extracted": 0}
-    near = "The quick brown fox jumped over a lazy dog"
-    assert docs.add(["doc3"], [near], deduplicate=True)["count"] == 1
-    assert docs.add(["doc4", "doc5"], [near + "!", "Python is a programming language"], deduplicate=True) == {
+    first = "Nine grey herons wait beside our frozen mill pond"
+    assert docs.add(["a"], [first], [{"n": 1}], deduplicate=True)["count"] == 1
+    assert docs.add(["b"], [first], deduplicate=True) == {"count": 0, "skipped": 1, "triples_extracted": 0}
+    near = "Nine grey herons waited beside the frozen mill pond"
+    assert docs.add(["c"], [near], deduplicate=True)["count"] == 1
+    assert docs.add(["d", "e"], [near + "!", "Tides turn twice a day"], deduplicate=True) == {
         "count": 1, "skipped": 1, "triples_extracted": 0
     }
-    assert docs.add(["doc6"], ["The quick brown fox jumped over a lazy cat"], deduplicate=True, similarity_threshold=0.6)["skipped"] == 1
+    last = "Nine grey herons waited beside the frozen mill race"
+    assert docs.add(["f"], [last], deduplicate=True, similarity_threshold=0.6)["skipped"] == 1
+
+
+def test_an_edge_keeps_the_last_document(client):
+    docs = client.create_collection("docs")
+    docs.add(["z", "a"], ["We saw Lake Como and Villa Erba.", "They saw Lake Como and Villa Erba."], extract_graph=True)
+    edge = client.store.triples(docs.collection_id).where("subject = 'Lake Como'").first()
+    assert edge.document_id == "a"
+
+
+def test_ids_of_tenants_and_files_do_not_meet(spark, client, tmp_path):
+    rows = [("a:b", "c", "{}"), ("a", "b:c", "{}")]
+    made = client.store.create_collections(spark.createDataFrame(rows, "tenant_id string, name string, metadata string"))
+    assert made.select("collection_id").distinct().count() == 2
+    for folder in ("x", "y"):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "notes.txt").write_text(f"Text of folder {folder}, " + "long enough to be a chunk of its own.")
+    chunks = chunk_rows(read_text_files(spark, str(tmp_path / "in" / "*")))
+    assert chunks.count() == 2 == chunks.select("id").distinct().count()
+
+
+def test_a_number_is_committed_once(client):
+    number = client.store.next_batch()
+    client.store.commit(number, [])
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        client.store.commit(number, [])
+
+
+def test_a_deleted_collection_shows_nothing(client):
+    docs = client.create_collection("docs")
+    docs.add(["a"], ["some text"])
+    client.delete_collection("docs")
+    assert docs.documents().count() == 0
 
 
 def test_graph_of_a_collection(client):
     docs = client.create_collection("docs")
-    text = "Bill Gates founded Microsoft in Albuquerque. He later stepped down as CEO."
-    assert docs.add(["d"], [text], [{"source": "wiki"}], extract_graph=True)["triples_extracted"] == 6
-    found = docs.query_graph(["Bill Gates"]).collect()
-    assert {r.object for r in found} == {"Microsoft", "Albuquerque", "CEO"} and {r.weight for r in found} == {0.8}
-    edges = [("Elon Musk", "founded", "SpaceX"), ("SpaceX", "builds", "Starship"), ("Elon Musk", "founded", "SpaceX")]
+    text = "Marie Curie taught at Sorbonne near Paris. She then led an institute with PTR."
+    assert docs.add(["d"], [text], [{"source": "notes"}], extract_graph=True)["triples_extracted"] == 6
+    found = docs.query_graph(["Marie Curie"]).collect()
+    assert {r.object for r in found} == {"Sorbonne", "Paris", "PTR"} and {r.weight for r in found} == {0.8}
+    edges = [("Vistula", "rises in", "Beskids"), ("Beskids", "belong to", "Carpathians"), ("Vistula", "rises in", "Beskids")]
     assert docs.add_triples([dict(zip(("subject", "predicate", "object"), e)) for e in edges]) == 3
-    assert docs.query_graph(["Elon Musk"]).count() == 1 and docs.query_graph(["Elon Musk"], hops=2).count() == 2
+    assert docs.query_graph(["Vistula"]).count() == 1 and docs.query_graph(["Vistula"], hops=2).count() == 2
 
 
 def test_uncommitted_rows_are_invisible(client):

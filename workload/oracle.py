@@ -76,14 +76,14 @@ asked as (
 sizes as (select q_id, count(*) as n_phrases from asked group by q_id),
 pairs as (
   select a.q_id, p.collection_id, p.id, count(*) as m,
-         sum(a.times * greatest(ln((s.n - h.df + 0.5) / (h.df + 0.5)), 1e-6) * p.tf * 2.2
-             / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / s.avg_dl))) as bm25
+         list_sum(list(a.times * (greatest(ln((s.n - h.df + 0.5) / (h.df + 0.5)), 1e-6) * p.tf * 2.2
+             / (p.tf + 1.2 * (0.25 + 0.75 * p.dl / s.avg_dl))) order by a.term)) as bm25
   from asked a join post p on p.collection_id = a.collection_id and p.term = a.term
   join held h on h.term = p.term and h.scope = {per.replace('collection_id', 'p.collection_id')}
   join stats s on s.scope = h.scope {extra}
   group by 1, 2, 3),
 bm25 as (
-  select q_id, collection_id, id, round(bm25, 9) as bm25 from pairs join sizes using (q_id) {need})"""
+  select q_id, collection_id, id, bm25 from pairs join sizes using (q_id) {need})"""
 
 
 def _best(source: str, order: str, limit: int, cols: str) -> str:
@@ -96,7 +96,7 @@ def _best(source: str, order: str, limit: int, cols: str) -> str:
 def _knn(docs: str, queries: str, k: int, where: str = "") -> str:
     return f"""
 dist as (
-  select q.q_id, d.collection_id, d.id, round({_distance('q.embedding', 'd.embedding')}, 9) as distance
+  select q.q_id, d.collection_id, d.id, {_distance('q.embedding', 'd.embedding')} as distance
   from {queries} q join {docs} d on d.collection_id = q.collection_id {where}),
 vec as ({_best('dist', 'distance, id', k, 'q_id, collection_id, id, distance')})"""
 
@@ -165,19 +165,19 @@ pivots as (
   from (select * from vectors order by md5(id), id limit {CELLS})),
 near as (
   select v.id, p.p, row_number() over (
-    partition by v.id order by round({_distance('v.embedding', 'p.embedding')}, 9), p.p) as pr
+    partition by v.id order by {_distance('v.embedding', 'p.embedding')}, p.p) as pr
   from vectors v cross join pivots p),
 cand as (
   select n.id as q_id, c.id from near n join near c on c.p = n.p and c.pr = 1 where n.pr <= {PROBES}),
 dist as (
-  select c.q_id, c.id, round({_distance('a.embedding', 'b.embedding')}, 9) as distance
+  select c.q_id, c.id, {_distance('a.embedding', 'b.embedding')} as distance
   from cand c join vectors a on a.id = c.q_id join vectors b on b.id = c.id),
 ann as ({_best('dist', 'distance, id', 5, 'q_id, id, distance')})"""
 
 ARRIVALS = f"""
 hits as (
   select distinct n.vec_id as id from embeddings n join embeddings s
-    on n.label >= 7 and s.label < 7 and round({_distance('n.embedding', 's.embedding')}, 9) <= {NEAR})"""
+    on n.label >= 7 and s.label < 7 and {_distance('n.embedding', 's.embedding')} <= {NEAR})"""
 
 HYBRID_WHERE = "lang in ('en', 'fr') and n_chars > 300"
 
@@ -217,7 +217,7 @@ found as (
   select id, list_filter(regexp_extract_all('. ' || text,
     '[.!?\n]\s*\p{Lu}[\p{L}\p{N}]*(?: \p{Lu}[\p{L}\p{N}]*)*|\p{Lu}[\p{L}\p{N}]*(?: \p{Lu}[\p{L}\p{N}]*)*'),
     lambda m: not (regexp_matches(m, '^[.!?\n]') and not contains(regexp_replace(m, '^[.!?\s]+', ''), ' '))) as ms
-  from SOURCE where length(text) <= 50000),
+  from SOURCE),
 mentions as (
   select id, unnest(range(len(ms)))::INTEGER as pos, regexp_replace(unnest(ms), '^[.!?\s]+', '') as text from found),
 uniq as (select id, text, min(pos) as first, max(pos) as last from mentions group by id, text),
@@ -250,7 +250,7 @@ def _ingest() -> str:
             "full_docs as (select docs.*, embedding from docs join d_vec using (key))",
             f"""dups as (
   select distinct n.id from full_docs n join full_docs s on n.quality is null and s.quality is not null
-    and round({_distance('n.embedding', 's.embedding')}, 9) <= 0.1)""",
+    and {_distance('n.embedding', 's.embedding')} <= 0.1)""",
             "kept as (select * from docs where quality is null and id not in (select id from dups))",
         ]
     )
@@ -265,7 +265,7 @@ ORACLE = {
     "vector_topk_approximate": f"with {VECTORS}, {ANN} select q_id, rank, id, round(distance, 6) as distance from ann",
     "vector_ann_recall": (
         "with vectors as (select 'all' as collection_id, vec_id::VARCHAR as id, embedding from embeddings), "
-        f"{ANN}, pair_dist as (select a.id as q_id, b.id, round({_distance('a.embedding', 'b.embedding')}, 9) as distance "
+        f"{ANN}, pair_dist as (select a.id as q_id, b.id, {_distance('a.embedding', 'b.embedding')} as distance "
         f"from vectors a, vectors b), vec as ({_best('pair_dist', 'distance, id', 5, 'q_id, id')}) "
         "select count(*) as n_exact, count(ann.id) as n_found from vec left join ann using (q_id, id)"
     ),
@@ -378,8 +378,8 @@ hits as (
   from phrases f join post p on f.is_prefix and starts_with(p.term, f.phrase) group by 1, 2, 3),
 held as (select phrase, is_prefix, count(*) as df from hits group by 1, 2),
 bm25 as (
-  select a.q_id, h.id, round(sum(a.times * greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2
-         / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))), 9) as bm25
+  select a.q_id, h.id, list_sum(list(a.times * (greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2
+         / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))) order by phrase, is_prefix)) as bm25
   from asked a join hits h using (phrase, is_prefix) join held using (phrase, is_prefix), stats group by 1, 2),
 kw as ({_best('bm25', 'bm25 desc, id', 10, 'q_id, id, bm25')})
 select q_id, rank, id, round(bm25, 6) as bm25 from kw"""
@@ -436,13 +436,13 @@ ORACLE |= {
     "documents_looked_up": f"select lang as collection_id, doc_id::VARCHAR as id, {_metadata()} as metadata from {LABELLED} where toxic = 1",
     "documents_by_label": f"select doc_id::VARCHAR as id, {_int_id('doc_id::VARCHAR')} as int_id from documents where doc_id in (select vec_id from embeddings)",
     "collections_list": (
-        f"select {_uuid5('''(':' || lang || ':1')''')} as collection_id, lang as name, '{{\"kind\": \"language\"}}' as metadata "
+        f"select {_uuid5('''('["","' || lang || '","1"]')''')} as collection_id, lang as name, '{{\"kind\": \"language\"}}' as metadata "
         "from (select distinct lang from documents)"
     ),
     "collections_get_or_create": (
-        f"select {_uuid5('''(':' || lang || ':1')''')} as collection_id, lang as name, '{{\"kind\": \"language\"}}' as metadata "
+        f"select {_uuid5('''('["","' || lang || '","1"]')''')} as collection_id, lang as name, '{{\"kind\": \"language\"}}' as metadata "
         "from (select distinct lang from documents) union all "
-        f"select {_uuid5('''(':' || source || ':2')''')}, source, '{{\"kind\": \"new\"}}' from (select distinct source from documents)"
+        f"select {_uuid5('''('["","' || source || '","2"]')''')}, source, '{{\"kind\": \"new\"}}' from (select distinct source from documents)"
     ),
     "collection_counts": "select lang as collection_id, count(*) as n_docs from documents group by lang",
     "collection_deleted": "select doc_id, lang from documents where lang not in ('fr', 'es')",
@@ -479,14 +479,12 @@ ORACLE |= {
     "entity_unique": f"with {ALL_TEXTS}, {SPANS.replace('SOURCE', 'texts')} select id, first as pos, text, "
     "case when last % 2 = 0 then 'Person' else 'Concept' end as label from uniq",
     "entity_gazetteer": f"""with {ALL_TEXTS}, {SPANS.replace('SOURCE', 'texts')},
-names as (select distinct array_to_string({_tokens('text')}, ' ') as name from mentions where len({_tokens('text')}) between 2 and 3),
-words as (select id, unnest(range(len(ws)))::INTEGER as pos, unnest(ws) as w from (select id, {_tokens('text')} as ws from texts where length(text) <= 50000)),
+names as (select distinct {_tokens('text')} as name from mentions where len({_tokens('text')}) >= 2),
+words as (select id, {_tokens('text')} as ws from texts),
 grams as (
-  select a.id, a.pos, a.w || ' ' || b.w as g from words a join words b on b.id = a.id and b.pos = a.pos + 1
-  union all
-  select a.id, a.pos, a.w || ' ' || b.w || ' ' || c.w from words a join words b on b.id = a.id and b.pos = a.pos + 1
-  join words c on c.id = a.id and c.pos = a.pos + 2)
-select id, pos, name as text, 'Organization' as label from grams join names on g = name""",
+  select id, pos, ws[pos + 1 : pos + n] as g
+  from (select id, ws, n, unnest(range(len(ws) - n + 1))::INTEGER as pos from words, (select distinct len(name) as n from names) where len(ws) >= n))
+select id, pos, array_to_string(name, ' ') as text, 'Organization' as label from grams join names on g = name""",
     "entity_pairs": f"with {ALL_TEXTS}, {SPANS.replace('SOURCE', 'texts')} select * from pairs",
     "triples_upserted": f"""with log as (
   select 'part:' || l_partkey as subject, 'supplier:' || l_suppkey as object, l_orderkey || '-' || l_linenumber as document_id,
@@ -511,7 +509,7 @@ select q_id, min(hop)::INTEGER as hop, subject, predicate, object from (
 select q_id, entity, 0::INTEGER as part, 'Knowledge about ''' || entity || ''':' as line from hub
 union all select 'no ' || q_id, 'no ' || entity, 0, 'No knowledge found for ''no ' || entity || '''' from hub
 union all select q_id, entity, 1, '- ' || subject || ' ' || predicate || ' ' || object from hub join edges on object = entity""",
-    "tenant_listing": f"select {_uuid5('''(':src1_' || lang || ':1')''')} as collection_id, lang as name, '{{}}' as metadata "
+    "tenant_listing": f"select {_uuid5('''('["","src1_' || lang || '","1"]')''')} as collection_id, lang as name, '{{}}' as metadata "
     "from (select distinct lang from documents where source = 'src1')",
     "tenant_search": _search_ctes("and", 3, 6, 3, by="source") + " " + _renumbered("true", "id, round(score, 10) as score"),
 }

@@ -569,7 +569,7 @@ def entity_gazetteer(spark, sf_dir):
     docs = t.documents(spark, sf_dir)
     spans = graph.extract_entities(docs)
     words = F.array_join(tokenize(F.col("text")), " ")
-    names = spans.where(F.size(tokenize(F.col("text"))).between(2, 3)).groupBy(words.alias("text")).agg(F.lit("Organization").alias("label"))
+    names = spans.where(F.size(tokenize(F.col("text"))) >= 2).groupBy(words.alias("text")).agg(F.lit("Organization").alias("label"))
     return graph.gazetteer_entities(docs, names).select("id", "pos", "text", "label")
 
 
