@@ -27,6 +27,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -47,7 +48,7 @@ WINDOW, HALF = 20, 10
 #: Landmarks from toxic and from clean documents.
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 48, 24
 #: Documents of each class that the model is fitted on, and the bytes of the longest.
-MAX_FIT, MAX_FIT_BYTES = 3000, 1 << 15
+MAX_FIT, MAX_FIT_BYTES = 2000, 1 << 15
 #: Units whose value a task remembers.
 _CACHE = 400_000
 _BLOCK = 1 << 15
@@ -211,15 +212,16 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 50.0, step
     return w
 
 
-def _mined(x: np.ndarray, negative: np.ndarray, positive: np.ndarray, mass: np.ndarray, most: int = 5000) -> np.ndarray:
-    """The SVM of all negative rows, found on those that come near the margin."""
-    work, w = negative[:: max(1, len(negative) // most)], np.zeros(x.shape[1])
+def _mined(
+    x: np.ndarray, negative: np.ndarray, share: np.ndarray, positive: np.ndarray, mass: np.ndarray, most: int = 5000
+) -> np.ndarray:
+    """The SVM of all negative rows, each with its share, found on those that come near the margin."""
+    work, w = np.arange(0, len(negative), max(1, len(negative) // most)), np.zeros(x.shape[1])
     for _ in range(10):
         sign = np.concatenate([-np.ones(len(work)), np.ones(len(positive))])
-        weight = 1000 * np.concatenate([np.full(len(work), 1 / len(negative)), mass])
-        w = _svm(np.vstack([x[work], positive]), sign, weight)
-        inside = negative[x[negative] @ w > -1]
-        new = np.setdiff1d(inside, work)
+        weight = 1000 * np.concatenate([share[work], mass])
+        w = _svm(np.vstack([x[negative[work]], positive]).astype(np.float64), sign, weight)
+        new = np.setdiff1d(np.flatnonzero(x[negative] @ w > -1), work)
         if not len(new):
             break
         work = np.union1d(work, new)
@@ -255,59 +257,93 @@ def _diverse(ranked: list[str], most: int, chosen: list[str]) -> list[str]:
     return out
 
 
-def _landmarks(toxic: Counter, clean: Counter) -> list[str]:
+def _landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> list[str]:
     """Words that speak most for a toxic document, then the words of clean documents that come nearest to them."""
-    speaking = _diverse(sorted(toxic, key=lambda w: (3 * clean[w] - toxic[w], w)), TOXIC_LANDMARKS, [])
-    others = sorted(clean)
-    near = (kernel(others, speaking) / self_kernel(speaking)).max(axis=1)
-    return _diverse([others[i] for i in np.argsort(-near, kind="stable")], CLEAN_LANDMARKS, speaking)
+    def ranked(by: np.ndarray, places: np.ndarray, most: int) -> list[str]:
+        order = sorted(places.tolist(), key=lambda i: (by[i], words[i]))
+        return [words[i] for i in order[: 40 * most]]
+
+    speaking = _diverse(ranked(3 * clean - toxic, np.flatnonzero(toxic), TOXIC_LANDMARKS), TOXIC_LANDMARKS, [])
+    near, norm = np.zeros(len(words), dtype=np.float32), self_kernel(speaking)
+    for i in range(0, len(words), _BLOCK):
+        near[i : i + _BLOCK] = (kernel(words[i : i + _BLOCK], speaking) / norm).max(axis=1)
+    return _diverse(ranked(-near, np.flatnonzero(clean), CLEAN_LANDMARKS), CLEAN_LANDMARKS, speaking)
+
+
+def _features(words: list[str], landmarks: list[str], scale: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each word in a matrix of features; row 0 is shared by all words without similarity to any landmark."""
+    place, parts, n = np.zeros(len(words), dtype=np.int32), [np.zeros((1, len(landmarks)), dtype=np.float32)], 1
+    for i in range(0, len(words), _BLOCK):
+        near = kernel(words[i : i + _BLOCK], landmarks)
+        some = np.flatnonzero(near.any(axis=1))
+        place[i + some] = n + np.arange(len(some))
+        n += len(some)
+        parts.append((near[some] * scale) @ root.astype(np.float32))
+    x = np.concatenate(parts)
+    return place, np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
 
 
 def fit(texts: list[str | None], labels: list[int], rounds: int = 6) -> Model | Constant:
     """A model of whole labelled texts; the order of the rows does not matter."""
-    known: dict[tuple[tuple[str, int], ...], int] = {}
-    for text, label in zip(texts, labels):
-        key = tuple(sorted(units(text).items()))
-        if key:
-            known[key] = max(known.get(key, 0), int(label))
-    docs = sorted(known.items())
-    y = np.array([label for _, label in docs])
+    number: dict[str, int] = {}
+    docs: dict[bytes, list] = {}  # documents with the same units are one
+    for text, label in sorted(zip(texts, labels), key=lambda row: (row[0] or "", row[1])):
+        found = units(text)
+        if found:
+            ids = np.array([number.setdefault(w, len(number)) for w in sorted(found)], dtype=np.int32)
+            counts = np.array([found[w] for w in sorted(found)], dtype=np.int32)
+            key = hashlib.md5(ids.tobytes() + b"/" + counts.tobytes()).digest()
+            docs.setdefault(key, [ids, counts, 0])[2] |= int(label)
+    y = np.array([label for _, _, label in docs.values()])
     if not len(y) or y.min() == y.max():
         return Constant(float(np.mean(labels)) if len(labels) else 0.0)
-    toxic, clean = Counter(), Counter()
-    for words, label in docs:
-        (toxic if label else clean).update(w for w, _ in words)
-    landmarks = _landmarks(toxic, clean)
+    words = list(number)
+    seen = np.zeros((2, len(words)), dtype=np.int64)  # clean and toxic documents that hold a word
+    for ids, _, label in docs.values():
+        seen[label, ids] += 1
+    landmarks = _landmarks(words, seen[1], seen[0])
     scale = 1 / np.sqrt(self_kernel(landmarks))
     own = kernel(landmarks, landmarks, 0) * scale[:, None] * scale[None, :]
     value, vector = np.linalg.eigh(own.astype(np.float64))
     keep = value > 1e-4 * value.max()
     root = (vector[:, keep] / np.sqrt(value[keep])) @ vector[:, keep].T
 
-    words = sorted(set(toxic) | set(clean))
-    place = {w: i for i, w in enumerate(words)}
-    x = np.hstack([(kernel(words, landmarks) * scale) @ root, np.ones((len(words), 1))])
-    rows = [np.array([place[w] for w, _ in ws]) for ws, _ in docs]
-    counts = [np.array([n for _, n in ws]) for ws, _ in docs]
-    negative = np.array(sorted(place[w] for w in clean))
+    place, x = _features(words, landmarks, scale, root)
+    rows = [place[ids] for ids, _, _ in docs.values()]
+    counts = [n for _, n, _ in docs.values()]
+    # Rows of the matrix by how many words of clean documents they stand for.
+    weight = np.bincount(place[seen[0] > 0], minlength=len(x))
+    negative = np.flatnonzero(weight)
+    is_clean = weight > 0
     # The first witness of a toxic document is the word that most of the toxic and fewest of the clean ones share.
-    guess = np.array([(toxic[w] + 0.1) / (toxic[w] + 30 * clean[w] + 5) for w in words])
-    for turn in range(rounds):
-        worst = np.array([guess[r].max() for r in rows])
-        # Toxic documents that look cleaner than most clean ones teach nothing: their insults are unknown or their labels wrong.
-        speaks = (y == 1) & ((worst > np.quantile(worst[y == 0], 0.75)) if turn else (worst > 0))
-        if not speaks.any():
+    first = (seen[1] + 0.1) / (seen[1] + 30 * seen[0] + 5)
+    witness_of = np.full(len(x), -1)  # a word of each row, for its variants
+    witness_of[place] = np.arange(len(words))
+    decided = None
+    for _ in range(rounds):
+        if decided is None:
+            at = [ids[np.argmax(first[ids])] for ids, _, label in docs.values() if label]
+            chosen = place[np.array(at)]
+        else:
+            worst = np.array([decided[r].max() for r in rows])
+            # Toxic documents that look cleaner than most clean ones teach nothing: their insults are unknown or their labels wrong.
+            speaks = (y == 1) & (worst > np.quantile(worst[y == 0], 0.75))
+            if not speaks.any():
+                break
+            chosen = np.array([rows[i][np.argmax(decided[rows[i]])] for i in np.flatnonzero(speaks)])
+        kinds, count = np.unique(chosen[chosen > 0], return_counts=True)
+        if not len(kinds):
             break
-        witness = np.array([rows[i][np.argmax(guess[rows[i]])] for i in np.flatnonzero(speaks)])
-        kinds, count = np.unique(witness, return_counts=True)
-        variants = [(v, n) for k, n in zip(kinds, count) if not clean[words[k]] for v in gapped(words[k])]
-        extra = kernel([v for v, _ in variants], landmarks) * scale @ root
+        variants = [(v, n) for k, n in zip(kinds, count) if not is_clean[k] for v in gapped(words[witness_of[k]])]
+        extra = (kernel([v for v, _ in variants], landmarks) * scale) @ root
         positive = np.vstack([x[kinds], np.hstack([extra, np.ones((len(variants), 1))])])
         mass = np.concatenate([count / count.sum(), 0.3 * np.array([n for _, n in variants]) / max(1, sum(n for _, n in variants))])
-        w = _mined(x, negative, positive, mass)
-        guess = x @ w
-    seen = np.stack([evidence(guess[r], n, float(w[-1])) for r, n in zip(rows, counts)])
-    return Model(landmarks, scale * (root @ w[:-1]), float(w[-1]), _logistic(seen, y))
+        w = _mined(x, negative, weight[negative] / weight.sum(), positive, mass)
+        decided = x @ w
+    if decided is None:
+        return Constant(float(np.mean(labels)))
+    evidences = np.stack([evidence(decided[r], n, float(w[-1])) for r, n in zip(rows, counts)])
+    return Model(landmarks, scale * (root @ w[:-1]), float(w[-1]), _logistic(evidences, y))
 
 
 def held_out(doc_id: Column) -> Column:
