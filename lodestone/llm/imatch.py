@@ -85,8 +85,11 @@ def subset_hashes(texts: DataFrame, keys: list[str], words: DataFrame, text: str
 EMPTY = NONE * (SUBSETS * len(PARTS))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """How alike two fingerprints are, 0 to 1."""
+def add_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """`rows` with `name`: how alike the fingerprints in the columns `a` and `b` are, 0 to 1.
+
+    Built column by column, so that what several steps use is computed once.
+    """
 
     def counts(level: int) -> Column:
         places = F.sequence(F.lit(level * SUBSETS), F.lit((level + 1) * SUBSETS - 1))
@@ -101,14 +104,19 @@ def likeness(a: Column, b: Column) -> Column:
 
         return F.aggregate(places, start, step)
 
-    levels = F.array(*[counts(i) for i in range(len(PARTS))])
-    usable = F.filter(levels, lambda c: c["used"] > 0)
-    sparse = F.filter(usable, lambda c: c["used"] <= CROWDED)
     # All levels that are not crowded, else the last one, whose subsets are smallest.
-    chosen = F.when(F.size(sparse) > 0, sparse).otherwise(F.slice(usable, -1, 1))
-    same = F.aggregate(chosen, F.lit(0), lambda total, c: total + c["same"])
-    used = F.aggregate(chosen, F.lit(0), lambda total, c: total + c["used"])
-    return F.when(F.size(usable) == 0, F.lit(1.0)).otherwise(same / used)
+    steps = {
+        "_levels": F.array(*[counts(i) for i in range(len(PARTS))]),
+        "_usable": F.filter("_levels", lambda c: c["used"] > 0),
+        "_sparse": F.filter("_usable", lambda c: c["used"] <= CROWDED),
+        "_chosen": F.when(F.size("_sparse") > 0, F.col("_sparse")).otherwise(F.slice("_usable", -1, 1)),
+    }
+    for step, column in steps.items():
+        rows = rows.withColumn(step, column)
+    same = F.aggregate("_chosen", F.lit(0), lambda total, c: total + c["same"])
+    used = F.aggregate("_chosen", F.lit(0), lambda total, c: total + c["used"])
+    near = F.when(F.size("_chosen") == 0, F.lit(1.0)).otherwise(same / used)
+    return rows.withColumn(name, near).drop(*steps)
 
 
 # Edited texts ----------------------------------------------------------------
@@ -165,6 +173,8 @@ def imatch_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     marked = cut_lineage(digests.join(prints, ["k", "h"], "left").na.fill(EMPTY, ["fingerprint", "edited_fingerprint"]))
     following = marked.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
     rows = turns.join(marked, ["k", "h"]).join(following, ["next_k", "next_h"])
+    rows = add_likeness(rows, "fingerprint", "edited_fingerprint", "near_edited")
+    rows = add_likeness(rows, "fingerprint", "next_fingerprint", "near_next")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return rows.select(
         F.col("id").alias(doc_id),
@@ -172,6 +182,6 @@ def imatch_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "near_edited",
+        "near_next",
     )
