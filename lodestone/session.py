@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -40,12 +41,13 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    The folder is read from the session. Only local mode falls back to a
-    temporary folder, because there every task sees the same disk.
+    The folder is read from the session. Only where driver and tasks are one
+    process (master "local" or "local[n]", as in tests) and none is set, a
+    temporary folder is made.
     """
     base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(base)

@@ -108,8 +108,9 @@ DOCS_BY = f"docs as (select {{}} as collection_id, doc_id::VARCHAR as id, doc_id
 ITEMS = "items as (select item_id::VARCHAR as key, text from benchmark)"
 QUESTIONS = "questions as (select key as q_id, 'docs' as collection_id, text as query_text, embedding from items join q_vec using (key))"
 EMBEDDED = "embedded as (select docs.*, embedding from docs join d_vec using (key))"
-PAIRED = f"docs as (select 'docs' as collection_id, doc_id::VARCHAR as id, text, lang, source, n_chars, quality, toxic, {_metadata()} as metadata, embedding from {LABELLED} join embeddings on vec_id = doc_id)"
-PAIRED_ASK = "asking as (select collection_id, id as q_id, embedding from docs)"
+# All documents under the name docs, with their vectors, and the benchmark texts that ask.
+PAIRED = ",\n".join([DOCS.replace("docs as", "raw_docs as", 1), ITEMS, _hashed("d", "raw_docs"), _hashed("q", "items"), "docs as (select raw_docs.*, embedding from raw_docs join d_vec using (key))"])
+PAIRED_ASK = "asking as (select 'docs' as collection_id, key as q_id, embedding from items join q_vec using (key))"
 FUSED = """
 legs as (
   select q_id, collection_id, id, rank as vec_rank, null::INTEGER as kw_rank from vec
@@ -296,7 +297,8 @@ ORACLE = {
     "where_or": _lab("lang = 'fr' or toxic = 1"),
     "where_nested": _part("(p_type = 'SMALL' and p_size > 20 and p_size <= 40) or p_brand in ('Brand#1', 'Brand#2')"),
     "where_range": _part("p_retailprice >= 901.5 and p_retailprice < 910.25 and p_size is distinct from 7"),
-    "where_unknown_op": _part("false"),
+    "where_unknown_op": _part("p_brand = 'Brand#13'"),
+    "where_eq_operator": _part("p_brand = 'Brand#13'"),
     "where_json_eq": _ids("lang = 'de' and quality = 1"),
     "where_json_ne": _ids("quality is distinct from 1"),
     "where_json_range": _ids("n_chars > 500 and n_chars <= 2000"),
@@ -513,3 +515,40 @@ union all select q_id, entity, 1, '- ' || subject || ' ' || predicate || ' ' ||
     "from (select distinct lang from documents where source = 'src1')",
     "tenant_search": _search_ctes("and", 3, 6, 3, by="source") + " " + _renumbered("true", "id, round(score, 10) as score"),
 }
+
+
+# Stored collections ----------------------------------------------------------
+
+_LIVE = f"{_ingest()}, live as (select id, text, embedding from full_docs where quality is not null or id in (select id from kept))"
+_LEFT = "stored as (select 'docs' as collection_id, id, text from live where id not in (select doc_id::VARCHAR from labels where toxic = 1))"
+_STORED_KEYWORD = (
+    f"with {_LIVE}, {_LEFT}, questions as (select item_id::VARCHAR as q_id, 'docs' as collection_id, text as query_text from benchmark), "
+    f"{_bm25('stored', 'questions', 'or')}, kw as ({_best('bm25', 'bm25 desc, id', 10, 'q_id, id, bm25')}) "
+    "select q_id, rank, id, round(bm25, 6) as bm25 from kw"
+)
+
+ORACLE |= {
+    "stored_documents": f"with {_LIVE}, meta as (select doc_id::VARCHAR as id, {_metadata()} as metadata from {LABELLED}) "
+    "select id, md5(text) as text, metadata from live join meta using (id)",
+    "stored_triples": f"with {_ingest()}, {SPANS.replace('SOURCE', 'kept')} select subject, predicate, object, "
+    "arg_max(document_id, document_id::BIGINT) as document_id, 0.8::DOUBLE as weight from pairs group by subject, predicate, object",
+    "stored_after_delete": f"with {_LIVE}, {_LEFT} select id, length(text)::INTEGER as chars from stored",
+    "stored_keyword_search": _STORED_KEYWORD,
+    "stored_after_compact": _STORED_KEYWORD,
+    "stored_hybrid_search": "with "
+    + ",\n".join(
+        [
+            _LIVE,
+            "stored as (select 'docs' as collection_id, * from live)",
+            ITEMS,
+            _hashed("q", "items"),
+            QUESTIONS,
+            _knn("stored", "questions", 5),
+            _bm25("stored", "questions", "or"),
+            f"kw as ({_best('bm25', 'bm25 desc, id', 10, 'q_id, collection_id, id, bm25')})",
+            FUSED,
+            f"top as ({_best('fused', FUSED_ORDER, 5, 'q_id, id, score')})",
+        ]
+    )
+    + " select q_id, rank, id, round(score, 10) as score from top",
+}

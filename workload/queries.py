@@ -96,15 +96,15 @@ def vector_distance_to_class(spark, sf_dir):
 
 @query
 def vector_search_filtered(spark, sf_dir):
-    docs = t.paired(spark, sf_dir)
-    hits = vector_search(docs, t.as_queries(docs), 5, {"lang": "en", "toxic": 0})
+    docs = t.embedded(spark, sf_dir)
+    hits = vector_search(docs, t.questions(spark, sf_dir), 5, {"lang": "en", "toxic": 0})
     return hits.select("q_id", "rank", "id", F.round("score", 6).alias("score"), F.length("text").alias("chars"))
 
 
 @query
 def vector_search_operators(spark, sf_dir):
-    docs = t.paired(spark, sf_dir)
-    hits = vector_search(docs, t.as_queries(docs), 5, {"n_chars": {"$gte": 1000}, "quality": {"$ne": 1}}, operators=True)
+    docs = t.embedded(spark, sf_dir)
+    hits = vector_search(docs, t.questions(spark, sf_dir), 5, {"n_chars": {"$gte": 1000}, "quality": {"$ne": 1}}, operators=True)
     return hits.select("q_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
@@ -153,7 +153,8 @@ QUERIES.update(
         {"$or": [{"$and": [{"p_type": "SMALL"}, {"p_size": {"$gt": 20, "$lte": 40}}]}, {"p_brand": {"$in": ["Brand#1", "Brand#2"]}}]}
     ),
     where_range=_typed_part({"p_retailprice": {"$gte": 901.5, "$lt": 910.25}, "p_size": {"$ne": 7}}),
-    where_unknown_op=_typed_part({"p_size": {"$near": 5}}),
+    where_unknown_op=_typed_part({"$or": [{"p_size": {"$near": 5}}, {"p_brand": "Brand#13"}]}),
+    where_eq_operator=_typed_part({"p_brand": {"$eq": "Brand#13"}}),
     where_json_eq=_json_labelled({"lang": "de", "quality": 1}),
     where_json_ne=_json_labelled({"quality": {"$ne": 1}}),
     where_json_range=_json_labelled({"n_chars": {"$gt": 500, "$lte": 2000.0}}),
@@ -297,15 +298,13 @@ def hybrid_search_isolated(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    docs = t.paired(spark, sf_dir)
-    queries = t.as_queries(docs)
+    docs, queries = t.embedded(spark, sf_dir), t.questions(spark, sf_dir)
     return queries, vector_search(docs, queries, 3)
 
 
 @query
 def result_lists(spark, sf_dir):
-    docs = t.paired(spark, sf_dir)
-    queries = t.as_queries(docs)
+    docs, queries = t.embedded(spark, sf_dir), t.questions(spark, sf_dir)
     lists = response_lists(queries, vector_search(docs, queries, 3, {"lang": "de"}))
 
     def joined(column):
@@ -513,6 +512,64 @@ def ingest_stored(spark, sf_dir):
     return rows.select("id", "int_id", F.length("text").alias("chars"), F.size("embedding").alias("dim"))
 
 
+def _home(store):
+    return store.collections().first()["collection_id"]
+
+
+@query
+def stored_documents(spark, sf_dir):
+    """The documents of one stored collection."""
+    store = _filled_store(spark, sf_dir)[0]
+    return store.documents(_home(store)).select("id", F.md5("text").alias("text"), "metadata")
+
+
+@query
+def stored_triples(spark, sf_dir):
+    """The edges of one stored collection, each with the last document that has it."""
+    store = _filled_store(spark, sf_dir)[0]
+    return store.triples(_home(store)).select("subject", "predicate", "object", "document_id", "weight")
+
+
+def _without_toxic(spark, sf_dir):
+    store = _filled_store(spark, sf_dir)[0]
+    toxic = t.table(spark, sf_dir, "labels").where("toxic = 1").select(F.lit(_home(store)).alias("collection_id"), F.col("doc_id").cast("string").alias("id"))
+    store.delete_documents(toxic)
+    return store
+
+
+@query
+def stored_after_delete(spark, sf_dir):
+    store = _without_toxic(spark, sf_dir)
+    return store.documents(_home(store)).select("id", F.length("text").alias("chars"))
+
+
+def _stored_questions(spark, sf_dir, store):
+    return t.questions(spark, sf_dir).withColumn("collection_id", F.lit(_home(store)))
+
+
+@query
+def stored_keyword_search(spark, sf_dir):
+    """Search in the stored postings, of which some documents were deleted."""
+    store = _without_toxic(spark, sf_dir)
+    return _ranked(keyword_topk(store.keyword_index(), _stored_questions(spark, sf_dir, store), 10, mode="or"), "bm25")
+
+
+@query
+def stored_after_compact(spark, sf_dir):
+    """The same search after compaction."""
+    store = _without_toxic(spark, sf_dir)
+    store.compact()
+    return _ranked(keyword_topk(store.keyword_index(), _stored_questions(spark, sf_dir, store), 10, mode="or"), "bm25")
+
+
+@query
+def stored_hybrid_search(spark, sf_dir):
+    """Both legs over the stored documents, vectors and postings."""
+    store = _filled_store(spark, sf_dir)[0]
+    docs, queries = store.documents(_home(store)), _stored_questions(spark, sf_dir, store)
+    return _ranked(hybrid_search(docs, queries, 5, index=store.keyword_index(), mode="or"), "score", 10)
+
+
 @query
 def embed_text(spark, sf_dir):
     rows = t.embedded(spark, sf_dir).select("id", F.posexplode("embedding").alias("at", "value"))
@@ -656,7 +713,6 @@ def tenant_listing(spark, sf_dir):
 def tenant_search(spark, sf_dir):
     """Every tenant asks all benchmark questions in its own collections."""
     docs = t.embedded(spark, sf_dir, "source")
-    sources = F.array(*[F.lit(f"src{i}") for i in range(20)])
-    asked = t.table(spark, sf_dir, "benchmark").select(F.explode(sources).alias("collection_id"), "item_id", F.col("text").alias("query_text"))
+    asked = t.asked_of(spark, sf_dir, "source")
     asked = asked.withColumn("q_id", F.concat_ws(":", "collection_id", "item_id"))
     return _ranked(hybrid_search(docs, embed(asked, "query_text", dim=t.DIM), 3), "score", 10)

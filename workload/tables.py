@@ -50,12 +50,6 @@ def embedded(spark, sf_dir, collection=None) -> DataFrame:
     return embed(documents(spark, sf_dir, collection), dim=DIM)
 
 
-def paired(spark, sf_dir) -> DataFrame:
-    """documents that have a given vector."""
-    given = vectors(spark, sf_dir).select("id", "embedding")
-    return documents(spark, sf_dir).join(given, "id")
-
-
 def questions(spark, sf_dir) -> DataFrame:
     """benchmark texts as queries against the one collection, with hashed vectors."""
     rows = table(spark, sf_dir, "benchmark").select(
@@ -66,13 +60,20 @@ def questions(spark, sf_dir) -> DataFrame:
 
 def questions_per_language(spark, sf_dir) -> DataFrame:
     """Every benchmark text asked in the collection of every language."""
-    rows = table(spark, sf_dir, "benchmark").select(
-        F.explode(F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])).alias("collection_id"), "item_id", "text"
-    )
-    rows = rows.select(
-        F.concat_ws(":", "collection_id", "item_id").alias("q_id"), "collection_id", F.col("text").alias("query_text")
-    )
-    return embed(rows, "query_text", dim=DIM)
+    rows = asked_of(spark, sf_dir, "lang")
+    rows = rows.withColumn("q_id", F.concat_ws(":", "collection_id", "item_id"))
+    return embed(rows.select("q_id", "collection_id", "query_text"), "query_text", dim=DIM)
+
+
+def asked_of(spark, sf_dir, collection) -> DataFrame:
+    """(collection_id, item_id, query_text): every benchmark text with every value of a documents column.
+
+    The values go round as one array per item: a stated set of questions, not a join of tables.
+    """
+    values = table(spark, sf_dir, "documents").where(F.col(collection).isNotNull()).select(collection).distinct()
+    names = [r[0] for r in values.orderBy(collection).collect()]
+    homes = F.explode(F.array(*[F.lit(x) for x in names])).alias("collection_id")
+    return table(spark, sf_dir, "benchmark").select(homes, "item_id", F.col("text").alias("query_text"))
 
 
 def star_triples(spark, sf_dir) -> DataFrame:
