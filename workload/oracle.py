@@ -481,12 +481,16 @@ ORACLE |= {
     "entity_unique": f"with {ALL_TEXTS}, {SPANS.replace('SOURCE', 'texts')} select id, first as pos, text, "
     "case when last % 2 = 0 then 'Person' else 'Concept' end as label from uniq",
     "entity_gazetteer": f"""with {ALL_TEXTS}, {SPANS.replace('SOURCE', 'texts')},
-names as (select distinct {_tokens('text')} as name from mentions where len({_tokens('text')}) >= 2),
-words as (select id, {_tokens('text')} as ws from texts),
-grams as (
-  select id, pos, ws[pos + 1 : pos + n] as g
-  from (select id, ws, n, unnest(range(len(ws) - n + 1))::INTEGER as pos from words, (select distinct len(name) as n from names) where len(ws) >= n))
-select id, pos, array_to_string(name, ' ') as text, 'Organization' as label from grams join names on g = name""",
+names as (select name, row_number() over () as name_id from (select distinct {_tokens('text')} as name from mentions) where len(name) >= 2),
+spelled as (select name_id, len(name) as n, unnest(range(len(name))) as k, unnest(name) as w from names),
+words as (select id, unnest(range(len(ws)))::INTEGER as pos, unnest(ws) as w from (select id, {_tokens('text')} as ws from texts)),
+leads as (
+  select a.id, a.pos, x.name_id, x.n from spelled x join spelled y on x.name_id = y.name_id and x.k = 0 and y.k = 1
+  join words a on a.w = x.w join words b on b.id = a.id and b.pos = a.pos + 1 and b.w = y.w),
+hits as (
+  select l.id, l.pos, l.name_id from leads l join spelled s using (name_id)
+  join words t on t.id = l.id and t.pos = l.pos + s.k and t.w = s.w group by l.id, l.pos, l.name_id, l.n having count(*) = l.n)
+select id, pos, array_to_string(name, ' ') as text, 'Organization' as label from hits join names using (name_id)""",
     "entity_pairs": f"with {ALL_TEXTS}, {SPANS.replace('SOURCE', 'texts')} select * from pairs",
     "triples_upserted": f"""with log as (
   select 'part:' || l_partkey as subject, 'supplier:' || l_suppkey as object, l_orderkey || '-' || l_linenumber as document_id,
