@@ -138,9 +138,12 @@ def kernel(left: list[str], right: list[str], share: float = SHARE) -> np.ndarra
     It counts as 0 where the left string lacks more than 1 - `share` of the right one's characters.
     """
     out = np.zeros((len(left), len(right)), dtype=np.float32)
-    alphabet = {c: i for i, c in enumerate(sorted(set("".join(right))))}
+    # The marks of a word's ends are in all words and tell nothing.
+    letters = [x.replace(OPEN, "").replace(CLOSE, "") for x in right]
+    needed = np.maximum(ORDER - 1, share * np.array([len(x) for x in letters])) if share else np.zeros(len(right))
+    alphabet = {c: i for i, c in enumerate(sorted(set("".join(letters))))}
     counts = np.zeros((len(alphabet), len(right)), dtype=np.float32)
-    for j, x in enumerate(right):
+    for j, x in enumerate(letters):
         for c in x:
             counts[alphabet[c], j] += 1
     order = sorted(range(len(left)), key=lambda i: len(left[i]))
@@ -149,7 +152,7 @@ def kernel(left: list[str], right: list[str], share: float = SHARE) -> np.ndarra
         for at in (np.array(order[i : min(i + _BLOCK, b)]) for i in range(a, b, _BLOCK)):
             columns = _columns([left[i] for i in at])
             has = np.stack([(columns == ord(c)).any(axis=0) for c in alphabet]).astype(np.float32)
-            enough = has.T @ counts >= np.maximum(ORDER, share * np.array([len(x) for x in right]))
+            enough = has.T @ counts >= needed
             for j, x in enumerate(right):
                 near = np.flatnonzero(enough[:, j])
                 if len(near):
