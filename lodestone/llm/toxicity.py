@@ -55,7 +55,7 @@ _BLOCK = 1 << 15
 #: A string that lacks more than 1 - SHARE of a landmark's characters has nothing in common with it.
 SHARE = 0.6
 
-_SPELLED = re.compile(r"(?<!\S)(?:\S ){2,}\S(?!\S)")
+_SPELLED = re.compile(r"(?<!\S)(?:\S ){2,}\S[^\w\s]*(?!\S)")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 
