@@ -252,11 +252,16 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """`docs` with one row of each class: the smallest id, rows without one last, then the least text hash."""
     marked, classes = _classes(docs, doc_id, text, k, threshold)
     kept = classes.select("first.id", "first.hash").distinct()
+    rows = docs.withColumn("_own", F.xxhash64(text))
+    return kept_rows(rows, marked, kept, doc_id, "_own").select(*docs.columns)
+
+
+def kept_rows(rows: DataFrame, marked: DataFrame, kept: DataFrame, doc_id: str, text_hash: str) -> DataFrame:
+    """One of the `rows` for each (id, hash) of `kept`; `marked` has a row (id, hash) for each of `rows`."""
     copies = marked.groupBy("id", "hash").agg(F.count(F.lit(1)).alias("copies"))
     same_row = kept["id"].eqNullSafe(copies["id"]) & (kept["hash"] == copies["hash"])
     kept = kept.join(copies, same_row).select(kept["id"].alias("_id"), kept["hash"].alias("_hash"), F.col("copies").alias("_copies"))
-    rows = docs.withColumn("_own", F.xxhash64(text))
-    found = rows.join(kept, rows[doc_id].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    once = found.where("_copies = 1").select(*docs.columns)
-    repeated = found.where("_copies > 1").dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    found = rows.join(kept, rows[doc_id].eqNullSafe(F.col("_id")) & (F.col(text_hash) == F.col("_hash")))
+    once = found.where("_copies = 1").select(*rows.columns)
+    repeated = found.where("_copies > 1").dropDuplicates(["_id", "_hash"]).select(*rows.columns)
     return once.unionByName(repeated)

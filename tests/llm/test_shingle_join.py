@@ -1,0 +1,76 @@
+import random
+from itertools import combinations
+
+import pytest
+
+import corpus_pipeline as P
+from lodestone.llm import shingle_join as J
+from lodestone.llm import simhash as S
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def family_texts():
+    """Families of edited texts on both sides of 0.8, with a passage that all share, short texts and copies."""
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(30))
+    texts = []
+    for family in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice((6, 20, 60, 300)))]
+        for _ in range(6):
+            edited = list(words)
+            for _ in range(rng.choice((0, 1, 1, 2, 4, 8))):
+                edited[rng.randrange(len(edited))] = f"x{rng.randrange(5000)}"
+            if rng.random() < 0.3:
+                edited += [f"y{rng.randrange(5000)}" for _ in range(len(edited) // 6)]
+            texts.append(f"{passage if family % 2 else ''} {' '.join(edited)}")
+    return [*texts, *texts[:5], "", None, " \t", "One two", "one  TWO", "one two three"]
+
+
+def brute_force(texts):
+    """The kept ids by all pairs of sets of words, without hashes."""
+
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets, up = [grams(t) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    apart = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            apart += sets[i] != sets[j]
+            a, b = sorted((root(i), root(j)))
+            up[b] = a
+    return {i for i in range(len(texts)) if root(i) == i}, apart
+
+
+@pytest.mark.parametrize("frequent", [64, 1])
+def test_stage_equals_brute_force(spark, monkeypatch, frequent):
+    monkeypatch.setattr(J, "FREQUENT", frequent)
+    texts = family_texts()
+    want, apart = brute_force(texts)
+    rows = [(i, t, "en", "src1", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    assert {r["doc_id"] for r in P.near_dedup(spark, docs, "").collect()} == want
+    assert apart > 50 and S.drop_near_copies(docs).count() > len(want)
+
+
+def test_odd_rows(spark, odd, none):
+    kept = J.drop_near_copies(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 2, 4, 7]
+    assert J.drop_near_copies(none).count() == 0
+
+
+def test_a_large_class_is_not_listed_pair_by_pair(spark):
+    """500 texts that differ in one word are joined through neighbours in their lists."""
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*words[:i % 200], f"x{i}", *words[i % 200 + 1 :]]) for i in range(500)]
+    sets = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(texts)], "node bigint, text binary")
+    assert J.links(sets).count() < 500 * 45  # of 124,750 pairs
