@@ -7,7 +7,9 @@ the corpus, so the lexicon holds at most (distinct terms of a mean document) / `
 terms, whatever the number of documents. Each level of subsets deals the lexicon
 at random into parts, more and smaller ones from level to level, and keeps the first
 SUBSETS of them. A document's fingerprint holds one hash for each subset: that of
-its distinct terms in the subset, sorted, or "----" if it has none.
+its distinct terms in the subset, sorted, or "----" if it has none. A text without any
+term of the lexicon has a place more behind the subsets, with 64 bits of the hash of all its
+distinct terms, sorted, or if it has no terms, of the whole text.
 
 Two fingerprints are alike by the share of equal hashes among the subsets in which
 either document has terms, on the levels that are not crowded for them: a single
@@ -15,8 +17,9 @@ changed term changes one hash of a level, and large documents are told apart on
 levels of small subsets.
 
 Defined results
-* null and empty texts have no terms; their fingerprint is all "----", and two such are alike (1.0)
-* a document without terms is not alike (0.0) one that has terms in a subset
+* null and empty texts, and such of white space alone, have no terms; their fingerprint is all "----", and two such are alike (1.0)
+* other texts without terms of the lexicon are alike (1.0) if their distinct terms are the same, and not at all (0.0) otherwise
+* a document without terms of the lexicon is not alike (0.0) one that has terms in a subset
 * terms repeated in a text count once, repeated documents count each and get a row each
 * an empty table gives an empty table
 """
@@ -85,6 +88,14 @@ def subset_hashes(texts: DataFrame, keys: list[str], words: DataFrame, text: str
 EMPTY = NONE * (SUBSETS * len(PARTS))
 
 
+def without_lexicon(text: Column) -> Column:
+    """The fingerprint of a text that has no term of the lexicon."""
+    own = terms(text)
+    whole = F.when(F.size(own) > 0, F.concat_ws(" ", F.sort_array(own))).otherwise(text)
+    place = F.substring(F.md5(whole.cast("binary")), 1, 16)
+    return F.when(F.coalesce(text, F.lit("")).rlike(r"^\s*$"), F.lit(EMPTY)).otherwise(F.concat(F.lit(EMPTY), place))
+
+
 def add_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """`rows` with `name`: how alike the fingerprints in the columns `a` and `b` are, 0 to 1.
 
@@ -115,7 +126,7 @@ def add_likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
         rows = rows.withColumn(step, column)
     same = F.aggregate("_chosen", F.lit(0), lambda total, c: total + c["same"])
     used = F.aggregate("_chosen", F.lit(0), lambda total, c: total + c["used"])
-    near = F.when(F.size("_chosen") == 0, F.lit(1.0)).otherwise(same / used)
+    near = F.when(F.size("_chosen") == 0, (F.col(a) == F.col(b)).cast("double")).otherwise(same / used)
     return rows.withColumn(name, near).drop(*steps)
 
 
@@ -148,6 +159,33 @@ def _in_turn(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return found.select("k", "h", "id", "n", "copies", F.col("follower.k").alias("next_k"), F.col("follower.h").alias("next_h"))
 
 
+def _edited(texts: DataFrame, turns: DataFrame) -> DataFrame:
+    """(k, h, text, edited): the texts of `turns` with their edited texts."""
+    need = F.floor(F.col("n") / 3).cast("int")
+    wanted = turns.select(F.col("k").alias("to_k"), F.col("h").alias("to_h"), need.alias("need"), F.col("next_k").alias("k"), F.col("next_h").alias("h"))
+    heads = texts.join(wanted, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.col("text").substr(F.lit(1), F.col("need")).alias("head"), "need")
+    return texts.join(heads, ["k", "h"]).select(
+        "k", "h", "text", F.concat(F.col("text").substr(F.lit(1), F.length("text") - F.col("need")), F.col("head")).alias("edited")
+    )
+
+
+def _with_bare(marked: DataFrame, texts: DataFrame, turns: DataFrame) -> DataFrame:
+    """`marked` with the fingerprints of texts and edited texts that have no term of the lexicon; only these are read again."""
+    bare = marked.where(F.col("fingerprint").isNull() | F.col("edited_fingerprint").isNull()).select("k", "h")
+    if not bare.limit(1).count():
+        return marked
+    side = F.broadcast if fits(bare) else lambda rows: rows
+    turned = turns.join(side(bare), ["k", "h"])
+    needed = turned.select("k", "h").union(turned.select("next_k", "next_h")).distinct()
+    few = cut_lineage(texts.join(side(needed), ["k", "h"], "left_semi"))
+    own = _edited(few, turned).select("k", "h", without_lexicon(F.col("text")).alias("_own"), without_lexicon(F.col("edited")).alias("_own_edited"))
+    filled = marked.join(side(cut_lineage(own)), ["k", "h"], "left")
+    return filled.select(
+        "k", "h", "edited_sha256",
+        F.coalesce("fingerprint", "_own").alias("fingerprint"), F.coalesce("edited_fingerprint", "_own_edited").alias("edited_fingerprint"),
+    )
+
+
 def imatch_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Fingerprints of every text and of its edited text, and how alike they are; one row per document.
 
@@ -160,17 +198,12 @@ def imatch_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NAMELESS)).alias("k"), F.xxhash64(clean).alias("h"), clean.alias("text"))
     if turns.where("copies > 1").limit(1).count():
         texts = texts.dropDuplicates(["k", "h"])
-    need = F.floor(F.col("n") / 3).cast("int")
-    wanted = turns.select(F.col("k").alias("to_k"), F.col("h").alias("to_h"), need.alias("need"), F.col("next_k").alias("k"), F.col("next_h").alias("h"))
-    heads = texts.join(wanted, ["k", "h"]).select(F.col("to_k").alias("k"), F.col("to_h").alias("h"), F.col("text").substr(F.lit(1), F.col("need")).alias("head"), "need")
-    edited = texts.join(heads, ["k", "h"]).select(
-        "k", "h", "text", F.concat(F.col("text").substr(F.lit(1), F.length("text") - F.col("need")), F.col("head")).alias("edited")
-    )
+    edited = _edited(texts, turns)
     both = edited.select("k", "h", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("text")) for i, c in enumerate(("text", "edited"))])).alias("x"))
     prints = subset_hashes(both.select("k", "h", "x.i", "x.text"), ["k", "h", "i"], words)
     prints = prints.groupBy("k", "h").agg(*[F.max(F.when(F.col("i") == i, F.col("fingerprint"))).alias(c) for i, c in enumerate(("fingerprint", "edited_fingerprint"))])
     digests = edited.select("k", "h", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    marked = cut_lineage(digests.join(prints, ["k", "h"], "left").na.fill(EMPTY, ["fingerprint", "edited_fingerprint"]))
+    marked = _with_bare(cut_lineage(digests.join(prints, ["k", "h"], "left")), texts, turns)
     following = marked.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
     rows = turns.join(marked, ["k", "h"]).join(following, ["next_k", "next_h"])
     rows = add_likeness(rows, "fingerprint", "edited_fingerprint", "near_edited")

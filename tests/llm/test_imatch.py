@@ -55,3 +55,16 @@ def test_broadcast_and_shuffle_agree(spark, odd, monkeypatch, report):
     monkeypatch.setattr(I, "MAX_BROADCAST", 0)
     again = I.imatch_report(odd).collect()
     assert sorted(map(str, again)) == sorted(map(str, report))
+
+
+def test_texts_without_terms_of_the_lexicon(spark):
+    """Documents 2 to 7 have only terms that stand in fewer than three of ten documents, or none."""
+    texts = ["m n", "m n", "rare words", "Words, rare words!", "other things", "+++", "***", "", "m n", "m n"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    rows = {r["doc_id"]: r for r in I.imatch_report(docs, low=0.3, high=0.5).collect()}
+    prints = {i: r["fingerprint"] for i, r in rows.items()}
+    rare = hashlib.md5(b"rare words").hexdigest()[:16]
+    assert prints[2] == prints[3] == I.EMPTY + rare and prints[7] == I.EMPTY
+    assert len({prints[i] for i in (2, 4, 5, 6, 7)}) == 5
+    assert {i: r["near_next"] for i, r in rows.items() if 2 <= i <= 8} == {8: 0.0, 7: 0.0, 6: 0.0, 5: 0.0, 4: 0.0, 3: 1.0, 2: 0.0}
+    assert rows[4]["near_edited"] == 0.0 and rows[9]["near_next"] == 1.0
