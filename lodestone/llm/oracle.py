@@ -141,3 +141,41 @@ select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_de
   length(coalesce(k.text, '')) as kept_chars, sha256(coalesce(k.text, '')) as kept_sha256
 from documents d left join kept k using (doc_id)
 """
+
+# The CRC-32 of a word from the table of its polynomial, byte by byte.
+ORACLE["op13_resampling"] = f"""
+with crc as (
+  select list(list_reduce([i] || range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) order by i) as t
+  from (select unnest(range(256)) as i)
+),
+d as (select doc_id, coalesce({WORDS.format('text')}, []) as w from documents),
+tokens as (select doc_id, unnest(w) as word from d),
+wanted as (select unnest({WORDS.format('text')}) as word from benchmark),
+known as (
+  select word, xor(4294967295, list_reduce(
+      [4294967295::bigint] || list_transform(range(1, length(hex(word)), 2), lambda i: ('0x' || substr(hex(word), i, 2))::bigint),
+      lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) % 10000 as bucket
+  from (select word from tokens union select word from wanted), crc
+),
+s as (select bucket, count(*) as n from tokens join known using (word) group by bucket),
+t as (select bucket, count(*) as n from wanted join known using (word) group by bucket),
+gain as (
+  select bucket, floor(1000 * ln(
+    ((coalesce(t.n, 0) + 1) * ((select coalesce(sum(n), 0) from s) + 10000))::double
+    / ((coalesce(s.n, 0) + 1) * ((select coalesce(sum(n), 0) from t) + 10000))::double))::bigint as gain
+  from s full join t using (bucket)
+),
+weighed as (
+  select doc_id, sum(gain)::bigint as weight from tokens join known using (word) join gain using (bucket) group by doc_id
+),
+scored as (
+  select doc_id, len(w)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double))))::bigint as score
+  from d left join weighed using (doc_id)
+),
+drawn as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank from scored where n_features >= 20
+)
+select doc_id, n_features, weight, score, case when rank <= (select 10 * count(*) // 100 from drawn) then rank end as rank
+from scored left join drawn using (doc_id)
+"""

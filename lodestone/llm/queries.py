@@ -11,6 +11,7 @@ from lodestone.llm.html import extract_main_text
 from lodestone.llm.imatch import imatch_report
 from lodestone.llm.line_dedup import line_report
 from lodestone.llm.mixing import mix
+from lodestone.llm.resampling import resampling_report
 from lodestone.llm.sharding import shard_report
 from lodestone.llm.simhash import simhash_report
 from lodestone.llm.token_files import token_report
@@ -93,3 +94,8 @@ def op7_line_dedup(spark, sf_dir):
 def op9_warc(spark, sf_dir):
     responses = response_records(table(spark, sf_dir, "pages"))
     return read_derivatives(build_derivatives(responses, shared_dir(spark, "warc")))
+
+
+@query
+def op13_resampling(spark, sf_dir):
+    return resampling_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
