@@ -179,3 +179,24 @@ drawn as (
 select doc_id, n_features, weight, score, case when rank <= (select 10 * count(*) // 100 from drawn) then rank end as rank
 from scored left join drawn using (doc_id)
 """
+
+ORACLE["op12_occurrence"] = r"""
+with recursive d as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as w
+  from documents
+),
+s as (
+  select distinct doc_id, unnest(case when len(w) between 1 and 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end) as gram
+  from d
+),
+n as (select doc_id, count(*) as n from s group by doc_id),
+met as (select a.doc_id as u, b.doc_id as v, count(*) as both_n from s a join s b on a.gram = b.gram and a.doc_id < b.doc_id group by u, v),
+links as (
+  select u, v from met join n a on a.doc_id = u join n b on b.doc_id = v where 100 * both_n >= 85 * (a.n + b.n - both_n)
+),
+arcs as (select u, v from links union select v, u from links),
+reach as (select doc_id, doc_id as other from d union select doc_id, v from reach join arcs on other = u),
+least as (select doc_id, min(other) as component_id from reach group by doc_id)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from d join least using (doc_id) left join n using (doc_id)
+"""

@@ -11,6 +11,7 @@ from lodestone.llm.html import extract_main_text
 from lodestone.llm.imatch import imatch_report
 from lodestone.llm.line_dedup import line_report
 from lodestone.llm.mixing import mix
+from lodestone.llm.occurrence import occurrence_report
 from lodestone.llm.resampling import resampling_report
 from lodestone.llm.sharding import shard_report
 from lodestone.llm.simhash import simhash_report
@@ -99,3 +100,8 @@ def op9_warc(spark, sf_dir):
 @query
 def op13_resampling(spark, sf_dir):
     return resampling_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_occurrence(spark, sf_dir):
+    return occurrence_report(table(spark, sf_dir, "documents"))

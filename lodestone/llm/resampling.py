@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.llm.decontaminate import words
+from lodestone.llm.names import unused
 from lodestone.session import cut_lineage
 
 BUCKETS, ORDER, SEED, MIN_WORDS = 10_000, 1, 2024, 20
@@ -115,17 +116,6 @@ def _weigh(batches: Iterator[pa.RecordBatch], table, order: int, seed: int, keep
         yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *map(pa.array, made)], names=names)
 
 
-def _unused(docs: DataFrame, *names: str) -> list[str]:
-    taken = {c.lower() for c in docs.columns}
-    out = []
-    for name in names:
-        while name in taken:
-            name += "_"
-        taken.add(name)
-        out.append(name)
-    return out
-
-
 class Scored:
     """Documents with their weights, written once; `names` are the columns added to those of the documents."""
 
@@ -144,10 +134,10 @@ class Scored:
     ):
         keep = docs.columns if keep is None else keep
         self.columns = keep
-        names = _unused(docs, "n_words", "n_features", "weight", "score", "hash", "row")
+        names = unused(docs, "n_words", "n_features", "weight", "score", "hash", "row")
         self.n_words, self.n_features, self.weight, self.score, self.hash, self.row = names
         gain = gains(bucket_counts(docs, text, order, buckets), bucket_counts(target, target_text, order, buckets))
-        key, body = _unused(docs, "key", "body")
+        key, body = unused(docs, "key", "body")
         rows = docs.select(
             *keep, F.xxhash64(text).alias(self.hash), F.col(doc_id).cast("string").alias(key), F.encode(text, "UTF-8").alias(body)
         )
