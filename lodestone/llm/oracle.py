@@ -200,3 +200,24 @@ reach as (select doc_id, doc_id as other from d union select doc_id, v from reac
 least as (select doc_id, min(other) as component_id from reach group by doc_id)
 select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from d join least using (doc_id) left join n using (doc_id)
 """
+
+ORACLE["op11_hard_negatives"] = """
+with rows as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+),
+met as (
+  select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, list_inner_product(a.v, r.v)::bigint as score
+  from rows a join rows r on a.vec_id <> r.vec_id where a.vec_id % 100 = 0
+),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from met where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank,
+  vec_id as negative_id, positive_score, score as negative_score
+from positives join met using (anchor_id)
+where not same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score
+qualify rank <= 5
+"""

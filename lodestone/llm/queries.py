@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.decontaminate import contamination_report
+from lodestone.llm.hard_negatives import hard_negatives
 from lodestone.llm.html import extract_main_text
 from lodestone.llm.imatch import imatch_report
 from lodestone.llm.line_dedup import line_report
@@ -105,3 +106,10 @@ def op13_resampling(spark, sf_dir):
 @query
 def op12_occurrence(spark, sf_dir):
     return occurrence_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector")), F.col("id") % 100 == 0)
