@@ -29,9 +29,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -49,17 +51,44 @@ WINDOW, HALF = 20, 10
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 48, 24
 #: Documents of each class that the model is fitted on, and the bytes of the longest.
 MAX_FIT, MAX_FIT_BYTES = 2000, 1 << 15
-#: Units whose value a task remembers.
-_CACHE = 400_000
+#: Units whose value a worker remembers from task to task.
+_CACHE = 1_000_000
 _BLOCK = 1 << 15
-#: A string that lacks more than 1 - SHARE of a landmark's characters has nothing in common with it.
-SHARE = 0.6
 
 _SPELLED = re.compile(r"(?<!\S)(?:\S ){2,}\S[^\w\s]*(?!\S)")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 
 
+def _kept() -> dict:
+    """What this Python process remembers from task to task.
+
+    This package travels inside the task closure, so its own globals are new for every task.
+    """
+    return sys.modules.setdefault("_lodestone_units", ModuleType("_lodestone_units")).__dict__
+
+
+class _Parts(dict):
+    """The units of a word between blanks, remembered."""
+
+    def __missing__(self, raw: str) -> tuple[str, ...]:
+        words, word = [], raw
+        if not word.isalnum():
+            word = _OUTER.sub("", word)
+            if not word.isalnum():
+                words.append(_INNER.sub("", word))
+        words.append(word)
+        out = []
+        for word in words:
+            if len(word) + 2 >= ORDER:  # shorter words have no subsequence of ORDER characters
+                word = OPEN + word + CLOSE
+                out += [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - HALF, HALF)]
+        if len(self) >= _CACHE // 2:
+            self.clear()
+        self[raw] = found = tuple(out)
+        return found
+
+
 def units(text: str | None) -> Counter:
     """The units of a text with how often each occurs."""
     if not text:
@@ -67,19 +96,12 @@ def units(text: str | None) -> Counter:
     lower = text.lower()
     words = Counter(lower.split())
     words.update(x.replace(" ", "") for x in _SPELLED.findall(lower))
-    found: Counter = Counter()
-    for word, n in words.items():
-        if not word.isalnum():
-            word = _OUTER.sub("", word)
-            if not word.isalnum():
-                found[_INNER.sub("", word)] += n
-        found[word] += n
+    parts = _kept().setdefault("parts", _Parts())
     out: Counter = Counter()
-    for word, n in found.items():
-        if len(word) >= ORDER:
-            word = OPEN + word + CLOSE
-            for part in [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - HALF, HALF)]:
-                out[part] += n
+    get = out.get
+    for word, n in words.items():
+        for part in parts[word]:
+            out[part] = get(part, 0) + n
     return out
 
 
@@ -108,51 +130,61 @@ def _columns(strings: list[str]) -> np.ndarray:
 
 
 def _against(columns: np.ndarray, other: str) -> np.ndarray:
-    """The gap-weighted subsequence kernel of every string with one other."""
-    n, m, decay = columns.shape[1], len(other), np.float32(DECAY)
-    # prefix[q][i]: weight of common subsequences of q characters of what is read and other[:i]
-    prefix = [[np.zeros(n, dtype=np.float32) for _ in range(m + 1)] for _ in range(ORDER - 1)]
+    """The gap-weighted subsequence kernel of every string with one other.
+
+    The weight of a common subsequence depends on where it begins and ends only, so the decay is
+    taken off at its first character and put on at its last; between, plain prefix sums are enough.
+    """
+    n, m = columns.shape[1], len(other)
+    # prefix[q][i]: common subsequences of q + 1 characters of what is read and other[:i], by DECAY ** -(places of the first)
+    prefix = [np.zeros((m + 1, n), dtype=np.float32) for _ in range(ORDER - 1)]
     total = np.zeros(n, dtype=np.float32)
     letters = {c: ord(c) for c in set(other)}
-    for row in columns:
-        same = {c: (row == code).astype(np.float32) * (decay * decay) for c, code in letters.items()}
-        for q in range(ORDER - 1, -1, -1):
-            below = prefix[q - 1] if q else None
+    for r, row in enumerate(columns):
+        same = {c: row == code for c, code in letters.items()}
+        there = [i for i, c in enumerate(other) if same[c].any()]
+        if not there:
+            continue
+        same = {c: x.astype(np.float32) for c, x in same.items()}
+        for i in there:
+            total += same[other[i]] * prefix[ORDER - 2][i] * np.float32(DECAY ** (r + i + 2))
+        for q in range(ORDER - 2, -1, -1):
             run = np.zeros(n, dtype=np.float32)
-            for i, c in enumerate(other):
-                step = same[c] * below[i] if q else same[c]
-                if q == ORDER - 1:
-                    total += step
-                    continue
-                run *= decay
-                run += step
-                above = prefix[q][i + 1]
-                above *= decay
-                above += run
+            for i in range(there[0], m):
+                if i in there:
+                    run += same[other[i]] * (prefix[q - 1][i] if q else np.float32(DECAY ** -(r + i)))
+                prefix[q][i + 1] += run
     return total
 
 
-def kernel(left: list[str], right: list[str], share: float = SHARE) -> np.ndarray:
-    """The kernel of every pair, as (len(left), len(right)).
+def _long_enough(columns: np.ndarray, right: list[str]) -> np.ndarray:
+    """For every string and every other whether they have a common subsequence of ORDER characters; without one the kernel is 0.
 
-    It counts as 0 where the left string lacks more than 1 - `share` of the right one's characters.
+    One bit per character of the other string, all other strings at once.
     """
+    codes = np.array(sorted({ord(c) for x in right for c in x}), dtype=np.uint32)
+    masks = np.zeros((len(codes) + 1, len(right)), dtype=np.uint32)
+    for j, x in enumerate(right):
+        for i, c in enumerate(x):
+            masks[np.searchsorted(codes, ord(c)), j] |= np.uint32(1 << i)
+    state = np.full((columns.shape[1], len(right)), 0xFFFFFFFF, dtype=np.uint32)
+    for row in columns:
+        at = np.minimum(np.searchsorted(codes, row), len(codes) - 1)
+        there = masks[np.where(codes[at] == row, at, len(codes))]
+        both = state & there
+        state = (state + both) | (state - both)
+    return np.bitwise_count(~state) >= ORDER
+
+
+def kernel(left: list[str], right: list[str]) -> np.ndarray:
+    """The kernel of every pair, as (len(left), len(right)); the strings have at most WINDOW + 2 characters."""
     out = np.zeros((len(left), len(right)), dtype=np.float32)
-    # The marks of a word's ends are in all words and tell nothing.
-    letters = [x.replace(OPEN, "").replace(CLOSE, "") for x in right]
-    needed = np.maximum(ORDER - 1, share * np.array([len(x) for x in letters])) if share else np.zeros(len(right))
-    alphabet = {c: i for i, c in enumerate(sorted(set("".join(letters))))}
-    counts = np.zeros((len(alphabet), len(right)), dtype=np.float32)
-    for j, x in enumerate(letters):
-        for c in x:
-            counts[alphabet[c], j] += 1
     order = sorted(range(len(left)), key=lambda i: len(left[i]))
-    bounds = np.searchsorted([len(left[i]) for i in order], [0, 7, 9, 11, 14, WINDOW + 1])
+    bounds = np.searchsorted([len(left[i]) for i in order], [0, 7, 9, 11, 14, WINDOW + 3])
     for a, b in zip(bounds, [*bounds[1:], len(order)]):
         for at in (np.array(order[i : min(i + _BLOCK, b)]) for i in range(a, b, _BLOCK)):
             columns = _columns([left[i] for i in at])
-            has = np.stack([(columns == ord(c)).any(axis=0) for c in alphabet]).astype(np.float32)
-            enough = has.T @ counts >= needed
+            enough = _long_enough(columns, right)
             for j, x in enumerate(right):
                 near = np.flatnonzero(enough[:, j])
                 if len(near):
@@ -170,6 +202,10 @@ class Model:
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, mix: np.ndarray):
         self.landmarks, self.weights, self.bias, self.mix = landmarks, weights.astype(np.float32), bias, mix
 
+    def name(self) -> str:
+        """The same for models that give the same values."""
+        return hashlib.md5(repr((self.landmarks, self.weights.tolist(), self.bias)).encode()).hexdigest()
+
     def values(self, strings: list[str]) -> np.ndarray:
         """The SVM's decision for every string."""
         parts = [kernel(strings[i : i + _BLOCK], self.landmarks) @ self.weights for i in range(0, len(strings), _BLOCK)]
@@ -186,6 +222,9 @@ class Constant:
     def __init__(self, share: float):
         self.share = share
 
+    def name(self) -> str:
+        return "constant"
+
     def values(self, strings: list[str]) -> np.ndarray:
         return np.zeros(len(strings))
 
@@ -224,7 +263,7 @@ def _mined(
         sign = np.concatenate([-np.ones(len(work)), np.ones(len(positive))])
         weight = 1000 * np.concatenate([share[work], mass])
         w = _svm(np.vstack([x[negative[work]], positive]).astype(np.float64), sign, weight)
-        new = np.setdiff1d(np.flatnonzero(x[negative] @ w > -1), work)
+        new = np.setdiff1d(np.flatnonzero((x @ w.astype(np.float32))[negative] > -1), work)
         if not len(new):
             break
         work = np.union1d(work, new)
@@ -251,7 +290,7 @@ def _diverse(ranked: list[str], most: int, chosen: list[str]) -> list[str]:
     norm = [float(x) for x in self_kernel(out)]
     for word in ranked[: 40 * most]:
         own = float(self_kernel([word])[0])
-        if out and (kernel([word], out, 0)[0] / np.sqrt(own * np.array(norm))).max() > 0.75:
+        if out and (kernel([word], out)[0] / np.sqrt(own * np.array(norm))).max() > 0.75:
             continue
         out.append(word)
         norm.append(own)
@@ -275,15 +314,16 @@ def _landmarks(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> list[s
 
 def _features(words: list[str], landmarks: list[str], scale: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The row of each word in a matrix of features; row 0 is shared by all words without similarity to any landmark."""
-    place, parts, n = np.zeros(len(words), dtype=np.int32), [np.zeros((1, len(landmarks)), dtype=np.float32)], 1
+    place, n = np.zeros(len(words), dtype=np.int32), 1
+    x = np.zeros((len(words) + 1, len(landmarks) + 1), dtype=np.float32)
+    x[:, -1] = 1
     for i in range(0, len(words), _BLOCK):
         near = kernel(words[i : i + _BLOCK], landmarks)
         some = np.flatnonzero(near.any(axis=1))
         place[i + some] = n + np.arange(len(some))
+        x[n : n + len(some), :-1] = (near[some] * scale) @ root.astype(np.float32)
         n += len(some)
-        parts.append((near[some] * scale) @ root.astype(np.float32))
-    x = np.concatenate(parts)
-    return place, np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
+    return place, x[:n]
 
 
 def fit(texts: list[str | None], labels: list[int], rounds: int = 6) -> Model | Constant:
@@ -306,7 +346,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 6) -> Model |
         seen[label, ids] += 1
     landmarks = _landmarks(words, seen[1], seen[0])
     scale = 1 / np.sqrt(self_kernel(landmarks))
-    own = kernel(landmarks, landmarks, 0) * scale[:, None] * scale[None, :]
+    own = kernel(landmarks, landmarks) * scale[:, None] * scale[None, :]
     value, vector = np.linalg.eigh(own.astype(np.float64))
     keep = value > 1e-4 * value.max()
     root = (vector[:, keep] / np.sqrt(value[keep])) @ vector[:, keep].T
@@ -379,8 +419,16 @@ def train(
 # Scoring ---------------------------------------------------------------------
 
 
-def _score(batches: Iterator[pa.RecordBatch], model, text: str, names: list[str], slice_rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    known: dict[str, float] = {}
+def worker_values(name: str) -> dict[str, float]:
+    """The values of the units of one model, the last that this process scored with."""
+    kept = _kept()
+    if name not in kept.get("models", {}):
+        kept["models"] = {name: {}}
+    return kept["models"][name]
+
+
+def _score(batches: Iterator[pa.RecordBatch], model, name: str, text: str, names: list[str], slice_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    known = worker_values(name)
     for whole in batches:
         for i in range(0, whole.num_rows, slice_rows):
             batch = whole.slice(i, slice_rows)
@@ -401,7 +449,7 @@ def score(docs: DataFrame, model: Model | Constant, text: str = "text") -> DataF
     fields = [f for f in docs.schema.fields if f.name != "score"]
     names = [f.name for f in fields]
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType())])
-    return docs.select(*names).mapInArrow(partial(_score, model=model, text=text, names=names), schema)
+    return docs.select(*names).mapInArrow(partial(_score, model=model, name=model.name(), text=text, names=names), schema)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

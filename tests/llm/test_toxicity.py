@@ -37,8 +37,10 @@ def labelled():
 
 
 def test_kernel_is_the_sum_over_common_subsequences():
-    words = ["idea", "ideal", "dia", "iidea", "a", "zzzz", "deaiidea"]
-    got = X.kernel(words, words, 0)
+    rng = random.Random(4)
+    words = ["idea", "ideal", "dia", "iidea", "a", "zzzz", "deaiidea", X.OPEN + "as" + X.CLOSE, X.OPEN + "block" + X.CLOSE, X.OPEN + "blockhead" + X.CLOSE]
+    words += ["".join(rng.choices("abcde", k=rng.randint(1, 12))) for _ in range(30)]
+    got = X.kernel(words, words)
     want = [[subsequence_kernel(a, b, X.ORDER, X.DECAY) for b in words] for a in words]
     assert np.allclose(got, want, rtol=1e-4)
 
@@ -48,6 +50,7 @@ def test_units():
     mark = lambda w: X.OPEN + w + X.CLOSE
     assert set(X.units("Dun-ce, n i t w i t!")) == {mark("dun-ce"), mark("dunce"), mark("nitwit")}
     assert X.units("word word")[mark("word")] == 2
+    assert set(X.units("you ass, a fag!")) == {mark("you"), mark("ass"), mark("fag")}
     long = "x" * 300 + "blockhead" + "y" * 300
     assert any("blockhead" in u for u in X.units(long))
 
