@@ -69,7 +69,10 @@ def _kept() -> dict:
 
 
 class _Parts(dict):
-    """The units of a word between blanks, remembered."""
+    """The units of a word between blanks, `most` of them remembered."""
+
+    def __init__(self, most: int):
+        self.most = most
 
     def __missing__(self, raw: str) -> tuple[str, ...]:
         words, word = [], raw
@@ -83,20 +86,20 @@ class _Parts(dict):
             if len(word) + 2 >= ORDER:  # shorter words have no subsequence of ORDER characters
                 word = OPEN + word + CLOSE
                 out += [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - HALF, HALF)]
-        if len(self) >= _CACHE // 2:
+        if len(self) >= self.most:
             self.clear()
         self[raw] = found = tuple(out)
         return found
 
 
-def units(text: str | None) -> Counter:
+def units(text: str | None, parts: _Parts | None = None) -> Counter:
     """The units of a text with how often each occurs."""
     if not text:
         return Counter()
     lower = text.lower()
     words = Counter(lower.split())
     words.update(x.replace(" ", "") for x in _SPELLED.findall(lower))
-    parts = _kept().setdefault("parts", _Parts())
+    parts = _Parts(1) if parts is None else parts
     out: Counter = Counter()
     get = out.get
     for word, n in words.items():
@@ -330,13 +333,15 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 6) -> Model |
     """A model of whole labelled texts; the order of the rows does not matter."""
     number: dict[str, int] = {}
     docs: dict[bytes, list] = {}  # documents with the same units are one
+    parts = _Parts(20_000)  # few: the driver's memory is for the fit
     for text, label in sorted(zip(texts, labels), key=lambda row: (row[0] or "", row[1])):
-        found = units(text)
+        found = units(text, parts)
         if found:
             ids = np.array([number.setdefault(w, len(number)) for w in sorted(found)], dtype=np.int32)
             counts = np.array([found[w] for w in sorted(found)], dtype=np.int32)
             key = hashlib.md5(ids.tobytes() + b"/" + counts.tobytes()).digest()
             docs.setdefault(key, [ids, counts, 0])[2] |= int(label)
+    parts.clear()
     y = np.array([label for _, _, label in docs.values()])
     if not len(y) or y.min() == y.max():
         return Constant(float(np.mean(labels)) if len(labels) else 0.0)
@@ -428,11 +433,11 @@ def worker_values(name: str) -> dict[str, float]:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, name: str, text: str, names: list[str], slice_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    known = worker_values(name)
+    known, parts = worker_values(name), _kept().setdefault("parts", _Parts(_CACHE // 2))
     for whole in batches:
         for i in range(0, whole.num_rows, slice_rows):
             batch = whole.slice(i, slice_rows)
-            found = [units(x) for x in batch.column(text).to_pylist()]
+            found = [units(x, parts) for x in batch.column(text).to_pylist()]
             new = set().union(*found).difference(known)
             if len(known) + len(new) > _CACHE:
                 known.clear()
