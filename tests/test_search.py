@@ -21,10 +21,18 @@ def vector_rows(spark, vectors, collections, column="id"):
     return spark.createDataFrame(rows, f"collection_id string, {column} string, embedding array<float>")
 
 
+def brute_distance(a, b):
+    """Summed dimension by dimension, as the engine does."""
+    total = 0.0
+    for x, y in zip(np.float32(a).astype(float).tolist(), np.float32(b).astype(float).tolist()):
+        total += (x - y) * (x - y)
+    return total
+
+
 def brute_topk(docs, queries, k):
     out = set()
     for qc, q, qv in queries:
-        near = sorted((round(float(((np.float32(v).astype(float) - np.float32(qv).astype(float)) ** 2).sum()), 9), i) for c, i, v in docs if c == qc)
+        near = sorted((brute_distance(v, qv), i) for c, i, v in docs if c == qc)
         out |= {(q, i, d, rank) for rank, (d, i) in enumerate(near[:k], 1)}
     return out
 
