@@ -52,7 +52,7 @@ TOXIC_LANDMARKS, CLEAN_LANDMARKS = 48, 24
 #: Documents of each class that the model is fitted on, and the bytes of the longest.
 MAX_FIT, MAX_FIT_BYTES = 2000, 1 << 15
 #: Units whose value a worker remembers from task to task.
-_CACHE = 1_000_000
+_CACHE = 500_000
 _BLOCK = 1 << 15
 
 _SPELLED = re.compile(r"(?<!\S)(?:\S ){2,}\S[^\w\s]*(?!\S)")
@@ -433,7 +433,7 @@ def worker_values(name: str) -> dict[str, float]:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, name: str, text: str, names: list[str], slice_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    known, parts = worker_values(name), _kept().setdefault("parts", _Parts(_CACHE // 2))
+    known, parts = worker_values(name), _kept().setdefault("parts", _Parts(_CACHE // 5))
     for whole in batches:
         for i in range(0, whole.num_rows, slice_rows):
             batch = whole.slice(i, slice_rows)
