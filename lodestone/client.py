@@ -24,7 +24,14 @@ class Client:
     """Collections below one folder, optionally of one tenant."""
 
     def __init__(
-        self, spark: SparkSession, root: str, tenant_id: str = "", dim: int = DEFAULT_DIM, embed_fn=None, entity_fn=None
+        self,
+        spark: SparkSession,
+        root: str,
+        tenant_id: str = "",
+        dim: int = DEFAULT_DIM,
+        embed_fn=None,
+        entity_fn=None,
+        gazetteer: DataFrame | None = None,
     ):
         self.spark = spark
         self.store = Store(spark, root)
@@ -32,6 +39,7 @@ class Client:
         self.dim = dim
         self.embed_fn = embed_fn
         self.entity_fn = entity_fn
+        self.gazetteer = gazetteer
 
     def _names(self, name: str, metadata: dict[str, Any] | None = None) -> DataFrame:
         row = (self.tenant_id, name, json.dumps(metadata or {}))
@@ -110,6 +118,7 @@ class Collection:
             self.client.embed_fn,
             self.client.entity_fn,
             self.client.dim,
+            self.client.gazetteer,
         ).first()
         counts = ("count", "skipped", "triples_extracted")
         return {c: summary[c] for c in counts} if summary else dict.fromkeys(counts, 0)

@@ -40,9 +40,9 @@ def extract_entities(
 
 
 def gazetteer_entities(
-    docs: DataFrame, gazetteer: DataFrame, max_rows: int = BROADCAST_ROWS
+    docs: DataFrame, gazetteer: DataFrame, max_rows: int = BROADCAST_ROWS, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Mentions of the names in `gazetteer` (text, label), compared word by word.
+    """Mentions of the names in `gazetteer` (text, label), compared word by word, with the `keep` columns of the document.
 
     Every run of as many words as some name has meets the names in one equi-join.
     """
@@ -50,7 +50,7 @@ def gazetteer_entities(
     # One row per number of words that names have, however many names there are.
     lengths = sorted(r["n"] for r in spelled.select(F.size("words").alias("n")).distinct().collect())
     names = spelled.withColumn("words", F.array_join("words", " "))
-    tokens = docs.select(*_DOC, tokenize(F.col("text")).alias("tokens"))
+    tokens = docs.select(*_DOC, *keep, tokenize(F.col("text")).alias("tokens"))
 
     def runs(n: int) -> Column:
         starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(0), F.size("tokens") - n)).otherwise(
@@ -63,9 +63,9 @@ def gazetteer_entities(
 
     every = F.flatten(F.array(*[runs(n) for n in lengths])) if lengths else F.array().cast("array<struct<pos:int,words:string>>")
     found = F.explode(every).alias("run")
-    grams = tokens.select(*_DOC, found).select(*_DOC, "run.pos", "run.words")
+    grams = tokens.select(*_DOC, *keep, found).select(*_DOC, *keep, "run.pos", "run.words")
     return equi_join(grams, names, ["words"], spread=["id", "pos"], max_rows=max_rows).select(
-        *_DOC, "pos", "text", "label"
+        *_DOC, *keep, "pos", "text", "label"
     )
 
 
@@ -137,7 +137,9 @@ def neighbours(triples: DataFrame, entities: DataFrame, max_rows: int = BROADCAS
 
 
 def expand(triples: DataFrame, entities: DataFrame, hops: int, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Edges within `hops` steps of a query's entities, with the first `hop` that reaches them."""
+    """Edges within `hops` steps of a query's entities, with the first `hop` that reaches them; none for no steps."""
+    if hops < 1:
+        return neighbours(triples.limit(0), entities, max_rows).withColumn("hop", F.lit(0))
     frontier = entities.select("q_id", "collection_id", "entity").distinct()
     visited = frontier
     reached = None

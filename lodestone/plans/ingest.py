@@ -12,7 +12,7 @@ from lodestone.functions.keys import uuid5
 from lodestone.functions.text import chunk_text
 from lodestone.operators import mutate
 from lodestone.operators.dedup import DEFAULT_THRESHOLD, drop_near_duplicates, ingest_summary
-from lodestone.operators.graph import cooccurrence_triples, extract_entities, identify_triples
+from lodestone.operators.graph import cooccurrence_triples, extract_entities, gazetteer_entities, identify_triples
 from lodestone.session import cut_lineage
 from lodestone.sources.store import Store, versioned_postings
 
@@ -26,9 +26,13 @@ def ingest_batch(
     embed_fn: Callable[[Column], Column] | None = None,
     entity_fn: Callable[[Column], Column] | None = None,
     dim: int = DEFAULT_DIM,
+    gazetteer: DataFrame | None = None,
 ) -> DataFrame:
     """Add (collection_id, id, text, metadata, pos) rows; returns the summary per collection.
 
+    Edges join the entities that `entity_fn` finds, or the names of `gazetteer` (text, label), or else runs of
+    capitalised words.
+
     The summary has count, skipped and triples_extracted. Vectors, documents,
     postings and edges become visible together when the batch is committed.
     """
@@ -46,7 +50,11 @@ def ingest_batch(
     summary = ingest_summary(incoming, kept)
     if extract_graph:
         # Edges carry the number of their document: of equal edges the last document's stays.
-        edges = cooccurrence_triples(extract_entities(written, entity_fn, ("seq",)), ("seq",))
+        if gazetteer is not None and entity_fn is None:
+            mentions = gazetteer_entities(written, gazetteer, keep=("seq",))
+        else:
+            mentions = extract_entities(written, entity_fn, ("seq",))
+        edges = cooccurrence_triples(mentions, ("seq",))
         store.write("triples", number, identify_triples(edges))
         tables.append("triples")
         extracted = store.read_batch("triples", number).groupBy("collection_id").agg(

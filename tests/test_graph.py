@@ -116,3 +116,9 @@ def test_rendered_triples(spark):
         ("Beskids", 1, "- Beskids belong to Carpathians"),
         ("nobody", 0, "No knowledge found for 'nobody'"),
     }
+
+
+def test_no_hops_reach_nothing(spark):
+    rows = edges(spark)
+    assert graph.expand(rows, ask(spark, "Vistula"), 0).collect() == []
+    assert graph.expand(rows, ask(spark, "Vistula"), 0).columns == graph.expand(rows, ask(spark, "Vistula"), 1).columns

@@ -186,3 +186,16 @@ def test_stream_of_batches(client, tmp_path):
     batch_of(client.spark, home.collection_id, ["b", "c"], ["changed", "three"]).write.parquet(str(source / "2"))
     run()
     assert {r.id: r.text for r in home.documents().collect()} == {"a": "one", "b": "changed", "c": "three"}
+
+
+def test_ingest_joins_the_names_of_a_gazetteer(spark, tmp_path):
+    long = " ".join(f"part{i}" for i in range(10))
+    names = [("Lower Vistula Fen", "Place"), ("Jan Heweliusz", "Person"), ("Torun", "Place"), (long, "Work")]
+    gazetteer = spark.createDataFrame(names, "text string, label string")
+    docs = Client(spark, str(tmp_path / "g"), dim=16, gazetteer=gazetteer).create_collection("docs")
+    texts = [f"In torun, jan heweliusz wrote {long}.", "The lower vistula fen is wide", ""]
+    summary = docs.add(["a", "b", "c"], texts, extract_graph=True)
+    assert summary["triples_extracted"] == 3
+    found = {(r["subject"], r["object"]) for r in docs.query_graph(["Jan Heweliusz"]).collect()}
+    assert found == {("Torun", "Jan Heweliusz"), ("Jan Heweliusz", long)}
+    assert docs.query_graph(["Jan Heweliusz"], hops=0).collect() == []
