@@ -29,11 +29,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
-from types import ModuleType
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +40,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.worker import memory_of
+
 ORDER = 4
 DECAY = 0.7
 #: Characters that stand for the beginning and the end of a word.
@@ -51,8 +52,10 @@ WINDOW, HALF = 20, 10
 TOXIC_LANDMARKS, CLEAN_LANDMARKS = 48, 24
 #: Documents of each class that the model is fitted on, and the bytes of the longest.
 MAX_FIT, MAX_FIT_BYTES = 2000, 1 << 15
-#: Units whose value a worker remembers from task to task.
-_CACHE = 500_000
+#: Units whose value a worker remembers from task to task, and words, but for those of SLICE documents; they are read STEP by STEP.
+_CACHE, SLICE, STEP = 500_000, 4096, 256
+#: Words that the driver remembers in the fit.
+_FIT_WORDS = 20_000
 _BLOCK = 1 << 15
 
 _SPELLED = re.compile(r"(?<!\S)(?:\S ){2,}\S[^\w\s]*(?!\S)")
@@ -60,52 +63,96 @@ _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
 
 
-def _kept() -> dict:
-    """What this Python process remembers from task to task.
-
-    This package travels inside the task closure, so its own globals are new for every task.
-    """
-    return sys.modules.setdefault("_lodestone_units", ModuleType("_lodestone_units")).__dict__
+def _units_of(raw: str) -> list[str]:
+    """The units of a word between blanks."""
+    words, word = [], raw
+    if not word.isalnum():
+        word = _OUTER.sub("", word)
+        if not word.isalnum():
+            words.append(_INNER.sub("", word))
+    words.append(word)
+    out = []
+    for word in words:
+        if len(word) + 2 >= ORDER:  # shorter words have no subsequence of ORDER characters
+            word = OPEN + word + CLOSE
+            out += [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - HALF, HALF)]
+    return out
 
 
-class _Parts(dict):
-    """The units of a word between blanks, `most` of them remembered."""
+class Units:
+    """Numbers for units, and for every word between blanks the numbers of its units."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.spelled = _Spelled(self)
+        self.several: list[tuple[int, ...]] = [()]
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def number(self, unit: str) -> int:
+        return self.numbers.setdefault(unit, len(self.numbers))
+
+    def of(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the numbers of its units, ascending, and how often each occurs."""
+        lower = [x.lower() if x else "" for x in texts]
+        words = [x.split() for x in lower]
+        sizes = np.array([len(x) for x in words], dtype=np.int64)
+        ids = np.fromiter(map(self.spelled.__getitem__, chain.from_iterable(words)), np.int64, sizes.sum())
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        # Only texts with two single characters side by side, which have no unit, can hold one spelled out.
+        beside = (ids[1:] == -1) & (ids[:-1] == -1) & (owner[1:] == owner[:-1])
+        more = [(i, self.spelled[x.replace(" ", "")]) for i in np.unique(owner[1:][beside]).tolist() for x in _SPELLED.findall(lower[i])]
+        if more:
+            owner, ids = (np.concatenate([x, y]) for x, y in zip((owner, ids), np.array(more, np.int64).T))
+        one = ids >= 0
+        if not one.all():
+            other = [(i, n) for i, j in zip(owner[~one].tolist(), ids[~one].tolist()) for n in self.several[-1 - j]]
+            extra = np.array(other, np.int64).reshape(-1, 2).T
+            owner, ids = np.concatenate([owner[one], extra[0]]), np.concatenate([ids[one], extra[1]])
+        span = max(1, len(self.numbers))
+        keys, counts = np.unique(owner * span + ids, return_counts=True)
+        bounds = np.searchsorted(keys, np.arange(len(texts) + 1) * span)
+        found = (keys % span).astype(np.int32)
+        for a, b in zip(bounds, bounds[1:]):
+            yield found[a:b], counts[a:b]
+
+    def forget_words(self) -> None:
+        self.spelled.clear()
+        self.several[1:] = []
+
+    def keep(self, numbers: np.ndarray) -> None:
+        """Only these units stay, numbered in this order."""
+        names = list(self.numbers)
+        self.numbers = {names[i]: n for n, i in enumerate(numbers.tolist())}
+        self.forget_words()
+
+
+class _Spelled(dict):
+    """The number of the one unit of a word; -1 for no unit, below it less the place in `several`, less 1."""
+
+    def __init__(self, units: Units):
+        self.units = units
+
+    def __missing__(self, raw: str) -> int:
+        found = tuple(map(self.units.number, _units_of(raw)))
+        if len(found) == 1:
+            out = found[0]
+        elif not found:
+            out = -1
+        else:
+            self.units.several.append(found)
+            out = -len(self.units.several)
+        self[raw] = out
+        return out
 
-    def __init__(self, most: int):
-        self.most = most
 
-    def __missing__(self, raw: str) -> tuple[str, ...]:
-        words, word = [], raw
-        if not word.isalnum():
-            word = _OUTER.sub("", word)
-            if not word.isalnum():
-                words.append(_INNER.sub("", word))
-        words.append(word)
-        out = []
-        for word in words:
-            if len(word) + 2 >= ORDER:  # shorter words have no subsequence of ORDER characters
-                word = OPEN + word + CLOSE
-                out += [word] if len(word) <= WINDOW else [word[i : i + WINDOW] for i in range(0, len(word) - HALF, HALF)]
-        if len(self) >= self.most:
-            self.clear()
-        self[raw] = found = tuple(out)
-        return found
-
-
-def units(text: str | None, parts: _Parts | None = None) -> Counter:
+def units(text: str | None) -> Counter:
     """The units of a text with how often each occurs."""
-    if not text:
-        return Counter()
-    lower = text.lower()
-    words = Counter(lower.split())
-    words.update(x.replace(" ", "") for x in _SPELLED.findall(lower))
-    parts = _Parts(1) if parts is None else parts
-    out: Counter = Counter()
-    get = out.get
-    for word, n in words.items():
-        for part in parts[word]:
-            out[part] = get(part, 0) + n
-    return out
+    known = Units()
+    ids, counts = next(known.of([text]))
+    names = list(known.numbers)
+    return Counter({names[i]: n for i, n in zip(ids.tolist(), counts.tolist())})
 
 
 def evidence(values: np.ndarray, counts: np.ndarray, bias: float) -> np.ndarray:
@@ -214,8 +261,8 @@ class Model:
         parts = [kernel(strings[i : i + _BLOCK], self.landmarks) @ self.weights for i in range(0, len(strings), _BLOCK)]
         return np.concatenate([*parts, np.zeros(0, np.float32)]) + self.bias
 
-    def score(self, values: list[float], counts: list[int]) -> float:
-        at = evidence(np.array(values), np.array(counts), self.bias) @ self.mix
+    def score(self, values: np.ndarray, counts: np.ndarray) -> float:
+        at = evidence(values, counts, self.bias) @ self.mix
         return float(1 / (1 + np.exp(-np.clip(at, -30, 30))))
 
 
@@ -231,7 +278,7 @@ class Constant:
     def values(self, strings: list[str]) -> np.ndarray:
         return np.zeros(len(strings))
 
-    def score(self, values: list[float], counts: list[int]) -> float:
+    def score(self, values: np.ndarray, counts: np.ndarray) -> float:
         return self.share
 
 
@@ -331,21 +378,20 @@ def _features(words: list[str], landmarks: list[str], scale: np.ndarray, root: n
 
 def fit(texts: list[str | None], labels: list[int], rounds: int = 6) -> Model | Constant:
     """A model of whole labelled texts; the order of the rows does not matter."""
-    number: dict[str, int] = {}
+    known = Units()
     docs: dict[bytes, list] = {}  # documents with the same units are one
-    parts = _Parts(20_000)  # few: the driver's memory is for the fit
     for text, label in sorted(zip(texts, labels), key=lambda row: (row[0] or "", row[1])):
-        found = units(text, parts)
-        if found:
-            ids = np.array([number.setdefault(w, len(number)) for w in sorted(found)], dtype=np.int32)
-            counts = np.array([found[w] for w in sorted(found)], dtype=np.int32)
+        if len(known.spelled) > _FIT_WORDS:
+            known.forget_words()  # the driver's memory is for the fit
+        ids, counts = next(known.of([text]))
+        if len(ids):
             key = hashlib.md5(ids.tobytes() + b"/" + counts.tobytes()).digest()
-            docs.setdefault(key, [ids, counts, 0])[2] |= int(label)
-    parts.clear()
+            docs.setdefault(key, [ids, counts.astype(np.int32), 0])[2] |= int(label)
+    known.forget_words()
     y = np.array([label for _, _, label in docs.values()])
     if not len(y) or y.min() == y.max():
         return Constant(float(np.mean(labels)) if len(labels) else 0.0)
-    words = list(number)
+    words = list(known.numbers)
     seen = np.zeros((2, len(words)), dtype=np.int64)  # clean and toxic documents that hold a word
     for ids, _, label in docs.values():
         seen[label, ids] += 1
@@ -424,27 +470,45 @@ def train(
 # Scoring ---------------------------------------------------------------------
 
 
-def worker_values(name: str) -> dict[str, float]:
-    """The values of the units of one model, the last that this process scored with."""
-    kept = _kept()
-    if name not in kept.get("models", {}):
-        kept["models"] = {name: {}}
-    return kept["models"][name]
-
-
-def _score(batches: Iterator[pa.RecordBatch], model, name: str, text: str, names: list[str], slice_rows: int = 4096) -> Iterator[pa.RecordBatch]:
-    known, parts = worker_values(name), _kept().setdefault("parts", _Parts(_CACHE // 5))
+class Memory:
+    """Units with the decision of one model for each."""
+
+    def __init__(self, model):
+        self.model, self.units = model, Units()
+        self.values = np.zeros(0)
+        self.uses = np.zeros(0, dtype=np.int32)  # in how many slices a unit was met
+
+    def shrink(self, most: int) -> None:
+        """Where more than `most` are remembered, units met once go; all of them, if those are not half."""
+        if len(self.units.spelled) > most:
+            self.units.forget_words()
+        if len(self.units) > most:
+            stay = np.flatnonzero(self.uses > 1)
+            if 2 * len(stay) > most:
+                stay = stay[:0]
+            self.units.keep(stay)
+            self.values, self.uses = self.values[stay], np.ones(len(stay), dtype=np.int32)
+
+    def scores(self, texts: pa.Array) -> list[float]:
+        found = [x for i in range(0, len(texts), STEP) for x in self.units.of(texts.slice(i, STEP).to_pylist())]
+        names = list(islice(self.units.numbers, len(self.values), None))
+        if names:
+            self.values = np.concatenate([self.values, self.model.values(names).astype(np.float64)])
+            self.uses = np.concatenate([self.uses, np.zeros(len(names), dtype=np.int32)])
+        met = np.zeros(len(self.units), dtype=bool)
+        for ids, _ in found:
+            met[ids] = True
+        self.uses += met
+        return [self.model.score(self.values[ids], counts) for ids, counts in found]
+
+
+def _score(batches: Iterator[pa.RecordBatch], model, name: str, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    memory = memory_of(f"toxicity {name}").setdefault("units", Memory(model))
     for whole in batches:
-        for i in range(0, whole.num_rows, slice_rows):
-            batch = whole.slice(i, slice_rows)
-            found = [units(x, parts) for x in batch.column(text).to_pylist()]
-            new = set().union(*found).difference(known)
-            if len(known) + len(new) > _CACHE:
-                known.clear()
-                new = set().union(*found)
-            new = list(new)
-            known.update(zip(new, model.values(new).tolist()))
-            scores = [model.score(list(map(known.__getitem__, us)), list(us.values())) for us in found]
+        for i in range(0, whole.num_rows, SLICE):
+            batch = whole.slice(i, SLICE)
+            memory.shrink(_CACHE)
+            scores = memory.scores(batch.column(text))
             columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*names, "score"])
 
