@@ -262,7 +262,7 @@ class Model:
         return np.concatenate([*parts, np.zeros(0, np.float32)]) + self.bias
 
     def score(self, values: np.ndarray, counts: np.ndarray) -> float:
-        at = evidence(values, counts, self.bias) @ self.mix
+        at = evidence(np.asarray(values, dtype=float), np.asarray(counts), self.bias) @ self.mix
         return float(1 / (1 + np.exp(-np.clip(at, -30, 30))))
 
 
