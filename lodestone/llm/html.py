@@ -2,14 +2,15 @@
 
 A page becomes a tree; what can never be the article (scripts, styles, forms,
 menus, headers, footers, sidebars, notices, adverts, reader comments) is left out by
-tag, role or name. Every block with text gives points to its container and, less,
-to the containers above: one, one for each comma, one for each 100 characters up
+tag, role or name. Names that themes also give to the box around an article (`_BOXES`) leave out
+nothing that holds most of the page's text. Every block with text gives points to its container and, less,
+to LEVELS containers above: one, one for each comma, one for each 100 characters up
 to three, less the share of its text that is links. The container with the best
 score after the same discount is kept, with the siblings that score a fifth of it or
 read like a part of the article.
 
 White space inside a block becomes one space, blocks are joined by one space in page
-order, and nothing else is dropped or cut.
+order, and nothing else is dropped or cut. Sums and points take one pass, however deep a page is nested.
 
 Defined results
 * null and empty pages, and pages without text outside what is left out, give an empty text
@@ -22,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from html.parser import HTMLParser
@@ -51,18 +53,23 @@ _ENDS = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-#: Names of what is never the article, and of what may also be a part of it or hold it.
+#: Names of what is never the article, of what a page's theme may also call the box around it, and of what may be a part of it.
 _NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|breadcrumbs?|comments?|commentlist|disqus|respond|repl(?:y|ies)|cookies?|consent|gdpr"
-    r"|footer|foot|nav|navbar|navigation|menu|newsletter|popup|modal|promo\w*|related|recommend\w*|share|sharing|social|sidebar"
-    r"|sponsor\w*|subscribe|signup|widget|pager|pagination|copyright|disclaimer|outbrain|taboola)(?=$|[\s_-])"
+    r"|footer|foot|nav|navbar|navigation|menu|newsletter|sidebar|sponsor\w*|subscribe|signup|pager|pagination|copyright|disclaimer"
+    r"|outbrain|taboola)(?=$|[\s_-])"
 )
+_BOXES = re.compile(r"(?:^|[\s_-])(?:modal|popup|promo\w*|recommend\w*|related|share|sharing|social|widget)(?=$|[\s_-])")
 _MAYBE = re.compile(
     r"(?:^|[\s_-])(?:banner|notices?|alerts?|masthead|header|topbar|overlay|side|rail|skip|tags|toc|login|search|legal)(?=$|[\s_-])"
 )
 _KEEP = re.compile(r"(?:^|[\s_-])(?:article|main|content|entry|post|story|title)(?=$|[\s_-])|(?:article|post|entry|story|main)-?(?:body|content|text)")
 #: "has-sidebar", "comments-open": what stands inside, not what it is.
 _ASIDE = re.compile(r"(?:^|(?<=\s))(?:has|with|no|without|is)[-_]\S+|\S+[-_](?:open|closed|enabled|free)(?=$|\s)")
+#: An element with more than this share of the page's text outside links is not left out by a name of `_BOXES`.
+MOST = 2 / 3
+#: Containers that get points of a block, from the nearest on.
+LEVELS = 16
 _OTHER_ARTICLES = frozenset("comment comments reply ad ads advert related promo sponsored".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -70,37 +77,41 @@ _CAMEL = re.compile(r"([a-z])([A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "score", "place", "chars", "linked")
+    __slots__ = ("tag", "parent", "holder", "children", "dropped", "doubtful", "score", "place", "chars", "linked", "own")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, place: int = 0):
-        self.tag, self.parent, self.children, self.dropped, self.place = tag, parent, [], dropped, place
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubtful: bool = False, place: int = 0):
+        self.tag, self.parent, self.children, self.place = tag, parent, [], place
+        self.holder = self if parent is None or tag in _BLOCK else parent.holder  # the block it stands in
+        self.dropped, self.doubtful = dropped, doubtful
         self.score = 0.0
-        self.chars = self.linked = 0
+        self.chars = self.linked = self.own = 0
 
 
-def _unwanted(tag: str, attrs: list[tuple[str, str | None]], inside: set[str]) -> bool:
+def _unwanted(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is left out, and whether it is if it does not hold most of the text."""
     if tag in _DROP:
-        return True
-    if tag == "header" and not inside & {"article", "main"}:
-        return True
+        return True, False
+    if tag == "header" and not in_article:
+        return True, False
     if tag in ("html", "body"):
-        return False
+        return False, False
     names = []
     for name, value in attrs:
         if name in ("class", "id"):
             names.append(_CAMEL.sub(r"\1-\2", value or "").lower())
         elif name == "role" and (value or "").lower() in _ROLES:
-            return True
+            return True, False
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         elif name == "style" and value and _HIDDEN.search(value.lower()):
-            return True
+            return True, False
     if not names:
-        return False
+        return False, False
     named = _ASIDE.sub(" ", " ".join(names))
     if tag in ("article", "main"):
-        return not _OTHER_ARTICLES.isdisjoint(named.split())
-    return bool(_NAMES.search(named)) or bool(_MAYBE.search(named)) and not _KEEP.search(named)
+        return not _OTHER_ARTICLES.isdisjoint(named.split()), False
+    never = bool(_NAMES.search(named)) or bool(_MAYBE.search(named)) and not _KEEP.search(named)
+    return never, bool(_BOXES.search(named))
 
 
 class _Tree(HTMLParser):
@@ -109,46 +120,46 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("html", None)
-        self.count = 0
-        self.open: list[str] = []
+        self.nodes = [self.root]
+        self.open: Counter = Counter()  # open elements by tag
 
     def _close_to(self, node: Node) -> None:
-        self.at = node.parent or self.root
+        while self.at is not node:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
+        if node.parent is not None:
+            self.open[node.tag] -= 1
+            self.at = node.parent
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in ("html", "body"):
             return
         if tag in _BLOCK:  # a block ends an open paragraph
-            node = self.at
-            while node.parent is not None and node.tag not in _BLOCK:
-                node = node.parent
+            node = self.at.holder
             if node.tag == "p" or node.tag in _HEADINGS and tag in _HEADINGS:
                 self._close_to(node)
         if tag in _ENDS:
             ended, bounds = _ENDS[tag]
-            node, last = self.at, None
+            node, last = self.at if any(self.open[x] for x in ended) else self.root, None
             while node.parent is not None and node.tag not in bounds:
                 if node.tag in ended:
                     last = node
                 node = node.parent
             if last is not None:
                 self._close_to(last)
-        if tag == "a":  # links are not nested
+        if tag == "a" and self.open["a"]:  # links are not nested
             node = self.at
             while node.parent is not None and node.tag not in _BLOCK:
                 if node.tag == "a":
                     self._close_to(node)
                     break
                 node = node.parent
-        self.count += 1
-        inside, node = set(), self.at
-        if tag == "header":
-            while node is not None:
-                inside.add(node.tag)
-                node = node.parent
-        new = Node(tag, self.at, self.at.dropped or _unwanted(tag, attrs, inside), self.count)
+        dropped, doubtful = _unwanted(tag, attrs, bool(self.open["article"] or self.open["main"]))
+        new = Node(tag, self.at, self.at.dropped or dropped, doubtful, len(self.nodes))
+        self.nodes.append(new)
         self.at.children.append(new)
         if tag not in _VOID:
+            self.open[tag] += 1
             self.at = new
 
     def handle_startendtag(self, tag: str, attrs) -> None:
@@ -157,6 +168,8 @@ class _Tree(HTMLParser):
             self._close_to(self.at)
 
     def handle_endtag(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         node = self.at
         while node.parent is not None:
             if node.tag == tag:
@@ -169,16 +182,24 @@ class _Tree(HTMLParser):
     def handle_data(self, data: str) -> None:
         if not self.at.dropped:
             self.at.children.append(data)
+            if not self.open["a"]:
+                self.at.own += len(data.strip())
 
     def unknown_decl(self, data: str) -> None:
         pass
 
 
-def _parse(page: str) -> Node:
+def _parse(page: str) -> list[Node]:
+    """The elements in page order; the first is the root."""
     tree = _Tree()
     tree.feed(page)
     tree.close()
-    return tree.root
+    for node in reversed(tree.nodes[1:]):
+        node.parent.own += node.own
+    most = MOST * tree.root.own
+    for node in tree.nodes[1:]:
+        node.dropped |= node.parent.dropped or node.doubtful and node.own <= most
+    return tree.nodes
 
 
 def _blocks(node: Node) -> Iterator[tuple[Node, str, int]]:
@@ -218,9 +239,7 @@ def _blocks(node: Node) -> Iterator[tuple[Node, str, int]]:
             if (made := flush()) is not None:
                 yield made
             pieces.clear()
-            holder = here.parent
-            while holder is not None and holder.tag not in _BLOCK and holder.parent is not None:
-                holder = holder.parent
+            holder = here.parent and here.parent.holder
 
 
 _CONTAINERS = frozenset("article body center div html main section td blockquote figure dd details".split())
@@ -231,26 +250,27 @@ def _points(text: str, linked: int) -> float:
     return base * (1 - linked / len(text))
 
 
-def _score(root: Node) -> list[Node]:
+def _score(nodes: list[Node]) -> list[Node]:
     """Hands the points of every block upward; the containers that got any, in page order."""
     got: dict[int, Node] = {}
-    for holder, text, linked in _blocks(root):
-        node = holder
-        while node is not None:
-            node.chars += len(text)
-            node.linked += linked
-            node = node.parent
+    for holder, text, linked in _blocks(nodes[0]):
+        holder.chars += len(text)
+        holder.linked += linked
         if holder.tag in _HEADINGS:
             continue
         points, level = _points(text, linked), 0
         node = holder if holder.tag in _CONTAINERS and holder.tag != "blockquote" else holder.parent
-        while node is not None and points:
+        while node is not None and points and level < LEVELS:
+            node = node.holder
             if node.tag in _CONTAINERS:
                 node.score += points if level == 0 else points / 2 if level == 1 else points / (3 * level)
-                got[id(node)] = node
+                got[node.place] = node
                 level += 1
             node = node.parent
-    return sorted(got.values(), key=lambda n: n.place)
+    for node in reversed(nodes[1:]):
+        node.parent.chars += node.chars
+        node.parent.linked += node.linked
+    return [got[i] for i in sorted(got)]
 
 
 def _net(node: Node) -> float:
@@ -275,10 +295,10 @@ def main_text(page: str | None) -> str:
     """The article of a page as one line of text."""
     if not page:
         return ""
-    root = _parse(page)
-    found = _score(root)
+    nodes = _parse(page)
+    found = _score(nodes)
     if not found:
-        return " ".join(text for _, text, linked in _blocks(root) if linked < len(text))
+        return " ".join(text for _, text, linked in _blocks(nodes[0]) if linked < len(text))
     best = max(found, key=lambda n: (_net(n), -n.place))
     # What is cut into sections or boxes by the page belongs to the article element around it.
     above = best.parent

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +46,26 @@ def test_table(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0), (3, "", "", 0)], key=str)
     assert extract_main_text(pages.limit(0)).count() == 0
+
+
+STORY = "The long story goes on, as ever, with many words and commas."
+
+
+@pytest.mark.parametrize("name", ["elementor-widget-container", "wp-block-group share", "post social", "modal-body", "entry-content widget", "td-post-content related"])
+def test_a_name_does_not_leave_out_the_article(name):
+    page = f"<body><nav><a href=x>home</a></nav><div class='{name}'>{f'<p>{STORY}</p>' * 9}</div><div class=footer>foot note</div></body>"
+    assert main_text(page) == " ".join([STORY] * 9)
+
+
+def test_comments_are_left_out_however_many():
+    said = f"<p>{STORY}</p>" * 30
+    assert main_text(f"<body><div><p>One short text, no more.</p></div><div class=comments>{said}</div></body>") == "One short text, no more."
+
+
+def test_time_grows_with_the_page():
+    def seconds(n):
+        start = time.process_time()
+        assert main_text("<div><p>a, b</p>" * n) == " ".join(["a, b"] * n)
+        return time.process_time() - start
+
+    assert seconds(32_000) < 20 * max(0.05, seconds(4_000))
