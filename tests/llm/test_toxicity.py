@@ -87,3 +87,27 @@ def test_the_fold_hides_labels(spark, labelled):
     flipped = labels.withColumn("toxic", F.when(X.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = [sorted(tuple(r) for r in X.toxicity_report(rows, x).collect()) for x in (labels, flipped)]
     assert a == b
+
+
+def test_what_a_worker_forgets_changes_no_score(labelled):
+    import pyarrow as pa
+
+    texts = [r[1] for r in labelled] + [None, "", "a b c", "I n i t w i t, don't", "x" * 90]
+    model = X.fit(texts[:600], [r[2] for r in labelled])
+    whole = X.Memory(model).scores(pa.array(texts))
+    memory, got = X.Memory(model), []
+    for i in range(0, len(texts), 7):
+        memory.shrink(25)
+        got += memory.scores(pa.array(texts[i : i + 7]))
+    assert np.allclose(got, whole, atol=1e-6)
+    for text, (ids, counts) in zip(texts, memory.units.of(texts)):
+        names = list(memory.units.numbers)
+        assert dict(zip([names[i] for i in ids], counts.tolist())) == X.units(text)
+
+
+def test_a_worker_remembers_for_one_owner():
+    from lodestone.llm.worker import memory_of
+
+    memory_of("one")["x"] = 1
+    assert memory_of("one") == {"x": 1}
+    assert memory_of("two") == {} and memory_of("one") == {}
