@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.embedding import DEFAULT_DIM, embed
+from lodestone.operators.cells import RECALL
 from lodestone.operators.dedup import DEFAULT_THRESHOLD
 from lodestone.operators.graph import expand, identify_triples, latest_triples, neighbours
 from lodestone.plans.ingest import ingest_batch
-from lodestone.plans.respond import assemble_context, render_results, response_lists
+from lodestone.plans.respond import assemble_context, render_results
 from lodestone.plans.search import hybrid_search
 from lodestone.schema import QUERIES
-from lodestone.session import equi_join
+from lodestone.session import equi_join, local
 from lodestone.sources.batches import batch_of
 from lodestone.sources.store import Store
 
@@ -131,22 +132,50 @@ class Collection:
         rows = [(f"{i:08d}", self.collection_id, text) for i, text in enumerate(texts)]
         return embed(self.spark.createDataFrame(rows, QUERIES), "query_text", fn=self.client.embed_fn, dim=self.client.dim)
 
-    def search(self, queries: DataFrame, n_results: int = 10, where: dict[str, Any] | None = None, **options) -> DataFrame:
-        """Hybrid search for a frame of queries (q_id, collection_id, query_text, embedding)."""
+    def build_index(self, n_cells: int | None = None, recall: float = RECALL, asked: list[str] | None = None) -> int:
+        """Write the vectors by cell for approximate search; returns the number of cells.
+
+        `asked` are typical questions, on which the number of opened cells is calibrated.
+        """
+        typical = self.queries(asked) if asked else None
+        return len(self.store.build_cells(self.collection_id, n_cells, recall, typical).centres)
+
+    def search(
+        self,
+        queries: DataFrame,
+        n_results: int = 10,
+        where: dict[str, Any] | None = None,
+        approximate: bool = False,
+        n_probe: int | None = None,
+        **options,
+    ) -> DataFrame:
+        """Hybrid search for a frame of queries (q_id, collection_id, query_text, embedding).
+
+        `approximate` looks for vectors in the nearest cells of the stored index. A filter that applies first
+        (`filter_mode="pre"`) leaves few documents in a cell, so its vector leg stays exact.
+        """
+        store = self.store.snapshot()
+        if approximate and options.get("filter_mode", "post") == "post":
+            options["vector_leg"] = lambda _, asked, k: store.nearest_stored(self.collection_id, asked, k, n_probe)
         return hybrid_search(
-            self.documents(), queries, n_results, where, index=self.store.keyword_index(), **options
+            store.documents(self.collection_id), queries, n_results, where, index=store.keyword_index(), **options
         )
 
     def query(
         self, query_texts: list[str], n_results: int = 10, where: dict[str, Any] | None = None, **options
     ) -> dict[str, list[list[Any]]]:
         """Four lists with one inner list per text; `distances` holds fused scores, higher is better."""
-        queries = self.queries(query_texts)
-        results = self.search(queries, n_results, where, **options)
-        rows = response_lists(queries, results).orderBy("q_id").collect()
-        answer = {c: [r[c] for r in rows] for c in ("ids", "documents", "metadatas", "distances")}
-        answer["metadatas"] = [[json.loads(m) for m in inner] for inner in answer["metadatas"]]
-        return answer
+        queries = local(self.queries(query_texts))
+        found: list[list[Any]] = [[] for _ in query_texts]
+        for row in self.search(queries, n_results, where, **options).collect():
+            found[int(row["q_id"])].append(row)
+        ranked = [sorted(rows, key=lambda r: r["rank"]) for rows in found]
+        return {
+            "ids": [[r["id"] for r in rows] for rows in ranked],
+            "documents": [[r["text"] for r in rows] for rows in ranked],
+            "metadatas": [[json.loads(r["metadata"]) for r in rows] for rows in ranked],
+            "distances": [[r["score"] for r in rows] for rows in ranked],
+        }
 
     def context(self, query_texts: list[str], n_results: int = 5, where: dict[str, Any] | None = None) -> DataFrame:
         """(q_id, context): hits as one prompt text per query."""

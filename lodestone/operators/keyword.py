@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions.text import tokenize
 from lodestone.schema import POSTINGS
-from lodestone.session import BROADCAST_ROWS, cut_lineage, equi_join, fits
+from lodestone.session import BROADCAST_ROWS, cut_lineage, equi_join, fits, if_small, local
 
 # Fixed values of the ranking formula.
 K1 = 1.2
@@ -97,10 +97,15 @@ def _scope(scope: str) -> Column:
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """Postings and the frame of document lengths behind them."""
+    """Postings and the frame of document lengths behind them.
+
+    Stored postings come with the statistics over all collections; they are
+    cheap to read again, so a search for few words writes nothing.
+    """
 
     postings: DataFrame
     lengths: DataFrame
+    corpus: DataFrame | None = None
 
     @classmethod
     def of(cls, docs: DataFrame) -> "KeywordIndex":
@@ -177,19 +182,25 @@ def keyword_scores(
     if mode not in ("and", "or"):
         raise ValueError(f"unknown mode {mode!r}")
     wanted = query_terms(queries, prefix)
-    bounded = fits(wanted, max_rows)
+    few = if_small(wanted, min(max_rows, PUSHED_TERMS))
+    bounded = few is not None or fits(wanted, max_rows)
+    wanted = wanted if few is None else few
+    at_once = few is not None and not prefix and not exclude and index.corpus is not None and stats_scope == "global"
     phrases = wanted.select(*_PHRASE)
     if exclude:
         phrases = phrases.unionByName(_excluded(wanted, exclude))
     # The matching postings feed counts, weights and matches: written once.
-    hits = cut_lineage(_phrase_hits(index.postings, phrases.distinct(), prefix, bounded))
+    hits = _phrase_hits(index.postings, phrases.distinct(), prefix, bounded)
+    if not at_once:
+        hits = cut_lineage(hits)
     held = hits.groupBy(_scope(stats_scope).alias("scope"), *_PHRASE).agg(F.count(F.lit(1)).alias("df"))
-    corpus = corpus_stats(index.lengths, stats_scope)
+    corpus = index.corpus if index.corpus is not None and stats_scope == "global" else corpus_stats(index.lengths, stats_scope)
     if stats_scope == "global":
         weights = held.join(F.broadcast(corpus), "scope")  # one row
     else:
         weights = equi_join(held, cut_lineage(corpus), ["scope"], spread=["phrase"], max_rows=max_rows)
-    weights = cut_lineage(weights)
+    # One row for each word asked for.
+    weights = local(weights) if at_once else cut_lineage(weights)
     open_hits = hits
     if only is not None:
         open_hits = equi_join(hits, only.select(*_DOC), _DOC, "left_semi", spread=["phrase"], max_rows=max_rows)
@@ -211,7 +222,7 @@ def keyword_scores(
     total = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["part"]).alias("bm25")
 
     if mode == "and":
-        pairs = _match_all(open_hits, wanted, weights, stats_scope, bounded, max_rows)
+        pairs = _match_all(open_hits, wanted, weights, stats_scope, bounded, max_rows, at_once)
         found = scored(pairs).groupBy("q_id", *_DOC).agg(
             F.count(F.lit(1)).alias("n"), F.max("n_phrases").alias("n_phrases"), total
         ).where(F.col("n") == F.col("n_phrases"))
@@ -226,7 +237,7 @@ def keyword_scores(
 
 
 def _match_all(
-    hits: DataFrame, wanted: DataFrame, weights: DataFrame, stats_scope: str, bounded: bool, max_rows: int
+    hits: DataFrame, wanted: DataFrame, weights: DataFrame, stats_scope: str, bounded: bool, max_rows: int, at_once: bool
 ) -> DataFrame:
     """Hits of the documents that may hold every phrase of a query.
 
@@ -252,6 +263,9 @@ def _match_all(
         spread=["id"],
         small_fits=bounded,
     )
+    if at_once:
+        # Both sides have a document and phrase once for each query at most, so no key is hot.
+        return hits.join(checks, [*_DOC, *_PHRASE])
     # Few next to the hits: written once, counted, then met by document and phrase.
     return equi_join(hits, cut_lineage(checks), [*_DOC, *_PHRASE], max_rows=max_rows)
 

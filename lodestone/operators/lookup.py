@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.where import Fields, VariantFields, compile_equality
 from lodestone.functions.metadata import decode_metadata
-from lodestone.session import BROADCAST_ROWS, cut_lineage, equi_join
+from lodestone.session import BROADCAST_ROWS, cut_lineage, equi_join, local
+
+#: Up to this many documents are looked up by a filter on their ids.
+PUSHED_IDS = 1_000
 
 
 def lookup_documents(docs: DataFrame, keys: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -26,13 +29,18 @@ def hydrate(hits: DataFrame, docs: DataFrame, columns: list[str], bounded: bool
     """Add document columns to ranked hits; hits without a document drop out.
 
     The hits are the small side: wide columns are read only here, after the
-    top-k cut. `bounded` tells that the hits are known to fit a broadcast.
+    top-k cut. `bounded` tells that the hits are known to fit a broadcast; they
+    are found first, and up to `PUSHED_IDS` ids become a filter of the scan.
     Otherwise each wanted document is fetched once, and the hits are spread by
     query, so that a document wanted by many queries is no hot key.
     """
     key = ["collection_id", "id"]
     wide = docs.select(*key, *columns)
     if bounded:
+        hits = local(hits)
+        ids = sorted({r["id"] for r in hits.select("id").collect()})
+        if len(ids) <= PUSHED_IDS:
+            wide = wide.where(F.col("id").isin(ids))
         return wide.join(F.broadcast(hits), key)
     hits = cut_lineage(hits)
     fetched = equi_join(wide, hits.select(*key).distinct(), key, "left_semi")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.session import cut_lineage, equi_join, fits
+from lodestone.session import cut_lineage, equi_join
 
 #: Queries that may be broadcast together.
 BROADCAST_QUERIES = 20_000
@@ -114,8 +114,11 @@ def grouped_topk(
     """
     docs = docs.select(*groups, "id", "embedding").where(F.col("embedding").isNotNull())
     queries = queries.select(*groups, "q_id", "embedding").where(F.col("embedding").isNotNull())
-    scan = _scan_topk if fits(queries, max_queries) else _blocked_topk
-    candidates = scan(docs, queries, k, groups)
+    asked = queries.limit(max_queries + 1).toArrow()
+    if asked.num_rows <= max_queries:
+        candidates = _scan_table(docs, queries, asked, k, groups)
+    else:
+        candidates = _blocked_topk(docs, queries, k, groups)
     best = Window.partitionBy("q_id").orderBy("distance", "id")
     return candidates.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
@@ -131,9 +134,9 @@ def _result_schema(docs: DataFrame, queries: DataFrame) -> T.StructType:
     )
 
 
-def _scan_topk(docs: DataFrame, queries: DataFrame, k: int, groups: list[str]) -> DataFrame:
+def _scan_table(docs: DataFrame, queries: DataFrame, table: pa.Table, k: int, groups: list[str]) -> DataFrame:
+    """One scan of `docs` for a bounded table of queries; `queries` only gives the types."""
     schema = _result_schema(docs, queries)
-    table = queries.toArrow()
     if table.num_rows == 0:
         return docs.sparkSession.createDataFrame([], schema)
     q_groups = _positions(table.select(groups).to_pandas())

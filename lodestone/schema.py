@@ -51,6 +51,29 @@ TRIPLES = T.StructType(
     ]
 )
 
+#: Vectors of an index, by the cell that holds them.
+CELLS = T.StructType(
+    [
+        T.StructField("collection_id", T.StringType()),
+        T.StructField("cell", T.IntegerType()),
+        T.StructField("id", T.StringType()),
+        T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("seq", T.LongType()),
+    ]
+)
+
+#: One row for each index: its centres one after the other, `dim` values each.
+CELL_MAPS = T.StructType(
+    [
+        T.StructField("collection_id", T.StringType()),
+        T.StructField("batch_no", T.LongType()),
+        T.StructField("n_probe", T.IntegerType()),
+        T.StructField("n_docs", T.LongType()),
+        T.StructField("dim", T.IntegerType()),
+        T.StructField("centres", T.ArrayType(T.DoubleType())),
+    ]
+)
+
 QUERIES = T.StructType(
     [
         T.StructField("q_id", T.StringType()),

@@ -35,9 +35,22 @@ def get_spark(app: str = "lodestone", master: str = "local[*]", **conf: str) ->
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when `df` has at most `rows` rows; reads no more than rows + 1."""
+    if df.isLocal():
+        return len(df.collect()) <= rows
     return df.select(F.lit(1)).limit(rows + 1).count() <= rows
 
 
+def local(df: DataFrame) -> DataFrame:
+    """The rows of a frame that is known to be small, held by the driver: reading them again runs no job."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def if_small(df: DataFrame, rows: int) -> DataFrame | None:
+    """`df` held by the driver where it has at most `rows` rows, else None; reads no more than rows + 1."""
+    found = df.limit(rows + 1).toArrow()
+    return df.sparkSession.createDataFrame(found, df.schema) if found.num_rows <= rows else None
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 

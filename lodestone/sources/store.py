@@ -6,22 +6,28 @@ attempts, so documents, postings and edges of a batch appear together or not at
 all, and no attempt writes over the files of another. `compact` writes everything
 that is live as one batch and drops the earlier ones from view. One writer at
 a time.
+
+An index of vectors is a batch of its own: `cells` holds the vectors by cell,
+`cell_maps` one row with the centres. Documents of later batches are its tail.
 """
 
 from __future__ import annotations
 
 import uuid
+from copy import copy
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone import schema
-from lodestone.operators import mutate, registry
+from lodestone.operators import cells, mutate, registry
 from lodestone.operators.graph import latest_triples
-from lodestone.operators.keyword import KeywordIndex, build_postings
-from lodestone.session import cut_lineage, equi_join, spread
+from lodestone.operators.keyword import KeywordIndex, build_postings, corpus_stats
+from lodestone.operators.vector import vector_topk
+from lodestone.session import cut_lineage, equi_join, local, spread
 
 _COMMITS = T.StructType(
     [
@@ -38,6 +44,7 @@ TABLES = {
     "postings": T.StructType([*schema.POSTINGS.fields, T.StructField("seq", T.LongType())]),
     "triples": schema.TRIPLES,
 }
+INDEX_TABLES = {"cells": schema.CELLS, "cell_maps": schema.CELL_MAPS}
 
 
 class Store:
@@ -47,20 +54,42 @@ class Store:
         self.spark = spark
         self.root = root.rstrip("/")
         self._attempts: dict[int, str] = {}
-        self._gone: tuple[int, DataFrame | None, DataFrame | None] = (0, None, None)
+        self._pinned: list | None = None
+        # What was found out for the newest commit; snapshots share it.
+        self._known: dict = {}
 
     # Batches ---------------------------------------------------------------
 
     def _commits(self) -> list:
         """Visible commits; their number is bounded by compaction."""
+        if self._pinned is not None:
+            return self._pinned
         try:
-            rows = self.spark.read.schema(_COMMITS).parquet(f"{self.root}/commits").orderBy("batch").collect()
+            rows = self.spark.read.schema(_COMMITS).parquet(f"{self.root}/commits")
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return []
-        start = max((i for i, r in enumerate(rows) if r["snapshot"]), default=0)
-        return rows[start:]
+        # Commits before the last snapshot are never collected.
+        start = rows.agg(F.max(F.when(F.col("snapshot"), F.col("batch")))).first()[0]
+        if start is not None:
+            rows = rows.where(F.col("batch") >= start)
+        return sorted(rows.collect(), key=lambda r: r["batch"])
+
+    def snapshot(self) -> "Store":
+        """This store as of now, to read from: later commits stay out, and the commits are read once."""
+        view = copy(self)
+        view._pinned = self._commits()
+        return view
+
+    def _remember(self, key, make):
+        """What `make` returns, kept until the next commit."""
+        last = self._last_batch()
+        if (last, key) not in self._known:
+            for old in [k for k in self._known if k[0] != last]:
+                del self._known[old]
+            self._known[last, key] = make()
+        return self._known[last, key]
 
     def _last_batch(self) -> int:
         commits = self._commits()
@@ -83,12 +112,23 @@ class Store:
         Rebalancing splits a hot collection or term over several files, and
         sorted postings let a search skip the row groups of other terms.
         """
-        rows = rows.select(*TABLES[table].fieldNames())
+        rows = rows.select(*_layout(table).fieldNames())
+        if table == "cell_maps":
+            rows.coalesce(1).write.parquet(self.path(table, batch))
+            return
+        if table == "cells":
+            # A large cell becomes several files, small ones share a task.
+            rows = rows.hint("rebalance", "collection_id", "cell")
+            rows.write.partitionBy("collection_id", "cell").parquet(self.path(table, batch))
+            return
         if table == "postings":
             rows = rows.hint("rebalance", "collection_id", "term").sortWithinPartitions("collection_id", "term", "id")
         else:
             rows = rows.hint("rebalance", "collection_id")
         writer = rows.write
+        if table == "documents":
+            # Sorted by id, so that reading a few documents skips the row groups of the others.
+            writer = rows.sortWithinPartitions("collection_id", "id").write
         if table != "collections":
             writer = writer.partitionBy("collection_id")
         writer.parquet(self.path(table, batch))
@@ -100,15 +140,25 @@ class Store:
         row.drop("batch").write.mode("errorifexists").parquet(f"{self.root}/commits/batch={batch}")
 
     def read_batch(self, table: str, batch: int) -> DataFrame:
-        return self.spark.read.schema(TABLES[table]).parquet(self.path(table, batch))
+        return self.spark.read.schema(_layout(table)).parquet(self.path(table, batch))
 
-    def log(self, table: str) -> DataFrame:
-        """All committed rows of a table."""
-        paths = [self.path(table, c["batch"], c["attempt"]) for c in self._commits() if table in c["tables"]]
+    def log(self, table: str, after: int = 0, only: int | None = None) -> DataFrame:
+        """All committed rows of a table: those of all batches, of batches after one, or of one."""
+        commits = self._commits()
+        paths = [
+            self.path(table, c["batch"], c["attempt"])
+            for c in commits
+            if table in c["tables"] and c["batch"] > after and only in (None, c["batch"])
+        ]
         if not paths:
-            return self.spark.createDataFrame([], TABLES[table])
-        rows = self.spark.read.schema(TABLES[table]).option("basePath", f"{self.root}/{table}").parquet(*paths)
-        return rows.select(*TABLES[table].fieldNames())
+            return self.spark.createDataFrame([], _layout(table))
+
+        def read():
+            rows = self.spark.read.schema(_layout(table)).option("basePath", f"{self.root}/{table}").parquet(*paths)
+            return rows.select(*_layout(table).fieldNames())
+
+        # The files are listed once per commit.
+        return self._remember(("log", table, after, only), read)
 
     # Views -----------------------------------------------------------------
 
@@ -121,14 +171,16 @@ class Store:
         Found from the keys alone and kept until the next commit, so that
         texts and vectors are never shuffled to find the latest ones.
         """
-        last = self._last_batch()
-        if self._gone[0] != last:
+
+        def find():
+            view = self.snapshot()
             found = [
-                cut_lineage(mutate.stale_versions(self.log("documents"))),
-                cut_lineage(registry.deleted_collections(self.log("collections"))),
+                cut_lineage(mutate.stale_versions(view.log("documents"))),
+                cut_lineage(registry.deleted_collections(view.log("collections"))),
             ]
-            self._gone = (last, *[None if rows.isEmpty() else rows for rows in found])
-        return self._gone[1:]
+            return tuple(None if rows.isEmpty() else rows for rows in found)
+
+        return self._remember("missing", find)
 
     def _current(self, rows: DataFrame, spread_by: str) -> DataFrame:
         stale, _ = self._missing()
@@ -153,7 +205,74 @@ class Store:
         # The empty term carries the length, so a document without words counts as well.
         words = rows.where(F.col("term") != "")
         lengths = rows.where(F.col("term") == "").select("collection_id", "id", "dl")
-        return KeywordIndex(words, lengths)
+        # One row, counted once per commit.
+        corpus = self._remember("corpus", lambda: local(corpus_stats(lengths)))
+        return KeywordIndex(words, lengths, corpus)
+
+    # Index of vectors ------------------------------------------------------
+
+    def cell_map(self, collection_id: str) -> tuple[int, cells.CellMap] | None:
+        """Batch and cells of the newest index of a collection; None where there is none."""
+
+        def find():
+            maps = self.log("cell_maps").where(F.col("collection_id") == collection_id)
+            found = maps.orderBy(F.desc("batch_no")).limit(1).toArrow().to_pylist()
+            if not found:
+                return None
+            row = found[0]
+            centres = np.array(row["centres"], dtype=np.float64).reshape(-1, max(1, row["dim"]))
+            return row["batch_no"], cells.CellMap(centres, row["n_probe"], row["n_docs"])
+
+        return self._remember(("cells", collection_id), find)
+
+    def build_cells(
+        self,
+        collection_id: str,
+        n_cells: int | None = None,
+        recall: float = cells.RECALL,
+        asked: DataFrame | None = None,
+    ) -> cells.CellMap:
+        """Train cells on a bounded sample of a collection and write all its vectors by cell.
+
+        `asked` (q_id, embedding) are questions like those to come: the number of opened cells is calibrated on
+        them, which matters where questions do not resemble the documents.
+        """
+        batch = self.next_batch()
+        docs = self.documents(collection_id).where(F.col("embedding").isNotNull())
+        n_docs = docs.count()
+        wanted = n_cells or cells.cells_for(n_docs)
+        sample = cells.sample_vectors(docs, n_docs, min(cells.SAMPLE_ROWS, cells.ROWS_PER_CELL * wanted))
+        typical = None if asked is None else cells.sample_vectors(asked, asked.count(), cells.ASKED, "q_id")
+        made = cells.train(sample, wanted, recall, typical)
+        made.n_docs = n_docs
+        if n_docs:
+            self.write("cells", batch, cells.with_cell(docs, made))
+        flat = [float(x) for x in made.centres.ravel()]
+        row = (collection_id, batch, made.n_probe, n_docs, made.centres.shape[1], flat)
+        self.write("cell_maps", batch, self.spark.createDataFrame([row], schema.CELL_MAPS))
+        self.commit(batch, ["cells", "cell_maps"] if n_docs else ["cell_maps"])
+        return made
+
+    def indexed_vectors(self, collection_id: str, batch: int) -> tuple[DataFrame, DataFrame | None]:
+        """Latest vectors by cell, and those written after the index."""
+        held = self.log("cells", only=batch).where(F.col("collection_id") == collection_id)
+        late = None
+        if any("documents" in c["tables"] and c["batch"] > batch for c in self._commits()):
+            late = self.log("documents", after=batch).where((F.col("op") == "upsert") & (F.col("collection_id") == collection_id))
+            late = self._live(self._current(late, "seq"), "id")
+        return self._live(self._current(held, "seq"), "id"), late
+
+    def nearest_stored(
+        self, collection_id: str, queries: DataFrame, k: int, n_probe: int | None = None, **limits
+    ) -> DataFrame:
+        """The k nearest documents in the index of one collection; exact where it has no index."""
+        queries = queries.where(F.col("collection_id") == collection_id)
+        view = self.snapshot()
+        found = view.cell_map(collection_id)
+        if found is None:
+            return vector_topk(view.documents(collection_id), queries, k, **limits)
+        held, late = view.indexed_vectors(collection_id, found[0])
+        return cells.search_cells(held, late, found[1], queries, k, n_probe, **limits)
 
     def triples(self, collection_id: str | None = None) -> DataFrame:
         return latest_triples(self.edge_log(collection_id))
@@ -192,7 +311,9 @@ class Store:
         self.commit(batch, ["triples"])
 
     def compact(self) -> None:
-        """Write all live rows as one snapshot batch."""
+        """Write all live rows as one snapshot batch; indexes are built anew after it."""
+        maps = self.log("cell_maps").select("collection_id").distinct()
+        indexed = [r[0] for r in self._live(maps, "collection_id").orderBy("collection_id").toLocalIterator()]
         batch = self.next_batch()
         names = self.log("collections")
         live = self.collections().join(
@@ -204,6 +325,12 @@ class Store:
         self.write("triples", batch, self.triples())
         self.write("postings", batch, versioned_postings(self.read_batch("documents", batch)))
         self.commit(batch, list(TABLES), snapshot=True)
+        for collection_id in indexed:
+            self.build_cells(collection_id)
+
+
+def _layout(table: str) -> T.StructType:
+    return (TABLES | INDEX_TABLES)[table]
 
 
 def numbered_triples(triples: DataFrame, batch: int) -> DataFrame:

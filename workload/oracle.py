@@ -556,3 +556,12 @@ ORACLE |= {
     )
     + " select q_id, rank, id, round(score, 10) as score from top",
 }
+
+ORACLE |= {
+    "stored_ann_search": (
+        "with live as (select vec_id::VARCHAR as id, label, case when label in (5, 6) then list_reverse(embedding) else embedding end as embedding "
+        "from embeddings where label <> 3) select id as q_id, 1 as rank, min(id) over (partition by embedding) as id, 0.0::DOUBLE as distance from live"
+    ),
+    "stored_ann_recall": "select (select count(*) from benchmark where text is not null) * "
+    "least(5, (select count(*) from documents)) as n_exact, true as recall_reached",
+}

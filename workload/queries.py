@@ -696,6 +696,45 @@ def graph_text(spark, sf_dir):
     return render_triples(entities, graph.neighbours(t.star_triples(spark, sf_dir), entities))
 
 
+def _vector_store(spark, rows):
+    """(collection_id, id, embedding) rows as the first batch of a new store."""
+    store = Store(spark, shared_dir(spark, "store"))
+    _add_vectors(store, rows)
+    return store
+
+
+def _add_vectors(store, rows):
+    batch = store.next_batch()
+    bare = rows.select("collection_id", "id", F.lit("").alias("text"), F.lit("{}").alias("metadata"), "embedding")
+    store.write("documents", batch, mutate.upsert_rows(bare, batch))
+    store.commit(batch, ["documents"])
+
+
+@query
+def stored_ann_search(spark, sf_dir):
+    """Every vector looks for itself in a stored index that was followed by new, changed and deleted vectors."""
+    rows = t.vectors(spark, sf_dir)
+    store = _vector_store(spark, rows.where("label < 7"))
+    store.build_cells("all")
+    _add_vectors(store, rows.where("label >= 5").withColumn("embedding", F.when(F.col("label") < 7, F.reverse("embedding")).otherwise(F.col("embedding"))))
+    store.delete_documents(rows.where("label = 3"))
+    return _ranked(store.nearest_stored("all", t.as_queries(store.documents("all")), 1), "distance")
+
+
+@query
+def stored_ann_recall(spark, sf_dir):
+    """Does the stored index find 9 of 10 true neighbours? Calibrated on the odd questions, asked all of them."""
+    docs = t.embedded(spark, sf_dir).select("collection_id", "id", "embedding")
+    store = _vector_store(spark, docs)
+    asked = cut_lineage(t.questions(spark, sf_dir))
+    store.build_cells("docs", asked=asked.where(F.col("q_id").cast("int") % 2 == 1))
+    exact = vector_topk(store.documents("docs"), asked, 5).select("q_id", "id")
+    found = store.nearest_stored("docs", asked, 5).select("q_id", "id", F.lit(1).alias("hit"))
+    return exact.join(found, ["q_id", "id"], "left").agg(
+        F.count(F.lit(1)).alias("n_exact"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_reached")
+    )
+
+
 # Tenants ---------------------------------------------------------------------
 
 
