@@ -131,3 +131,12 @@ def test_collection_searches_its_index(spark, tmp_path):
     exact = docs.query(["heron pond", "otter frost late"], 4)
     assert docs.query(["heron pond", "otter frost late"], 4, approximate=True, n_probe=16)["ids"] == exact["ids"]
     assert "late" in docs.query(["otter frost late"], 4, approximate=True)["ids"][0]
+
+
+def test_snapshot_stays_as_it_was(spark, store):
+    add(store, blobs(4))
+    before = store.snapshot()
+    add(store, blobs(3, seed=6), first=4)
+    store.delete_documents(spark.createDataFrame([("c", "v0000")], "collection_id string, id string"))
+    assert (before.documents("c").count(), store.documents("c").count()) == (4, 6)
+    assert before.documents("c").count() == 4
