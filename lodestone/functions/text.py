@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,6 +49,23 @@ def tokenize(text: Column) -> Column:
     return F.array_remove(F.split(fold(F.coalesce(text, F.lit(""))), _NOT_ALNUM), "")
 
 
+def cuts(lists: pa.ListArray, words: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows (from, to) whose lists hold about `words` values together, and one list at least."""
+    lengths = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    at = 0
+    while at < len(lists):
+        end = max(at + 1, int(np.searchsorted(lengths, lengths[at] + words, "right")) - 1)
+        yield at, end
+        at = end
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, words: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about `words` list values, so that memory follows the values and not the rows."""
+    for batch in batches:
+        for at, end in cuts(batch.column(column), words):
+            yield batch.slice(at, end - at)
+
+
 def _pieces(text: Column, separator: str) -> Column:
     trimmed = F.transform(F.split(text, separator), lambda p: F.regexp_replace(p, _OUTER_BLANKS, ""))
     return F.filter(trimmed, lambda p: F.length(p) > MIN_CHUNK_CHARS)

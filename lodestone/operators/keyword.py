@@ -6,13 +6,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from lodestone.functions.text import tokenize
+from lodestone.functions.text import slices, tokenize
 from lodestone.schema import POSTINGS
 from lodestone.session import BROADCAST_ROWS, cut_lineage, equi_join, fits, if_small, local
 
@@ -23,6 +25,10 @@ IDF_FLOOR = 1e-6
 
 #: Up to this many distinct words are looked up by a filter on the postings.
 PUSHED_TERMS = 1_000
+#: Scores of documents against queries that a task holds at once.
+CELLS_AT_ONCE = 2_000_000
+#: Words of documents that a task counts at once.
+WORDS_AT_ONCE = 500_000
 
 _DOC = ["collection_id", "id"]
 _PHRASE = ["phrase", "is_prefix"]
@@ -44,7 +50,7 @@ def build_postings(docs: DataFrame, keep: tuple[str, ...] = (), with_lengths: bo
     schema = T.StructType([*tokens.select(*keys).schema.fields, *POSTINGS.fields[2:]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "tokens", WORDS_AT_ONCE):
             lists = batch.column("tokens")
             lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
             words = lists.flatten().dictionary_encode()
@@ -156,10 +162,14 @@ def _phrase_hits(postings: DataFrame, phrases: DataFrame, prefix: bool, bounded:
     return exact.unionByName(begun)
 
 
+def _idf() -> Column:
+    n, held = F.col("n_docs"), F.col("df")
+    return F.greatest(F.log((n - held + 0.5) / (held + 0.5)), F.lit(IDF_FLOOR))
+
+
 def _bm25() -> Column:
-    n, held, tf = F.col("n_docs"), F.col("df"), F.col("tf")
-    idf = F.greatest(F.log((n - held + 0.5) / (held + 0.5)), F.lit(IDF_FLOOR))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    tf = F.col("tf")
+    return _idf() * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
 
 
 def keyword_scores(
@@ -171,13 +181,16 @@ def keyword_scores(
     stats_scope: str = "global",
     only: DataFrame | None = None,
     max_rows: int = BROADCAST_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """(q_id, collection_id, id, bm25) of every matching document, higher is better.
 
     `queries` has q_id, collection_id and query_text. `mode` asks for all
     words ("and") or any ("or"); documents holding a word of the `exclude`
     text drop out; `only` restricts the matches to given (collection_id, id).
-    Word statistics cover all documents of the scope in any case.
+    Word statistics cover all documents of the scope in any case. With `limit`
+    a bounded set of queries is scored where a document's hits are, and rows
+    beyond a query's first `limit` of a partition may be left out.
     """
     if mode not in ("and", "or"):
         raise ValueError(f"unknown mode {mode!r}")
@@ -201,6 +214,9 @@ def keyword_scores(
         weights = equi_join(held, cut_lineage(corpus), ["scope"], spread=["phrase"], max_rows=max_rows)
     # One row for each word asked for.
     weights = local(weights) if at_once else cut_lineage(weights)
+    if limit is not None and bounded and not at_once:
+        banned = _excluded(wanted, exclude) if exclude else None
+        return _scan_scores(hits, wanted, weights, mode, banned, stats_scope, only, limit, max_rows)
     open_hits = hits
     if only is not None:
         open_hits = equi_join(hits, only.select(*_DOC), _DOC, "left_semi", spread=["phrase"], max_rows=max_rows)
@@ -266,8 +282,181 @@ def _match_all(
     if at_once:
         # Both sides have a document and phrase once for each query at most, so no key is hot.
         return hits.join(checks, [*_DOC, *_PHRASE])
-    # Few next to the hits: written once, counted, then met by document and phrase.
-    return equi_join(hits, cut_lineage(checks), [*_DOC, *_PHRASE], max_rows=max_rows)
+    # Few next to the hits: written once, counted, then met by document and phrase, which makes no key hot.
+    return equi_join(hits, cut_lineage(checks), [*_DOC, *_PHRASE], max_rows=max_rows, salts=1)
+
+
+@dataclass(frozen=True)
+class _Asked:
+    """The queries of one collection: columns 0, 1, ... of a matrix of scores."""
+
+    q_ids: np.ndarray
+    needed: np.ndarray
+    #: For each phrase the queries that ask for it, how often, and those whose rarest phrase it is.
+    askers: dict[int, np.ndarray]
+    times: dict[int, np.ndarray]
+    leads: dict[int, np.ndarray]
+    idf: np.ndarray
+    avg_dl: np.ndarray
+
+
+def _scan_scores(
+    hits: DataFrame,
+    wanted: DataFrame,
+    weights: DataFrame,
+    mode: str,
+    banned: DataFrame | None,
+    stats_scope: str,
+    only: DataFrame | None,
+    limit: int,
+    max_rows: int,
+) -> DataFrame:
+    """The scores of a bounded set of queries: the hits of a document come together and meet all queries at once.
+
+    No pair of a document and a query is shuffled, only the best `limit` of each partition.
+    """
+    spark = hits.sparkSession
+    asked = wanted.withColumn("scope", _scope(stats_scope))
+    # As many rows as `wanted` at most, which is counted.
+    weighed = asked.select("scope", *_PHRASE).distinct().join(
+        weights.select("scope", *_PHRASE, "df", "avg_dl", _idf().alias("idf")), ["scope", *_PHRASE]
+    )
+    weighed, asked = weighed.toPandas(), asked.toPandas()
+    barred = [] if banned is None else [(r["phrase"], r["is_prefix"]) for r in banned.collect()]
+    # Phrases are numbered in the order in which their parts are summed.
+    phrases = sorted({*zip(asked["phrase"], asked["is_prefix"]), *barred})
+    number = {phrase: i for i, phrase in enumerate(phrases)}
+    if mode == "and":
+        asked = asked[asked["q_id"].notna()]
+    by_collection = _asked_of(asked[asked["collection_id"].notna()], weighed, number)
+    schema = T.StructType(
+        [wanted.schema["q_id"], *(hits.schema[c] for c in _DOC), T.StructField("bm25", T.DoubleType())]
+    )
+    if not by_collection:
+        return spark.createDataFrame([], schema)
+    shipped = spark.sparkContext.broadcast((by_collection, [number[p] for p in barred]))
+    numbers = spark.createDataFrame([(p, bool(x), i) for (p, x), i in number.items()], "phrase string, is_prefix boolean, p int")
+    homes = spark.createDataFrame([(c,) for c in by_collection], T.StructType([hits.schema["collection_id"]]))
+    rows = hits.join(F.broadcast(numbers), _PHRASE).join(F.broadcast(homes), "collection_id", "left_semi")
+    if mode == "and":
+        rows = rows.where(F.col("id").isNotNull())
+    found = rows.groupBy(*_DOC).agg(F.collect_list(F.struct("p", "tf", "dl")).alias("hits"))
+    if only is not None:
+        # Met once for each document.
+        found = equi_join(found, only.select(*_DOC), _DOC, "left_semi", max_rows=max_rows, salts=1)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries, barred = shipped.value
+        best: dict[str, pd.DataFrame] = {}
+        for batch in batches:
+            homes = batch.column("collection_id").to_numpy(zero_copy_only=False)
+            for home in pd.unique(homes):
+                here = queries[home]
+                rows = np.flatnonzero(homes == home)
+                step = max(1, CELLS_AT_ONCE // len(here.q_ids))
+                for at in range(0, len(rows), step):
+                    part = batch.take(pa.array(rows[at : at + step]))
+                    top = _score(part, here, barred, mode, limit)
+                    if home in best:
+                        top = _keep_best(pd.concat([best[home], top], ignore_index=True), limit)
+                    best[home] = top
+        for home, top in best.items():
+            q_ids = pa.array(queries[home].q_ids[top["q"].to_numpy()], schema_q)
+            columns = [q_ids, pa.array([home] * len(top), pa.string()), pa.array(top["id"], pa.string()), pa.array(top["bm25"], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    schema_q = to_arrow_type(wanted.schema["q_id"].dataType)
+    return found.mapInArrow(scan, schema)
+
+
+def _asked_of(asked: pd.DataFrame, weighed: pd.DataFrame, number: dict) -> dict[str, _Asked]:
+    """The queries of each collection, with the weights of their phrases."""
+    weight = {
+        (scope, number[phrase, is_prefix]): (df, idf, avg_dl)
+        for scope, phrase, is_prefix, df, idf, avg_dl in weighed[["scope", *_PHRASE, "df", "idf", "avg_dl"]].itertuples(index=False)
+    }
+    out = {}
+    for home, rows in asked.groupby("collection_id", sort=False):
+        at, q_ids = pd.factorize(rows["q_id"], use_na_sentinel=False)
+        p = np.array([number[key] for key in zip(rows["phrase"], rows["is_prefix"])])
+        scope, times = rows["scope"].iloc[0], rows["times"].to_numpy()
+        idf, avg_dl = np.zeros(len(number)), np.ones(len(number))
+        held = np.zeros(len(number), dtype=np.int64)
+        for i in set(p):
+            held[i], idf[i], avg_dl[i] = weight.get((scope, i), (0, 0.0, 1.0))
+        needed = np.zeros(len(q_ids), dtype=np.int64)
+        needed[at] = rows["n_phrases"].to_numpy()
+        # The rarest phrase of each query; a query with a phrase that no document has finds nothing.
+        order = np.lexsort((p, held[p], at))
+        first = order[np.r_[True, at[order][1:] != at[order][:-1]]]
+        first = first[held[p[first]] > 0]
+        by_phrase = pd.Series(np.arange(len(p))).groupby(p).indices
+        leads = pd.Series(first).groupby(p[first]).indices
+        out[home] = _Asked(
+            np.asarray(q_ids, dtype=object),
+            needed,
+            {i: at[x] for i, x in by_phrase.items()},
+            {i: times[x] for i, x in by_phrase.items()},
+            {i: at[first[x]] for i, x in leads.items()},
+            idf,
+            avg_dl,
+        )
+    return out
+
+
+def _score(docs: pa.RecordBatch, asked: _Asked, barred: list[int], mode: str, limit: int) -> pd.DataFrame:
+    """(q, id, bm25): the best documents of each query among a few of its collection."""
+    lists, ids = docs.column("hits"), docs.column("id")
+    held = lists.flatten()
+    doc = np.repeat(np.arange(docs.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+    p, tf, dl = (held.field(name).to_numpy(zero_copy_only=False) for name in ("p", "tf", "dl"))
+    score = asked.idf[p] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / asked.avg_dl[p]))
+    # The parts of a document are summed phrase by phrase, those of one phrase from the smallest.
+    order = np.lexsort((score, doc, p))
+    doc, p, score = doc[order], p[order], score[order]
+    new = np.r_[True, (p[1:] != p[:-1]) | (doc[1:] != doc[:-1])] if len(p) else np.zeros(0, dtype=bool)
+    again = np.arange(len(p)) - np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
+    shape = (docs.num_rows, len(asked.q_ids))
+    total, open_docs = np.zeros(shape), np.ones(docs.num_rows, dtype=bool)
+    count, copies = (np.zeros(shape, dtype=np.int32) if mode == "and" else None for _ in range(2))
+    edges = np.r_[0, np.flatnonzero(np.diff(p)) + 1, len(p)] if len(p) else np.zeros(1, dtype=np.int64)
+    spans = [(int(p[a]), slice(a, b)) for a, b in zip(edges[:-1], edges[1:])]
+    if mode == "and":
+        for phrase, span in spans:
+            if phrase in asked.leads:
+                np.add.at(copies, (doc[span][:, None], asked.leads[phrase][None, :]), 1)
+    for phrase, span in spans:
+        if phrase in barred:
+            named = doc[span]
+            open_docs[named[ids.is_valid().to_numpy(zero_copy_only=False)[named]]] = False
+        if phrase not in asked.askers:
+            continue
+        askers, times = asked.askers[phrase], asked.times[phrase]
+        turn = again[span]
+        for i in range(int(turn.max()) + 1):
+            rows, parts = doc[span][turn == i], score[span][turn == i]
+            cells = np.ix_(rows, askers)
+            if mode == "or":
+                total[cells] += parts[:, None] * times[None, :]
+                continue
+            # A document under one id several times meets itself, as in a join.
+            repeats = copies[cells]
+            count[cells] += repeats
+            for j in range(int(repeats.max(initial=0))):
+                total[cells] += np.where(repeats > j, parts[:, None] * times[None, :], 0.0)
+    fits = total > 0 if mode == "or" else (copies > 0) & (count == asked.needed[None, :])
+    fits &= open_docs[:, None]
+    total[~fits] = -1.0
+    if len(total) > limit:
+        fits &= total >= np.partition(total, len(total) - limit, axis=0)[len(total) - limit]
+    qi, di = np.nonzero(fits.T)
+    found = pd.DataFrame({"q": qi, "id": ids.to_numpy(zero_copy_only=False)[di], "bm25": total[di, qi]})
+    return _keep_best(found, limit)
+
+
+def _keep_best(rows: pd.DataFrame, limit: int) -> pd.DataFrame:
+    ordered = rows.sort_values(["q", "bm25", "id"], ascending=[True, False, True], ignore_index=True, na_position="first")
+    return ordered[ordered.groupby("q").cumcount() < limit]
 
 
 def _excluded(wanted: DataFrame, text: str) -> DataFrame:
@@ -278,6 +467,6 @@ def _excluded(wanted: DataFrame, text: str) -> DataFrame:
 
 def keyword_topk(index: KeywordIndex, queries: DataFrame, limit: int = 20, **options) -> DataFrame:
     """(q_id, collection_id, id, bm25, rank): the best `limit` documents per query."""
-    scores = keyword_scores(index, queries, **options)
+    scores = keyword_scores(index, queries, limit=limit, **options)
     best = Window.partitionBy("q_id").orderBy(F.desc("bm25"), "id")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)

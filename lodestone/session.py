@@ -96,16 +96,20 @@ def equi_join(
     A side within the bound is broadcast, so `big` is not shuffled. Beyond it
     the rows of `big` get a salt from the `spread` columns and `small` is
     copied once per salt: a key holding a third of `big` still lands on
-    `salts` tasks. Supports inner, left_semi and left_anti.
+    `salts` tasks. One salt does where no key is hot. Supports inner, left_semi
+    and left_anti.
 
     Pass `small_fits` where the size of `small` follows from a side that is
     already counted; otherwise `small` is counted here.
     """
     if fits(small, max_rows) if small_fits is None else small_fits:
         return big.join(F.broadcast(small), on, how)
+    # Few bytes in a file may be many rows: a counted side is never broadcast by Spark's estimate of its size.
+    if salts == 1:
+        return big.join(small.hint("merge"), on, how)
     columns = [F.col(c) for c in (spread or big.columns)]
     salted = big.withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(salts)))
     copies = small.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     )
-    return salted.join(copies, on + ["_salt"], how).drop("_salt")
+    return salted.join(copies.hint("merge"), on + ["_salt"], how).drop("_salt")
