@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.functions.keys import triple_id
-from lodestone.functions.text import entity_spans, tokenize
+from lodestone.functions.text import entity_spans, slices, tokenize
 from lodestone.session import BROADCAST_ROWS, cut_lineage, equi_join
 
 RELATED = "related_to"
@@ -16,6 +20,8 @@ RELATED_WEIGHT = 0.8
 DEFAULT_WEIGHT = 1.0
 #: Label of spans found without a gazetteer or model.
 DEFAULT_LABEL = "Concept"
+#: Names whose hashes go out together, and words that a task compares with them at once.
+NAMES_AT_ONCE, WORDS_AT_ONCE = 2_000_000, 500_000
 
 _DOC = ["collection_id", "id"]
 _EDGE = ["collection_id", "triple_id", "subject", "predicate", "object", "weight"]
@@ -44,30 +50,110 @@ def gazetteer_entities(
 ) -> DataFrame:
     """Mentions of the names in `gazetteer` (text, label), compared word by word, with the `keep` columns of the document.
 
-    Every run of as many words as some name has meets the names in one equi-join.
+    A name is told by two runs of a power of two of words, its first and its last ones, which cover it. Only runs of a
+    document whose hashes are those of a name are spelled and meet the names in one equi-join, so that the work
+    follows the words of the documents, not the lengths of the names. Hashes go out in blocks of NAMES_AT_ONCE names.
     """
     spelled = gazetteer.select(tokenize(F.col("text")).alias("words"), "text", "label").where(F.size("words") > 0)
-    # One row per number of words that names have, however many names there are.
-    lengths = sorted(r["n"] for r in spelled.select(F.size("words").alias("n")).distinct().collect())
-    names = spelled.withColumn("words", F.array_join("words", " "))
+    names = cut_lineage(spelled.select(F.array_join("words", " ").alias("words"), F.col("words").alias("tokens"), "text", "label"))
     tokens = docs.select(*_DOC, *keep, tokenize(F.col("text")).alias("tokens"))
+    distinct = names.select("words", "tokens").dropDuplicates(["words"])
+    blocks = -(-distinct.count() // NAMES_AT_ONCE)
+    hashed = cut_lineage(_name_keys(distinct)) if blocks else None
+    grams = [_named_runs(tokens, hashed.where(F.pmod(F.xxhash64("lead", "tail"), F.lit(blocks)) == i), keep) for i in range(blocks)]
+    if not grams:
+        pos = F.lit(0).alias("pos")
+        return tokens.limit(0).select(*_DOC, *keep, pos, F.lit("").alias("text"), F.lit("").alias("label"))
+    found = reduce(DataFrame.unionByName, grams)
+    return equi_join(found, names.select("words", "text", "label"), ["words"], spread=["id", "pos"], max_rows=max_rows).select(
+        *_DOC, *keep, "pos", "text", "label"
+    )
 
-    def runs(n: int) -> Column:
-        starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(0), F.size("tokens") - n)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(
-            starts,
-            lambda at: F.struct(at.alias("pos"), F.array_join(F.slice("tokens", at + 1, F.lit(n)), " ").alias("words")),
-        )
 
-    every = F.flatten(F.array(*[runs(n) for n in lengths])) if lengths else F.array().cast("array<struct<pos:int,words:string>>")
-    found = F.explode(every).alias("run")
-    grams = tokens.select(*_DOC, *keep, found).select(*_DOC, *keep, "run.pos", "run.words")
-    return equi_join(grams, names, ["words"], spread=["id", "pos"], max_rows=max_rows).select(
-        *_DOC, *keep, "pos", "text", "label"
+def _levels(first: np.ndarray, highest: int) -> Iterator[np.ndarray]:
+    """Hashes of the runs of 1, 2, 4, ... words that begin at each word; the last ones wrap round and mean nothing."""
+    runs = first.astype(np.uint64)
+    for level in range(highest + 1):
+        yield runs
+        right = np.roll(runs, -(1 << level)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        runs = (runs ^ (right >> np.uint64(29)) ^ right) * np.uint64(0x9E3779B185EBCA87)
+        runs ^= runs >> np.uint64(32)
+
+
+def _hashes(tokens: str = "tokens") -> Column:
+    return F.transform(tokens, lambda w: F.xxhash64(w)).alias("hashes")
+
+
+def _name_keys(names: DataFrame) -> DataFrame:
+    """(n, lead, tail) of each name: how many words it has, and the hashes of its first and last runs."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for words in batch.column("hashes"):
+                first = words.values.to_numpy(zero_copy_only=False)
+                level = len(first).bit_length() - 1
+                *_, runs = _levels(first, level)
+                out.append((len(first), runs[:1].view(np.int64)[0], runs[len(first) - (1 << level)].view(np.int64)))
+            columns = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["n", "lead", "tail"])
+
+    return names.select(_hashes()).mapInArrow(keys, "n long, lead long, tail long").distinct()
+
+
+def _named_runs(tokens: DataFrame, keys: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """(collection_id, id, keep..., pos, words): runs of words whose hashes are those of a name."""
+    table = keys.toArrow()
+    n, lead, tail = (table[c].to_numpy() for c in ("n", "lead", "tail"))
+    level = np.frexp(n.astype(float))[1] - 1
+    lead, tail = lead.view(np.uint64), tail.view(np.uint64)
+    by_level = {}
+    for i in np.unique(level):
+        rows = np.flatnonzero(level == i)
+        rows = rows[np.argsort(lead[rows], kind="stable")]
+        by_level[int(i)] = (n[rows], lead[rows], tail[rows])
+    shipped = tokens.sparkSession.sparkContext.broadcast(by_level)
+    columns = [*_DOC, *keep]
+    schema = T.StructType(
+        [*tokens.select(*columns).schema.fields, T.StructField("pos", T.IntegerType()), T.StructField("words", T.StringType())]
     )
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = shipped.value
+        for batch in slices(batches, "tokens", WORDS_AT_ONCE):
+            lists = batch.column("tokens")
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+            ends = np.repeat(np.cumsum(lengths), lengths)
+            words = lists.flatten()
+            starts, sizes = [], []
+            for i, runs in enumerate(_levels(batch.column("hashes").flatten().to_numpy(zero_copy_only=False), max(names, default=-1))):
+                if i not in names:
+                    continue
+                n, lead, tail = names[i]
+                # The names that begin with the run at each word, one place in the sorted names after the other.
+                low, high = (np.searchsorted(lead, runs, side) for side in ("left", "right"))
+                at = np.flatnonzero(high > low)
+                while len(at):
+                    spot = low[at]
+                    last = at + n[spot] - (1 << i)
+                    inside = at + n[spot] <= ends[at]
+                    hit = inside & (runs[np.where(inside, last, 0)] == tail[spot])
+                    starts.append(at[hit])
+                    sizes.append(n[spot][hit])
+                    low[at] += 1
+                    at = at[low[at] < high[at]]
+            if not starts or not sum(map(len, starts)):
+                continue
+            start, size = np.concatenate(starts), np.concatenate(sizes)
+            firsts = np.cumsum(lengths) - lengths
+            doc = np.searchsorted(np.cumsum(lengths), start, "right")
+            out = [batch.column(c).take(pa.array(doc)) for c in columns]
+            spelled = [" ".join(words.slice(a, k).to_pylist()) for a, k in zip(start.tolist(), size.tolist())]
+            out += [pa.array((start - firsts[doc]).astype(np.int32)), pa.array(spelled, pa.string())]
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
+
+    return tokens.select(*columns, "tokens", _hashes()).mapInArrow(find, schema)
+
 
 def unique_entities(mentions: DataFrame) -> DataFrame:
     """One row per document and entity text: first position, label of the last mention."""

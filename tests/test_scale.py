@@ -67,3 +67,29 @@ def test_long_texts_and_many_short_ones_are_counted_in_parts(spark, monkeypatch)
     monkeypatch.setattr(K, "WORDS_AT_ONCE", 3)
     monkeypatch.setattr(E, "WORDS_AT_ONCE", 3)
     assert rows() == whole
+
+
+def test_names_of_any_length_are_found_without_spelling_every_run(spark, monkeypatch):
+    from lodestone.operators import graph
+
+    rng = random.Random(8)
+    words = ["ann", "bo", "cy", "di"]
+    rows = [("c", f"d{i % 35}", " ".join(rng.choices(words, k=rng.randrange(40)))) for i in range(40)]
+    names = [" ".join(rng.choices(words, k=k)) for k in (*range(1, 14), 2, 3, 5) for _ in range(3)] + [rows[5][2], "", rows[7][2].upper()]
+    names = [(n, f"L{i % 2}") for i, n in enumerate(names)]
+    docs = spark.createDataFrame(rows, "collection_id string, id string, text string").repartition(3)
+    gazetteer = spark.createDataFrame(names, "text string, label string")
+    want = sorted(
+        (i, at, name, label)
+        for _, i, text in rows
+        for name, label in names
+        for at in range(len(text.split()))
+        if name and text.split()[at : at + len(name.split())] == name.lower().split()
+    )
+    for at_once in (2_000_000, 5):
+        monkeypatch.setattr(graph, "NAMES_AT_ONCE", at_once)
+        monkeypatch.setattr(graph, "WORDS_AT_ONCE", at_once)
+        found = graph.gazetteer_entities(docs, gazetteer)
+        assert sorted((r.id, r.pos, r.text, r.label) for r in found.collect()) == want
+    assert plan_of(found).count("Generate") == 0
+    assert graph.gazetteer_entities(docs, gazetteer.limit(0)).columns == found.columns
