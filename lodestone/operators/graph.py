@@ -235,7 +235,8 @@ def expand(triples: DataFrame, entities: DataFrame, hops: int, max_rows: int = B
         if hop == hops:
             break
         ends = found.select("q_id", "collection_id", F.explode(F.array("subject", "object")).alias("entity")).distinct()
-        frontier = cut_lineage(ends.join(visited, ["q_id", "collection_id", "entity"], "left_anti"))
+        # Every end is once in `ends`, so that no key is hot.
+        frontier = cut_lineage(equi_join(ends, visited, ["q_id", "collection_id", "entity"], "left_anti", max_rows=max_rows, salts=1))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)

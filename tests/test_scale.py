@@ -93,3 +93,16 @@ def test_names_of_any_length_are_found_without_spelling_every_run(spark, monkeyp
         assert sorted((r.id, r.pos, r.text, r.label) for r in found.collect()) == want
     assert plan_of(found).count("Generate") == 0
     assert graph.gazetteer_entities(docs, gazetteer.limit(0)).columns == found.columns
+
+
+def test_no_hop_broadcasts_a_large_frontier(spark, monkeypatch):
+    from lodestone.operators import graph
+
+    plans = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df: plans.append(plan_of(df)) or cut_lineage(df))
+    rows = [("c", f"n{i}", "to", f"n{i * 2 + j}") for i in range(1, 30) for j in (0, 1)]
+    edges = graph.identify_triples(spark.createDataFrame(rows, "collection_id string, subject string, predicate string, object string"))
+    asked = spark.createDataFrame([("q", "c", "n1")], "q_id string, collection_id string, entity string")
+    found = graph.expand(cut_lineage(edges), asked, 3, max_rows=0)
+    assert {(r.subject, r.object): r.hop for r in found.collect()} == {(f"n{i}", f"n{i * 2 + j}"): i.bit_length() for i in range(1, 8) for j in (0, 1)}
+    assert len(plans) == 5 and not any("Broadcast" in p for p in plans)
