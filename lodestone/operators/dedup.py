@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestone.operators.vector import (
-    BLOCK_ROWS,
     BROADCAST_QUERIES,
-    CELLS_AT_ONCE,
+    _matrix,
     _positions,
     _rows,
     _stack,
@@ -28,26 +27,55 @@ from lodestone.operators.vector import (
 from lodestone.session import cut_lineage, equi_join, fits
 
 DEFAULT_THRESHOLD = 0.1
-#: Pivots of the partitioned plan.
-CELLS = 256
+#: Pivots of the partitioned plan, and the groups of their cells at least.
+CELLS, GROUPS = 256, 16
+#: Numbers in the vectors of one block, but for chance; a task holds a block of either side.
+BLOCK_VALUES = 2_097_152
+#: New and stored vectors that are compared at once.
+TILE = (512, 4096)
+#: Squared norms above this are compared in doubles only.
+_LARGE = 1e30
 
 
 def _close_to_any(new: np.ndarray, stored: np.ndarray, threshold: float) -> np.ndarray:
     """For each new vector: is some stored vector within the threshold?"""
     hit = np.zeros(len(new), dtype=bool)
-    step = max(1, CELLS_AT_ONCE // max(1, len(stored)))
-    for at in range(0, len(new), step):
-        block = new[at : at + step]
-        rough, off = rough_distances(block, stored), slack(block, stored)
-        sure = (rough < threshold - off).any(axis=1)
-        qi, di = np.nonzero((rough <= threshold + off) & ~sure[:, None])
-        edge = np.zeros(len(block), dtype=bool)
-        if len(qi):
-            edge[qi[exact_distances(block[qi], stored[di]) <= threshold]] = True
-        hit[at : at + step] = sure | edge
+    if not len(new) or not len(stored):
+        return hit
+    # Single floats screen a tile with one product, as -distance / 2; doubles decide on the rows that pass.
+    halves = [(x * x).sum(axis=1) / 2.0 for x in (new, stored)]
+    largest = halves[1].max()
+    screens = largest < _LARGE and new.shape[1] == stored.shape[1]
+    if screens:
+        held = np.column_stack((stored, -halves[1], np.full(len(stored), -1.0))).astype(np.float32)
+    for at in range(0, len(new), TILE[0]):
+        rows = np.arange(at, min(at + TILE[0], len(new)))
+        half = halves[0][rows]
+        if screens and (half < _LARGE).all():
+            asked = np.column_stack((new[rows], np.ones(len(rows)), half)).astype(np.float32)
+            off = 4.0 * np.finfo(np.float32).eps * (new.shape[1] + 8) * (half + largest) + 1e-30
+            least = np.nextafter((-threshold / 2.0 - off).astype(np.float32), np.float32(-np.inf))[:, None]
+        else:
+            asked = None
+        for start in range(0, len(stored), TILE[1]):
+            near = np.flatnonzero(~hit[rows])
+            if asked is not None:
+                near = near[(asked[near] @ held[start : start + TILE[1]].T >= least[near]).any(axis=1)]
+            if len(near):
+                hit[rows[near]] = _close(new[rows[near]], stored[start : start + TILE[1]], threshold)
     return hit
 
 
+def _close(new: np.ndarray, stored: np.ndarray, threshold: float) -> np.ndarray:
+    rough, off = rough_distances(new, stored), slack(new, stored)
+    sure = (rough < threshold - off).any(axis=1)
+    qi, di = np.nonzero((rough <= threshold + off) & ~sure[:, None])
+    edge = np.zeros(len(new), dtype=bool)
+    if len(qi):
+        edge[qi[exact_distances(new[qi], stored[di]) <= threshold]] = True
+    return sure | edge
+
+
 def near_duplicates(new: DataFrame, store: DataFrame, threshold: float = DEFAULT_THRESHOLD, **limits) -> DataFrame:
     """Rows of `new` that have a stored vector of their collection within the threshold."""
     return _split(new, store, threshold, "left_semi", **limits)
@@ -122,11 +150,16 @@ def _cell_hits(new: DataFrame, store: DataFrame, threshold: float, n_cells: int)
     Every stored vector lies in the cell of its nearest pivot. A vector within
     distance r of x can lie in cell c only if x is within r of the half-space
     of c, that is d(x,c)^2 - d(x,own)^2 <= 2 r d(c,own); all other cells are
-    skipped without losing a match.
+    skipped without losing a match. Cells beside each other form groups, which
+    grow in number with the store: a vector goes out once for each group it
+    can reach, not once for each cell.
     """
     pivots = choose_pivots(store, n_cells)
     if len(pivots) == 0:
         return new.select("collection_id", "id").limit(0)
+    block_rows = max(1, BLOCK_VALUES // max(1, pivots.shape[1]))
+    leads = pivots[: max(GROUPS, -(-store.count() // block_rows))]
+    home = rough_distances(pivots, leads).argmin(axis=1)
     shipped = new.sparkSession.sparkContext.broadcast(pivots)
     radius = float(np.sqrt(max(threshold, 0.0)))
 
@@ -143,20 +176,23 @@ def _cell_hits(new: DataFrame, store: DataFrame, threshold: float, n_cells: int)
             # The distances of centres err as well, by a root of their slack at worst.
             far = 2.0 * radius * (between[own] + np.sqrt(slack(centres, centres).max()))
             inside = excess <= far + 2.0 * slack(block, centres)
-            out.extend(np.flatnonzero(row).astype(np.int32) for row in inside)
+            out.extend(np.unique(home[row]).astype(np.int32) for row in inside)
         return pd.Series(out)
 
     probes = new.withColumn("cell", F.explode(reachable("embedding"))).withColumnRenamed("id", "q_id")
-    left, right, keys = into_blocks(cell_index(store, pivots), probes, ["collection_id", "cell"], BLOCK_ROWS)
+    grouped = cell_index(store, pivots).withColumn("cell", F.get(F.lit(home.tolist()), F.col("cell")).cast("int"))
+    left, right, keys = into_blocks(cut_lineage(grouped), cut_lineage(probes), ["collection_id", "cell"], block_rows)
     schema = _hit_schema(new)
 
-    def meet(doc_block: pd.DataFrame, new_block: pd.DataFrame) -> pd.DataFrame:
-        if doc_block.empty or new_block.empty:
-            return pd.DataFrame({"collection_id": [], "id": []})
-        hit = _close_to_any(_stack(new_block["embedding"]), _stack(doc_block["embedding"]), threshold)
-        return pd.DataFrame({"collection_id": new_block["collection_id"][hit], "id": new_block["q_id"][hit]})
+    def meet(doc_block: pa.Table, new_block: pa.Table) -> pa.Table:
+        hit = np.zeros(new_block.num_rows, dtype=bool)
+        if doc_block.num_rows and new_block.num_rows:
+            sides = [_matrix(x["embedding"], x.num_rows) for x in (new_block, doc_block)]
+            hit = _close_to_any(*sides, threshold)
+        found = new_block.filter(pa.array(hit))
+        return pa.table([found["collection_id"], found["q_id"]], names=["collection_id", "id"])
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, schema).distinct()
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema).distinct()
 
 
 def ingest_summary(incoming: DataFrame, kept: DataFrame) -> DataFrame:

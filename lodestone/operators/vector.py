@@ -265,7 +265,8 @@ def assign_cells(df: DataFrame, pivots: np.ndarray, count: int = 1) -> DataFrame
     def cells(vectors: pd.Series) -> pd.Series:
         if vectors.empty:
             return pd.Series([], dtype=object)
-        return pd.Series(list(_near_cells(shipped.value, _stack(vectors), count).astype(np.int32)))
+        parts = (_stack(vectors.iloc[at : at + 1024]) for at in range(0, len(vectors), 1024))
+        return pd.Series([x for part in parts for x in _near_cells(shipped.value, part, count).astype(np.int32)])
 
     return df.where(F.col("embedding").isNotNull()).withColumn("cells", cells("embedding"))
 

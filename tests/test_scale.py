@@ -1,8 +1,12 @@
 import random
 
+import numpy as np
+
 from conftest import plan_of
 from lodestone.functions.embedding import embed
+from lodestone.operators import dedup as D
 from lodestone.operators import keyword as K
+from lodestone.operators import vector as V
 from lodestone.session import cut_lineage, equi_join
 
 
@@ -106,3 +110,42 @@ def test_no_hop_broadcasts_a_large_frontier(spark, monkeypatch):
     found = graph.expand(cut_lineage(edges), asked, 3, max_rows=0)
     assert {(r.subject, r.object): r.hop for r in found.collect()} == {(f"n{i}", f"n{i * 2 + j}"): i.bit_length() for i in range(1, 8) for j in (0, 1)}
     assert len(plans) == 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_a_screen_in_single_floats_changes_no_duplicate(monkeypatch):
+    monkeypatch.setattr(D, "TILE", (7, 11))
+    rng = np.random.default_rng(5)
+    for size in (1e-20, 1.0, 1e4, 1e20):
+        stored = (rng.normal(size=(60, 16)) * size).astype(np.float32).astype(float)
+        step = rng.normal(size=(60, 16))
+        step *= size * np.sqrt(0.1) / np.linalg.norm(step, axis=1)[:, None]
+        new = np.concatenate([stored + step * x for x in (0.0, 0.9, 1 - 1e-7, 1 + 1e-7, 1.1)]).astype(np.float32).astype(float)
+        threshold = 0.1 * size * size
+        exact = D.exact_distances(new[:, None, :], stored[None, :, :])
+        assert (D._close_to_any(new, stored, threshold) == (exact <= threshold).any(axis=1)).all()
+        odd = np.concatenate([stored, np.full((1, 16), np.nan)])
+        hit = D._close_to_any(new, odd, threshold)
+        assert not (hit & ~(exact <= threshold).any(axis=1)).any()
+
+
+def test_a_vector_goes_out_once_for_a_group_of_cells(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+
+    def frame(prefix, vectors):
+        rows = [("c", f"{prefix}{i}", [float(x) for x in v]) for i, v in enumerate(vectors)]
+        return spark.createDataFrame(rows, "collection_id string, id string, embedding array<float>")
+
+    stored = rng.normal(size=(300, 8))
+    new = np.concatenate([stored[:40] + 0.1 * rng.normal(size=(40, 8)), rng.normal(size=(40, 8))])
+    asked = []
+
+    def blocks(docs, queries, keys, rows):
+        asked.append(queries.groupBy("q_id").count().agg({"count": "max"}).first()[0])
+        return V.into_blocks(docs, queries, keys, rows)
+
+    monkeypatch.setattr(D, "into_blocks", blocks)
+    store, arrived = frame("s", stored), frame("n", new)
+    found = {r["id"] for r in D.near_duplicates(arrived, store, 0.5, max_new=0, n_cells=128).collect()}
+    near = (D.exact_distances(new[:, None, :], stored[None, :, :]) <= 0.5).any(axis=1)
+    assert found == {f"n{i}" for i in np.flatnonzero(near)} and 0 < len(found) < 80
+    assert asked and asked[0] <= D.GROUPS
