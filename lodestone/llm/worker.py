@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 from types import ModuleType
 
+import pyarrow as pa
+
 
 def memory_of(owner: str) -> dict:
     """The memory of one owner in this Python process; what the process kept for another owner is let go.
@@ -15,4 +18,6 @@ def memory_of(owner: str) -> dict:
     kept = sys.modules.setdefault("_lodestone_worker", ModuleType("_lodestone_worker")).__dict__
     if kept.get("owner") != owner:
         kept["owner"], kept["memory"] = owner, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
     return kept["memory"]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ BROADCAST_ROWS = 100_000
 #: spread over this many tasks.
 SALTS = 16
 
+#: Bytes of rows that go to a Python worker at once, where the rows hold texts or vectors.
+BATCH_BYTES = 4 << 20
+
 
 def get_spark(app: str = "lodestone", master: str = "local[*]", **conf: str) -> SparkSession:
     """A session with the settings the operators are written for."""
@@ -75,6 +80,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run in here hand rows to Python workers by BATCH_BYTES, however long the rows are, not by their number alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a table of few files one partition per core; larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -4,10 +4,11 @@ import numpy as np
 
 from conftest import plan_of
 from lodestone.functions.embedding import embed
+from lodestone.llm import occurrence as O
 from lodestone.operators import dedup as D
 from lodestone.operators import keyword as K
 from lodestone.operators import vector as V
-from lodestone.session import cut_lineage, equi_join
+from lodestone.session import BATCH_BYTES, cut_lineage, equi_join
 
 
 def test_a_counted_side_beyond_the_bound_is_never_broadcast(spark):
@@ -149,3 +150,22 @@ def test_a_vector_goes_out_once_for_a_group_of_cells(spark, monkeypatch):
     near = (D.exact_distances(new[:, None, :], stored[None, :, :]) <= 0.5).any(axis=1)
     assert found == {f"n{i}" for i in np.flatnonzero(near)} and 0 < len(found) < 80
     assert asked and asked[0] <= D.GROUPS
+
+
+def test_texts_go_to_the_workers_in_small_batches(spark, monkeypatch):
+    mark = O._mark
+
+    def watched(batches, k):
+        def small():
+            for batch in batches:
+                assert batch.nbytes < 2 * BATCH_BYTES
+                yield batch
+
+        yield from mark(small(), k)
+
+    monkeypatch.setattr(O, "_mark", watched)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    docs = spark.range(3000).coalesce(1).selectExpr("id AS doc_id", "concat_ws(' ', id, repeat('word ', 2000)) AS text")
+    assert O.drop_similar(docs).count() == 3000
+    assert spark.conf.get(key, None) == before
