@@ -13,7 +13,7 @@ from lodestone.functions.text import chunk_text
 from lodestone.operators import mutate
 from lodestone.operators.dedup import DEFAULT_THRESHOLD, drop_near_duplicates, ingest_summary
 from lodestone.operators.graph import cooccurrence_triples, extract_entities, gazetteer_entities, identify_triples
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, small_batches
 from lodestone.sources.store import Store, versioned_postings
 
 
@@ -36,33 +36,34 @@ def ingest_batch(
     The summary has count, skipped and triples_extracted. Vectors, documents,
     postings and edges become visible together when the batch is committed.
     """
-    number = store.next_batch()
-    # Written once: a model runs over every text only once.
-    incoming = cut_lineage(embed(batch, fn=embed_fn, dim=dim))
-    kept = incoming
-    if deduplicate:
-        kept = cut_lineage(drop_near_duplicates(incoming, store.documents(), similarity_threshold))
-    store.write("documents", number, mutate.upsert_rows(mutate.collapse_batch(kept), number))
-    # Everything else starts from the documents that were written.
-    written = store.read_batch("documents", number)
-    tables = ["documents", "postings"]
-    store.write("postings", number, versioned_postings(written))
-    summary = ingest_summary(incoming, kept)
-    if extract_graph:
-        # Edges carry the number of their document: of equal edges the last document's stays.
-        if gazetteer is not None and entity_fn is None:
-            mentions = gazetteer_entities(written, gazetteer, keep=("seq",))
+    with small_batches(store.spark):
+        number = store.next_batch()
+        # Written once: a model runs over every text only once.
+        incoming = cut_lineage(embed(batch, fn=embed_fn, dim=dim))
+        kept = incoming
+        if deduplicate:
+            kept = cut_lineage(drop_near_duplicates(incoming, store.documents(), similarity_threshold))
+        store.write("documents", number, mutate.upsert_rows(mutate.collapse_batch(kept), number))
+        # Everything else starts from the documents that were written.
+        written = store.read_batch("documents", number)
+        tables = ["documents", "postings"]
+        store.write("postings", number, versioned_postings(written))
+        summary = ingest_summary(incoming, kept)
+        if extract_graph:
+            # Edges carry the number of their document: of equal edges the last document's stays.
+            if gazetteer is not None and entity_fn is None:
+                mentions = gazetteer_entities(written, gazetteer, keep=("seq",))
+            else:
+                mentions = extract_entities(written, entity_fn, ("seq",))
+            edges = cooccurrence_triples(mentions, ("seq",))
+            store.write("triples", number, identify_triples(edges))
+            tables.append("triples")
+            extracted = store.read_batch("triples", number).groupBy("collection_id").agg(
+                F.count(F.lit(1)).alias("triples_extracted")
+            )
+            summary = summary.join(extracted, "collection_id", "left")
         else:
-            mentions = extract_entities(written, entity_fn, ("seq",))
-        edges = cooccurrence_triples(mentions, ("seq",))
-        store.write("triples", number, identify_triples(edges))
-        tables.append("triples")
-        extracted = store.read_batch("triples", number).groupBy("collection_id").agg(
-            F.count(F.lit(1)).alias("triples_extracted")
-        )
-        summary = summary.join(extracted, "collection_id", "left")
-    else:
-        summary = summary.withColumn("triples_extracted", F.lit(0).cast("long"))
+            summary = summary.withColumn("triples_extracted", F.lit(0).cast("long"))
     store.commit(number, tables)
     return summary.withColumn("triples_extracted", F.coalesce("triples_extracted", F.lit(0)))
 
