@@ -30,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import chain, islice
 
@@ -57,6 +57,8 @@ _CACHE, SLICE, STEP = 500_000, 4096, 256
 #: Words that the driver remembers in the fit.
 _FIT_WORDS = 20_000
 _BLOCK = 1 << 15
+#: Rows of the matrix of features that the fit holds in doubles at once.
+_ROWS = 1 << 12
 
 _SPELLED = re.compile(r"(?<!\S)(?:\S ){2,}\S[^\w\s]*(?!\S)")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
@@ -285,20 +287,46 @@ class Constant:
 # Fit -------------------------------------------------------------------------
 
 
-def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 50.0, steps: int = 60) -> np.ndarray:
-    """Weights of a linear SVM with squared hinge loss; the last column of x is 1. Newton steps on the active rows."""
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
-    ridge[-1, -1] = 1e-6
-    active = np.ones(len(y), dtype=bool)
+def _decided(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w in doubles, without the whole of x in doubles."""
+    return np.concatenate([x[i : i + _ROWS] @ w for i in range(0, len(x), _ROWS)])
+
+
+def _stacked(x: np.ndarray, rows: np.ndarray, below: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """x[rows] with `below` under it, in doubles, block by block, each with its place."""
+    for i in range(0, len(rows), _ROWS):
+        part = x[rows[i : i + _ROWS]].astype(np.float64)
+        yield slice(i, i + len(part)), part
+    yield slice(len(rows), len(rows) + len(below)), below.astype(np.float64)
+
+
+def _svm(
+    parts: Callable[[], Iterator[tuple[slice, np.ndarray]]], y: np.ndarray, weight: np.ndarray, c: float = 50.0, steps: int = 60
+) -> np.ndarray:
+    """Weights of a linear SVM with squared hinge loss; the last column of the rows is 1. Newton steps on the active rows.
+
+    The rows are read block by block, so that no step holds all of them.
+    """
+    w, active = 0.0, np.ones(len(y), dtype=bool)
+
+    def inside(w: np.ndarray) -> np.ndarray:
+        return y * np.concatenate([part @ w for _, part in parts()]) < 1
+
     for _ in range(steps):
-        part, scale = x[active], (c * weight[active])[:, None]
-        new = np.linalg.solve(ridge + part.T @ (part * scale), part.T @ (scale[:, 0] * y[active]))
-        now = y * (x @ new) < 1
+        left, right = 0.0, 0.0
+        for at, part in parts():
+            on = active[at]
+            part, scale = part[on], c * weight[at][on]
+            left = left + part.T @ (part * scale[:, None])
+            right = right + part.T @ (scale * y[at][on])
+        ridge = np.eye(len(right))
+        ridge[-1, -1] = 1e-6
+        new = np.linalg.solve(ridge + left, right)
+        now = inside(new)
         moved, w = np.abs(new - w).max(), (w + new) / 2 if (now != active).any() else new
         if moved < 1e-6:
             break
-        active = y * (x @ w) < 1
+        active = inside(w)
         if not active.any():
             break
     return w
@@ -312,7 +340,7 @@ def _mined(
     for _ in range(10):
         sign = np.concatenate([-np.ones(len(work)), np.ones(len(positive))])
         weight = 1000 * np.concatenate([share[work], mass])
-        w = _svm(np.vstack([x[negative[work]], positive]).astype(np.float64), sign, weight)
+        w = _svm(partial(_stacked, x, negative[work], positive), sign, weight)
         new = np.setdiff1d(np.flatnonzero((x @ w.astype(np.float32))[negative] > -1), work)
         if not len(new):
             break
@@ -433,7 +461,7 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 6) -> Model |
         positive = np.vstack([x[kinds], np.hstack([extra, np.ones((len(variants), 1))])])
         mass = np.concatenate([count / count.sum(), 0.3 * np.array([n for _, n in variants]) / max(1, sum(n for _, n in variants))])
         w = _mined(x, negative, weight[negative] / weight.sum(), positive, mass)
-        decided = x @ w
+        decided = _decided(x, w)
     if decided is None:
         return Constant(float(np.mean(labels)))
     evidences = np.stack([evidence(decided[r], n, float(w[-1])) for r, n in zip(rows, counts)])

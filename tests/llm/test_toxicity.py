@@ -111,3 +111,27 @@ def test_a_worker_remembers_for_one_owner():
     memory_of("one")["x"] = 1
     assert memory_of("one") == {"x": 1}
     assert memory_of("two") == {} and memory_of("one") == {}
+
+
+def test_the_fit_holds_no_copy_of_its_rows():
+    """A quarter of the rows come near the margin; a few copies of them in doubles would be larger than the matrix."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60_000, 40)).astype(np.float32)
+    x[:, -1] = 1
+    positive = rng.normal(0.3, 1, size=(30, 40))
+    share, mass = np.full(len(x), 1 / len(x)), np.full(30, 1 / 30)
+    tracemalloc.start()
+    try:
+        w = X._mined(x, np.arange(len(x)), share, positive, mass)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < x.nbytes
+    # The same optimum in one piece: the gradient of the squared hinge loss vanishes.
+    rows, sign = np.vstack([x, positive]).astype(np.float64), np.concatenate([-np.ones(len(x)), np.ones(30)])
+    slack = np.maximum(0, 1 - sign * (rows @ w)) * 1000 * np.concatenate([share, mass]) * 50
+    assert (slack > 0).mean() > 0.2
+    ridge = np.append(np.ones(39), 1e-6)
+    assert np.abs(ridge * w - rows.T @ (slack * sign)).max() < 1e-3 * np.abs(rows * slack[:, None]).sum(axis=0).max()
