@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.worker import memory_of
+from lodestone.llm.worker import give_back, memory_of
 
 ORDER = 4
 DECAY = 0.7
@@ -539,6 +539,7 @@ def _score(batches: Iterator[pa.RecordBatch], model, name: str, text: str, names
             scores = memory.scores(batch.column(text))
             columns = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.float64())], names=[*names, "score"])
+    give_back()
 
 
 def score(docs: DataFrame, model: Model | Constant, text: str = "text") -> DataFrame:
