@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.session import cut_lineage
+from lodestone.session import cut_lineage, discard
 
 
 def _shape(edges: DataFrame) -> tuple:
@@ -44,6 +44,7 @@ def connected(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         large = _star(both, larger_only=True)
         after = cut_lineage(_star(large, larger_only=False))
         before, shape = shape, _shape(after)
+        discard(now)
         now = after
         if shape == before:
             break
