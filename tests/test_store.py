@@ -199,3 +199,17 @@ def test_ingest_joins_the_names_of_a_gazetteer(spark, tmp_path):
     found = {(r["subject"], r["object"]) for r in docs.query_graph(["Jan Heweliusz"]).collect()}
     assert found == {("Torun", "Jan Heweliusz"), ("Jan Heweliusz", long)}
     assert docs.query_graph(["Jan Heweliusz"], hops=0).collect() == []
+
+
+def test_stored_documents_take_large_numbers_as_ids(spark, tmp_path):
+    """Ids beyond 32 bits order a batch as others do."""
+    from workload.queries import QUERIES
+
+    first = 5_000_000_000
+    docs = [(first + i, f"Text {i} about Green Harbour number {i}", "en", "src1", 30) for i in range(6)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(first, 1, 0), (first + 1, 0, 1)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "green harbour")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["id"] for r in QUERIES["stored_documents"](spark, str(tmp_path)).collect()} <= {str(d[0]) for d in docs}
+    assert {r["id"] for r in QUERIES["stored_after_compact"](spark, str(tmp_path)).collect()} <= {str(d[0]) for d in docs} - {str(first + 1)}

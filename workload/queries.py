@@ -491,7 +491,7 @@ def ingest_counts(spark, sf_dir):
 def _filled_store(spark, sf_dir):
     """Labelled documents are stored first; the others follow with duplicate check and graph."""
     store = Store(spark, shared_dir(spark, "store"))
-    docs = t.documents(spark, sf_dir).withColumn("pos", F.col("id").cast("int"))
+    docs = t.documents(spark, sf_dir).withColumn("pos", F.col("id").cast("long"))
     is_labelled = F.get_json_object("metadata", "$.quality").isNotNull()
     collection = spark.createDataFrame([("", "docs", "{}")], "tenant_id string, name string, metadata string")
     home = store.create_collections(collection).select("collection_id").first()[0]
