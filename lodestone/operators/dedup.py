@@ -24,7 +24,7 @@ from lodestone.operators.vector import (
     rough_distances,
     slack,
 )
-from lodestone.session import cut_lineage, equi_join, fits
+from lodestone.session import cut_lineage, discard, equi_join, fits
 
 DEFAULT_THRESHOLD = 0.1
 #: Pivots of the partitioned plan, and the groups of their cells at least.
@@ -102,11 +102,13 @@ def _split(
     vectors = keyed.where(F.col("_vector").isNotNull()).select("collection_id", F.col("_vector").alias("id"), "embedding")
     vectors = vectors.dropDuplicates(["collection_id", "id"])
     if fits(new, max_new):
-        hits = _scan_hits(vectors, store, threshold).withColumnRenamed("id", "_vector")
+        # Written, so that whoever reads the kept rows twice searches once.
+        hits = cut_lineage(_scan_hits(vectors, store, threshold)).withColumnRenamed("id", "_vector")
         # At most one hit per new row, so the hits are within the bound as well.
         return keyed.join(F.broadcast(hits), ["collection_id", "_vector"], how).select(*new.columns)
     vectors = cut_lineage(vectors)
-    hits = cut_lineage(_cell_hits(vectors, store, threshold, n_cells)).withColumnRenamed("id", "_vector")
+    hits = _cell_hits(vectors, store, threshold, n_cells).withColumnRenamed("id", "_vector")
+    discard(vectors)
     return equi_join(keyed, hits, ["collection_id", "_vector"], how, spread=["id"]).select(*new.columns)
 
 
@@ -145,7 +147,7 @@ def _scan_hits(new: DataFrame, store: DataFrame, threshold: float) -> DataFrame:
 
 
 def _cell_hits(new: DataFrame, store: DataFrame, threshold: float, n_cells: int) -> DataFrame:
-    """A large batch meets the store cell by cell.
+    """A large batch meets the store cell by cell; the hits are written.
 
     Every stored vector lies in the cell of its nearest pivot. A vector within
     distance r of x can lie in cell c only if x is within r of the half-space
@@ -156,7 +158,7 @@ def _cell_hits(new: DataFrame, store: DataFrame, threshold: float, n_cells: int)
     """
     pivots = choose_pivots(store, n_cells)
     if len(pivots) == 0:
-        return new.select("collection_id", "id").limit(0)
+        return new.sparkSession.createDataFrame([], _hit_schema(new))
     block_rows = max(1, BLOCK_VALUES // max(1, pivots.shape[1]))
     leads = pivots[: max(GROUPS, -(-store.count() // block_rows))]
     home = rough_distances(pivots, leads).argmin(axis=1)
@@ -181,7 +183,8 @@ def _cell_hits(new: DataFrame, store: DataFrame, threshold: float, n_cells: int)
 
     probes = new.withColumn("cell", F.explode(reachable("embedding"))).withColumnRenamed("id", "q_id")
     grouped = cell_index(store, pivots).withColumn("cell", F.get(F.lit(home.tolist()), F.col("cell")).cast("int"))
-    left, right, keys = into_blocks(cut_lineage(grouped), cut_lineage(probes), ["collection_id", "cell"], block_rows)
+    grouped, probes = cut_lineage(grouped), cut_lineage(probes)
+    left, right, keys = into_blocks(grouped, probes, ["collection_id", "cell"], block_rows)
     schema = _hit_schema(new)
 
     def meet(doc_block: pa.Table, new_block: pa.Table) -> pa.Table:
@@ -192,7 +195,9 @@ def _cell_hits(new: DataFrame, store: DataFrame, threshold: float, n_cells: int)
         found = new_block.filter(pa.array(hit))
         return pa.table([found["collection_id"], found["q_id"]], names=["collection_id", "id"])
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema).distinct()
+    hits = cut_lineage(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, schema).distinct())
+    discard(grouped, probes)
+    return hits
 
 
 def ingest_summary(incoming: DataFrame, kept: DataFrame) -> DataFrame:

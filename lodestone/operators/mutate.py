@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.keys import int_id
 from lodestone.functions.metadata import default_metadata
-from lodestone.session import equi_join
+from lodestone.session import cut_lineage, equi_join
 
 _KEY = ["collection_id", "id"]
 #: Rows of one batch are numbered below this; batches count in steps of it.
@@ -57,8 +57,19 @@ def latest_rows(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def collapse_batch(batch: DataFrame) -> DataFrame:
-    """One row per id of a batch: the one with the highest `pos`."""
-    return latest_rows(batch, _KEY, ["pos"] if "pos" in batch.columns else [])
+    """One row per id of a batch: the one with the highest `pos`.
+
+    The batch is read twice: repeated ids are found from the keys alone, and only their rows are shuffled.
+    """
+    order = ["pos"] if "pos" in batch.columns else []
+    repeated = batch.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*_KEY)
+    repeated = cut_lineage(repeated)
+    if repeated.isEmpty():
+        return batch
+    nameless = F.col("collection_id").isNull() | F.col("id").isNull()
+    once = equi_join(batch.where(~nameless), repeated, _KEY, "left_anti").select(*batch.columns)
+    several = equi_join(batch, repeated, _KEY, "left_semi").select(*batch.columns).unionByName(batch.where(nameless))
+    return once.unionByName(latest_rows(several, _KEY, order))
 
 
 def latest_documents(log: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from lodestone.functions.text import chunk_text
 from lodestone.operators import mutate
 from lodestone.operators.dedup import DEFAULT_THRESHOLD, drop_near_duplicates, ingest_summary
 from lodestone.operators.graph import cooccurrence_triples, extract_entities, gazetteer_entities, identify_triples
-from lodestone.session import cut_lineage, small_batches
+from lodestone.session import cut_lineage, discard, small_batches
 from lodestone.sources.store import Store, versioned_postings
 
 
@@ -42,13 +42,15 @@ def ingest_batch(
         incoming = cut_lineage(embed(batch, fn=embed_fn, dim=dim))
         kept = incoming
         if deduplicate:
-            kept = cut_lineage(drop_near_duplicates(incoming, store.documents(), similarity_threshold))
+            # The found duplicates are written, not a second copy of all others.
+            kept = drop_near_duplicates(incoming, store.documents(), similarity_threshold)
         store.write("documents", number, mutate.upsert_rows(mutate.collapse_batch(kept), number))
+        summary = cut_lineage(ingest_summary(incoming, kept))
         # Everything else starts from the documents that were written.
+        discard(incoming)
         written = store.read_batch("documents", number)
         tables = ["documents", "postings"]
         store.write("postings", number, versioned_postings(written))
-        summary = ingest_summary(incoming, kept)
         if extract_graph:
             # Edges carry the number of their document: of equal edges the last document's stays.
             if gazetteer is not None and entity_fn is None:

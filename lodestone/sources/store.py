@@ -27,7 +27,7 @@ from lodestone.operators import cells, mutate, registry
 from lodestone.operators.graph import latest_triples
 from lodestone.operators.keyword import KeywordIndex, build_postings, corpus_stats
 from lodestone.operators.vector import vector_topk
-from lodestone.session import cut_lineage, equi_join, local, spread
+from lodestone.session import cut_lineage, equi_join, local, shuffles_dropped, spread
 
 _COMMITS = T.StructType(
     [
@@ -109,29 +109,27 @@ class Store:
     def write(self, table: str, batch: int, rows: DataFrame) -> None:
         """Write the rows of one table; invisible until the batch is committed.
 
-        Rebalancing splits a hot collection or term over several files, and
+        Shuffle files go when it is written. Rebalancing splits a hot collection or term over several files, and
         sorted postings let a search skip the row groups of other terms.
         """
         rows = rows.select(*_layout(table).fieldNames())
+        folders = ["collection_id"] if table != "collections" else []
         if table == "cell_maps":
-            rows.coalesce(1).write.parquet(self.path(table, batch))
-            return
-        if table == "cells":
+            rows, folders = rows.coalesce(1), []
+        elif table == "cells":
             # A large cell becomes several files, small ones share a task.
-            rows = rows.hint("rebalance", "collection_id", "cell")
-            rows.write.partitionBy("collection_id", "cell").parquet(self.path(table, batch))
-            return
-        if table == "postings":
+            folders = ["collection_id", "cell"]
+            rows = rows.hint("rebalance", *folders)
+        elif table == "postings":
             rows = rows.hint("rebalance", "collection_id", "term").sortWithinPartitions("collection_id", "term", "id")
         else:
             rows = rows.hint("rebalance", "collection_id")
-        writer = rows.write
         if table == "documents":
             # Sorted by id, so that reading a few documents skips the row groups of the others.
-            writer = rows.sortWithinPartitions("collection_id", "id").write
-        if table != "collections":
-            writer = writer.partitionBy("collection_id")
-        writer.parquet(self.path(table, batch))
+            rows = rows.sortWithinPartitions("collection_id", "id")
+        writer = rows.write.option("compression", "zstd")
+        with shuffles_dropped(self.spark):
+            (writer.partitionBy(*folders) if folders else writer).parquet(self.path(table, batch))
 
     def commit(self, batch: int, tables: list[str], snapshot: bool = False) -> None:
         """Make a batch visible; fails where another writer has committed the same number."""

@@ -1,10 +1,12 @@
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.client import Client
-from lodestone.operators.mutate import upsert_rows
+from conftest import plan_of
+from lodestone.operators.mutate import collapse_batch, latest_rows, upsert_rows
 from lodestone.plans.ingest import chunk_rows, ingest_files
 from lodestone.sources.batches import batch_of, unnest_batches
 from lodestone.sources.files import read_text_files
@@ -201,6 +203,31 @@ def test_ingest_joins_the_names_of_a_gazetteer(spark, tmp_path):
     assert docs.query_graph(["Jan Heweliusz"], hops=0).collect() == []
 
 
+def test_an_ingest_leaves_no_other_copy_of_the_texts(spark, tmp_path):
+    """What a batch writes on its way to the store is deleted, and kept rows are not written twice."""
+    from lodestone.session import shared_dir
+    from lodestone.sources.store import Store
+
+    texts = [f"Part {i} of the Northern Harbour plan names Ada Lovelace and pier {i * 7} with its many boats" for i in range(30)]
+    files = spark.createDataFrame([(f"f{i}.txt", t) for i, t in enumerate(texts)], "source string, text string")
+    base = os.path.dirname(shared_dir(spark, "none").removeprefix("file:"))
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    store = Store(spark, str(tmp_path / "store"))
+    summary = ingest_files(store, files, "files", dim=16).collect()
+    assert [(r["count"], r["skipped"]) for r in summary] == [(30, 0)] and store.documents().count() == 30
+    left = [x for x in set(os.listdir(base)) - before if x.startswith("stage-")]
+    assert left and not any("text" in spark.read.parquet(f"file:{base}/{x}").columns for x in left)
+
+
+def test_a_batch_keeps_the_last_row_of_repeated_and_missing_ids(spark):
+    rows = [("c", "1", 0, "a"), ("c", "1", 5, "b"), ("c", "2", 1, "c"), ("c", None, 2, "d"), ("c", None, 3, "e"), (None, "1", 4, "f"), ("d", "1", 0, "g")]
+    batch = spark.createDataFrame(rows, "collection_id string, id string, pos int, text string")
+    for some in (batch, batch.where("text <> 'a'"), batch.where("id = '2'")):
+        expected = sorted(latest_rows(some, ["collection_id", "id"], ["pos"]).collect(), key=str)
+        assert sorted(collapse_batch(some).collect(), key=str) == expected
+    assert "Exchange" not in plan_of(collapse_batch(batch.where("id = '2'")))
+
+
 def test_stored_documents_take_large_numbers_as_ids(spark, tmp_path):
     """Ids beyond 32 bits order a batch as others do."""
     from workload.queries import QUERIES
