@@ -131,24 +131,27 @@ def _named_runs(tokens: DataFrame, keys: DataFrame, keep: tuple[str, ...]) -> Da
                     continue
                 n, lead, tail = names[i]
                 # The names that begin with the run at each word, one place in the sorted names after the other.
-                low, high = (np.searchsorted(lead, runs, side) for side in ("left", "right"))
-                at = np.flatnonzero(high > low)
+                spot = np.searchsorted(lead, runs)
+                at = np.flatnonzero(lead[np.minimum(spot, len(lead) - 1)] == runs)
+                spot = spot[at]
+                high = np.searchsorted(lead, runs[at], "right")
                 while len(at):
-                    spot = low[at]
                     last = at + n[spot] - (1 << i)
                     inside = at + n[spot] <= ends[at]
                     hit = inside & (runs[np.where(inside, last, 0)] == tail[spot])
                     starts.append(at[hit])
                     sizes.append(n[spot][hit])
-                    low[at] += 1
-                    at = at[low[at] < high[at]]
+                    more = spot + 1 < high
+                    at, spot, high = at[more], spot[more] + 1, high[more]
             if not starts or not sum(map(len, starts)):
                 continue
             start, size = np.concatenate(starts), np.concatenate(sizes)
             firsts = np.cumsum(lengths) - lengths
             doc = np.searchsorted(np.cumsum(lengths), start, "right")
             out = [batch.column(c).take(pa.array(doc)) for c in columns]
-            spelled = [" ".join(words.slice(a, k).to_pylist()) for a, k in zip(start.tolist(), size.tolist())]
+            # One list of all words: a list for each run would cost more than all else.
+            said = words.to_pylist()
+            spelled = [" ".join(said[a : a + k]) for a, k in zip(start.tolist(), size.tolist())]
             out += [pa.array((start - firsts[doc]).astype(np.int32)), pa.array(spelled, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
